@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickframe.llm import bpe, linededup, mixing, quality
+from tickframe.llm import bpe, linededup, mixing, neardup, quality
 from tickframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,9 +34,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDuplicates(words=4))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op4_bpe, op5_line_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op4_bpe, op5_line_dedup, op9_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.SQL, "op5_line_dedup": linededup.SQL}
+    return {"op3_mix_sources": mixing.SQL, "op5_line_dedup": linededup.SQL, "op9_near_dedup": neardup.SQL}
