@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickframe.llm import bpe, linededup, mixing, neardup, quality
+from tickframe.llm import bpe, chat, langid, linededup, mixing, neardup, pii, quality, search, toxicity
 from tickframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess_quality(table(spark, sf_dir, "documents"))
 
@@ -34,13 +38,35 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op7_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_every_fiftieth(table(spark, sf_dir, "documents"))
+
+
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_digests(table(spark, sf_dir, "conversations"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.NearDuplicates(words=4))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_mix_sources, op4_bpe, op5_line_dedup, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_mix_sources, op4_bpe, op5_line_dedup, op6_personal_data, op7_bm25_search, op8_preferences, op9_near_dedup, op10_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.SQL, "op5_line_dedup": linededup.SQL, "op9_near_dedup": neardup.SQL}
+    return {"op3_mix_sources": mixing.SQL, "op5_line_dedup": linededup.SQL, "op8_preferences": chat.SQL, "op9_near_dedup": neardup.SQL}
