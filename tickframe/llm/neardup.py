@@ -3,7 +3,7 @@
 1. Each document's set of word shingles is hashed once. Documents with equal sets form a class, and only the class goes
    on, under its smallest doc_id. The `sketch` smallest hashes are the class's sketch.
 2. Inverted lists of retained values. Two sets with a similarity of 0.8 share at least `least_shared` sketch values
-   (short of that with a probability below 1e-7; sets up to `sketch` values are held whole, and the bound is exact). So a
+   (short of that with a probability below 1e-6; sets up to `sketch` values are held whole, and the bound is exact). So a
    class needs to stand only in the lists of its rarest values, all but least_shared - 1 of them, and values that many
    documents have in common drop out by themselves.
 3. Only connections count, not every pair. In each list one class, whose values are the most frequent, meets all others;
@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,11 +32,14 @@ from tickframe.llm.common import cut_lineage, slices, texts, window_hashes, word
 class NearDuplicates:
     words: int = 5
     percent: int = 80
-    sketch: int = 40
-    least_shared: int = 18
+    sketch: int = 64
+    least_shared: int = 34
     #: A pair is confirmed on full sets if its estimate is at most so much below the limit (more than 4 deviations).
     margin: float = 0.3
-    rounds: int = 4
+    rounds: int = 1
+    #: What stays unconnected meets under so many of its smallest hashes, in blocks of so many nodes.
+    meeting: int = 12
+    block: int = 512
     #: Lists meet in full at once if twice their pairs are no more than this or four times the number of classes.
     meet_in_full: int = 500_000
 
@@ -77,14 +81,19 @@ def _full_sets(rules: NearDuplicates):
 
 
 def _inverted_lists(classes: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """(value, node, weight): the lists that a class must stand in; weight tells how frequent its values are."""
+    """(value, node, weight): the lists that a class must stand in; weight tells how frequent its values are.
+
+    Linked sets differ in size by a factor of 1.25 at most. A list is of a value and a range of sizes (powers of 1.26), and a
+    class stands in the lists of its own range and the next, so classes of very different sizes do not meet.
+    """
     entries = classes.select("node", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").count().where("count > 1").select(F.col("value").alias("of_value"), F.col("count").alias("holders"))
     common = entries.join(shared, F.col("value") == F.col("of_value")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("common"), F.sum("holders").alias("weight"))
-    sized = common.join(classes.select(F.col("node").alias("of_node"), F.size("sketch").alias("held")), F.col("node") == F.col("of_node"))
+    sized = common.join(classes.select(F.col("node").alias("of_node"), F.size("sketch").alias("held"), F.floor(F.log("n_shingles") / F.log(F.lit(1.26))).alias("size_class")), F.col("node") == F.col("of_node"))
     least = F.least(F.lit(rules.least_shared), F.ceil(F.col("held") * rules.percent / 100)).cast("int")
     prefix = F.col("held") - least + 1 - (F.col("held") - F.size("common"))
-    return sized.where(prefix > 0).select("node", "weight", F.explode(F.slice("common", F.lit(1), prefix)).alias("entry")).select(F.col("entry.value").alias("value"), "node", "weight")
+    chosen = sized.where(prefix > 0).select("node", "weight", "size_class", F.explode(F.slice("common", F.lit(1), prefix)).alias("entry"))
+    return chosen.select("node", "weight", F.explode(F.array(F.xxhash64("entry.value", "size_class"), F.xxhash64("entry.value", F.col("size_class") + 1))).alias("value"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -101,19 +110,66 @@ def _estimated(pairs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> D
     return both.where(near >= rules.percent / 100 - rules.margin).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """The pairs whose full sets reach the limit. Only the texts of classes in `pairs` are read for it."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("signature").alias("of_signature")), "node")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+def _candidate_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """(node, shingles): the full sets of the classes in `nodes`; only their texts are read for it."""
+    wanted = nodes.select("node").distinct().join(classes.select("node", F.col("signature").alias("of_signature")), "node")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     full = own.mapInArrow(_full_sets(rules), "doc_id long, signature binary, shingles array<long>")
-    sets = cut_lineage(full.join(wanted, (F.col("doc_id") == F.col("node")) & (F.col("signature") == F.col("of_signature"))).select("node", "shingles").dropDuplicates(["node"]))
+    return cut_lineage(full.join(wanted, (F.col("doc_id") == F.col("node")) & (F.col("signature") == F.col("of_signature"))).select("node", "shingles").dropDuplicates(["node"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """The pairs whose full sets reach the limit."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
     return both.where(100 * F.col("both") >= rules.percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
 
 
+def _meet(rules: NearDuplicates):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        low, high = group[group["block"] == group["low"]], group[group["block"] == group["high"]]
+        values = np.concatenate([*low["shingles"], *high["shingles"]])
+        kinds, column, holders = np.unique(values, return_inverse=True, return_counts=True)
+        # Values that one set holds alone add nothing; the others are taken some thousand at a time.
+        rank = np.cumsum(holders > 1) - 1
+        column = np.where(holders[column] > 1, rank[column], -1)
+        sizes = [low["shingles"].map(len).to_numpy(), high["shingles"].map(len).to_numpy()]
+        row = np.repeat(np.arange(len(low) + len(high)), np.concatenate(sizes))
+        both = np.zeros((len(low), len(high)), np.float32)
+        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
+            part = np.zeros((len(low) + len(high), 4096), np.float32)
+            own = (column >= start) & (column < start + 4096)
+            part[row[own], column[own] - start] = 1
+            both += part[: len(low)] @ part[len(low) :].T
+        linked = 100 * both >= rules.percent * (sizes[0][:, None] + sizes[1][None, :] - both)
+        linked &= low["component"].to_numpy()[:, None] != high["component"].to_numpy()[None, :]
+        i, j = np.nonzero(linked)
+        return pd.DataFrame({"a": low["node"].to_numpy()[i], "b": high["node"].to_numpy()[j]})
+
+    return run
+
+
+def _met_in_full(nodes: DataFrame, sets: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """Links between the nodes of different components, found on full sets without emitting a pair that is not one.
+
+    Linked sets share one of the `meeting` smallest hashes of their union but for a probability of 0.2 to that power, and a
+    node stands under each of its own. Groups are cut into blocks of `block` nodes that meet two by two.
+    """
+    size_class = F.floor(F.log("n_shingles") / F.log(F.lit(1.26)))
+    value = F.explode(F.slice("sketch", 1, rules.meeting))
+    named = nodes.join(classes.select("node", "sketch", "n_shingles"), "node").select("node", "component", size_class.alias("size_class"), value.alias("value"))
+    placed = named.select("node", "component", F.explode(F.array(F.xxhash64("value", "size_class"), F.xxhash64("value", F.col("size_class") + 1))).alias("key"))
+    groups = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.ceil(F.count("*") / rules.block).alias("blocks")).where("first <> last").select("key", "blocks")
+    rows = placed.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(sets, "node")
+    return rows.groupBy("key", "low", "high").applyInPandas(_meet(rules), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (a, b): the smallest node that it reaches."""
+    """(node, component) for every node of the edges (a, b): the smallest node that it reaches.
+
+    Each turn at least halves the nodes that still have edges, and stars need one.
+    """
     edges = cut_lineage(edges.select("a", "b").where("a <> b").distinct())
     found = None
     while not edges.isEmpty():
@@ -124,8 +180,7 @@ def components(edges: DataFrame) -> DataFrame:
         if found is None:
             found = points.toDF("node", "component")
         else:
-            moved = points.toDF("component", "to")
-            found = cut_lineage(found.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            found = found.join(points.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
         at = lambda x: points.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}"))  # noqa: E731, B023
         edges = cut_lineage(edges.join(at("a"), "a").join(at("b"), "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
     if found is None:
@@ -135,38 +190,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFrame:
     """Edges between classes, enough to connect all classes that links connect: (node, component)."""
-    lists = cut_lineage(_inverted_lists(classes, rules)).withColumn("component", F.col("node"))
+    lists = _inverted_lists(classes, rules)
+    held = lists.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    lists = cut_lineage(lists.join(held, "value").withColumn("component", F.col("node")))
+    if lists.isEmpty():
+        return classes.select("node", F.col("node").alias("component"))
+    sets = _candidate_sets(lists, docs, classes, rules)
     enough = max(rules.meet_in_full, 4 * classes.count())
-    edges, reached, tried = None, None, None
+    edges = None
     for turn in range(rules.rounds + 1):
-        if reached is not None:
-            lists = lists.drop("component").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_lists = lists.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-        lists = cut_lineage(lists.join(open_lists.select("value", "n"), "value").select("value", "node", "weight", "component", "n"))
-        left = lists.agg(F.sum("n")).first()[0]
-        if not left:
-            break
-        lists = lists.drop("n")
+        last = turn == rules.rounds or lists.agg(F.sum("n")).first()[0] <= enough
         mine = lists.select("value", F.col("node").alias("a"), F.col("component").alias("own"))
-        last = left <= enough or turn == rules.rounds
         if last:
-            met = mine.join(lists.select("value", F.col("node").alias("b"), F.col("component").alias("its")), "value").where("a < b")
+            fresh = cut_lineage(_met_in_full(lists.select("node", "component").distinct(), sets, classes, rules))
         else:
             heads = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "component")).alias("head")).select("value", (-F.col("head.minus")).alias("b"), F.col("head.component").alias("its"))
             met = mine.join(heads, "value")
             lists = lists.join(heads.select("value", F.col("b").alias("node")), ["value", "node"], "left_anti")
-        pairs = _ordered(met.where("own <> its"))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        near = cut_lineage(_estimated(pairs, classes, rules))
-        fresh = near if near.isEmpty() else cut_lineage(_confirmed(near, docs, classes, rules))
+            fresh = cut_lineage(_confirmed(_estimated(_ordered(met.where("own <> its")), classes, rules), sets, rules))
         edges = fresh if edges is None else edges.union(fresh)
         reached = components(edges)
         if last:
             break
-    return reached if reached is not None else lists.select("node", F.col("node").alias("component"))
+        lists = lists.drop("component", "n").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        open_lists = lists.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
+        lists = cut_lineage(lists.join(open_lists.select("value", "n"), "value").select("value", "node", "weight", "component", "n"))
+        if lists.isEmpty():
+            break
+    return reached
 
 
 def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -> DataFrame:
