@@ -31,6 +31,8 @@ class KneserNey:
     slot_bits: int = 20
     #: Labelled rows on which the score is calibrated, at most; they take no part in the counts.
     calibration: int = 20_000
+    #: Up to so many labels (about 16 bytes each) go to the texts; more of them, and both sides are shuffled.
+    broadcast_labels: int = 2_000_000
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -217,12 +219,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: KneserNey = Kne
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fold: Column = remainder("doc_id", 5)
     known = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    learned = own.where(fold.between(1, 3)).join(known.where(fold.between(1, 3)), "doc_id").select("toxic", "text")
+    known = cut_lineage(known)
+    if known.count() <= settings.broadcast_labels:
+        known = F.broadcast(known)
+    learned = own.where(fold.between(1, 3)).join(known, "doc_id").select("toxic", "text")
     tables = score_tables(log_ratios(cut_lineage(ngram_table(learned, settings)), settings), settings)
     shared = spark.sparkContext.broadcast(tables)
-    judged = known.where(fold == 4)
-    share = min(1.0, settings.calibration / max(judged.count(), 1))
-    judged = judged.where(F.pmod(F.xxhash64(F.lit("cal"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    share = min(1.0, settings.calibration / max(known.where(fold == 4).count(), 1))
+    judged = known.where((fold == 4) & (F.pmod(F.xxhash64(F.lit("cal"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
     probe = own.where(fold == 4).join(judged, "doc_id").select("toxic", "text").mapInArrow(_scores(shared, settings, np.zeros(4), ["toxic"]), "toxic int, log_ratio double, size long, score double, predicted int")
     seen = probe.select("toxic", "log_ratio", "size").toPandas()
     weights = calibrate(seen["log_ratio"].to_numpy(float), seen["size"].to_numpy(float), seen["toxic"].to_numpy(float))
