@@ -1,0 +1,219 @@
+"""The training-data operators against brute force, on small tables with odd rows."""
+
+import hashlib
+import random
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+from tickframe.llm import bpe, chat, langid, linededup, mixing, neardup, pii, quality, search, toxicity
+from tickframe.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, drop_keys string, key string, row string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), "x", "y", "z") for i, t, lang, s in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choices(words, k=rng.randint(30, 120))) for _ in range(30)]
+    out = [(i, t, "en", f"s{i % 4}") for i, t in enumerate(base)]
+    for i in range(20):
+        edited = base[i % 6].split()
+        edited[rng.randrange(len(edited))] = "changed"
+        out.append((100 + i, " ".join(edited), "en", "s0"))
+    line = "This very common line stands in many documents."
+    out += [(200 + i, f"{line}\n{base[i % 3]}\n  {line.upper()} \nown line number {i}", "de", None) for i in range(8)]
+    out += [(300, None, None, None), (301, "", "en", "s1"), (302, " \n\t ", "fr", "s9"), (303, "one two", None, "s2"), (304, "one two", "en", "s2"), (305, " ".join(rng.choices(words, k=5000)), "en", "s3"), (306, "Éé ñ 日本\n" * 3, "es", "s1")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows)
+
+
+def duck(rows):
+    import pandas as pd
+
+    c = duckdb.connect()
+    c.register("d", pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]))
+    c.execute("CREATE VIEW documents AS SELECT doc_id::BIGINT AS doc_id, text::VARCHAR AS text, lang::VARCHAR AS lang, source::VARCHAR AS source FROM d")
+    return c
+
+
+def same(df, sql, rows):
+    got = df.toPandas()
+    want = duck(rows).execute(sql).fetchdf()
+    key = lambda x: Counter(tuple(None if v != v else v for v in r) for r in x[list(want.columns)].astype(object).itertuples(index=False))
+    assert key(got) == key(want)
+
+
+def test_line_dedup(docs, rows):
+    same(linededup.dedup_lines(docs), linededup.SQL, rows)
+    # A filter of a few bits lets more lines through and changes nothing.
+    same(linededup.dedup_lines(docs, 64), linededup.SQL, rows)
+    kept = linededup.drop_repeated_lines(docs)
+    assert kept.schema == docs.schema and kept.count() == len(rows)
+
+
+def test_mixing(docs, rows):
+    same(mixing.mix_sources(docs), mixing.SQL, rows)
+    out = mixing.mix_sources(docs).toPandas()
+    assert (out.taken <= 3 * out["size"]).all()
+    for _, part in out.groupby("source", dropna=False):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 0.5
+    assert mixing.repeat_by_mix(docs).schema == docs.schema
+
+
+def test_near_duplicates(docs, rows):
+    rules = neardup.NearDuplicates(words=4)
+    same(neardup.near_duplicates(docs, rules), neardup.SQL, rows)
+    # Rounds, blocks of two nodes, and everything at once agree.
+    for other in (neardup.NearDuplicates(words=4, meet_in_full=0, block=2), neardup.NearDuplicates(words=4, meet_in_full=0, rounds=3)):
+        if other.meet_in_full == 0:
+            same(neardup.near_duplicates(docs, other), neardup.SQL, rows)
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e f", "en", "s"), (None, "a b c d e f", "en", "s"), (1, "a b c d e f", "en", "s"), (1, "a b c d e f", "en", "s")]
+    docs = frame(spark, rows)
+    assert neardup.near_duplicates(docs).count() == 4
+    assert neardup.keep_one_each(docs).count() == 3
+    assert mixing.mix_sources(docs).count() == 4
+    assert linededup.dedup_lines(docs).count() == 4
+    assert quality.assess_quality(docs).count() == 4
+    assert langid.identify_languages(docs).count() == 4
+
+
+def test_empty_tables(spark, docs):
+    none = docs.where("false")
+    for f in (linededup.dedup_lines, mixing.mix_sources, mixing.repeat_by_mix, neardup.near_duplicates, quality.assess_quality, quality.keep_quality, langid.identify_languages, pii.find_personal_data, search.search_every_fiftieth):
+        assert f(none).count() == 0, f
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.score_toxicity(none, labels).count() == 0
+    assert chat.preference_digests(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+    assert bpe.code_texts(none, tokenizer_path()).count() == 0
+
+
+def test_quality_base(docs, rows):
+    out = quality.assess_quality(docs).toPandas().set_index("doc_id")
+    for i, text, _, _ in rows:
+        words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", text or "") if w]
+        windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        covered = {k + j for k in range(len(words) - 4) if windows[tuple(words[k : k + 5])] > 1 for j in range(5)}
+        lines = [x for x in (text or "").split("\n") if x.strip("\x20\x09\x0a\x0b\x0c\x0d")]
+        failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+        want = (len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed)
+        assert tuple(out.loc[i, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]]) == want, i
+    assert not (out.kept & out.base_failed).any()
+
+
+def test_quality_rejects_other_distributions(spark):
+    rng = random.Random(1)
+    common = "the of and to in is that it for was".split()
+    plain = lambda n: " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    rows = [(i, plain(150), "en", "s") for i in range(60)] + [(100, plain(150).upper(), "en", "s"), (101, " ".join(f"{w}###" for w in plain(150).split()), "en", "s")]
+    out = quality.assess_quality(frame(spark, rows)).toPandas().set_index("doc_id")
+    assert out.loc[range(60), "kept"].all() and not out.loc[[100, 101], "kept"].any()
+
+
+def test_bpe_equals_library(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    odd = ["İstanbul ΣΑΣ", "it's we'll I'D", "a\x1cb", "<|startoftext|>Hello<|endoftext|>x", "日本語 123 ½", "😀👍🏽", "x\x85y\xa0z", "a" * 2000, None]
+    mine = [*rows, *[(1000 + i, t, None, None) for i, t in enumerate(odd)]]
+    out = bpe.code_texts(frame(spark, mine), tokenizer_path(), with_output=True).toPandas().set_index("doc_id")
+    for i, text, _, _ in mine:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert list(out.loc[i, "ids"]) == ids
+        assert out.loc[i, "ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert out.loc[i, "decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_personal_data(spark):
+    text = "mail a.b@c-d.example.com or x@y, 10.0.0.255 256.1.1.1 card 4111 1111 1111 1111 call +1 (555) 123-4567 é a@b.c@d.e"
+    out = pii.find_personal_data(frame(spark, [(1, text, None, None), (2, None, None, None)])).toPandas().set_index("doc_id")
+    spans = [(k, m.start(), m.end()) for k in pii.KINDS for m in pii.PATTERNS[k].finditer(text) if pii._holds(k, m[0])]
+    want = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], pii.KINDS.index(s[0]))))
+    assert out.loc[1, "spans"] == want and out.loc[2, "spans"] == ""
+    assert out.loc[1, "base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert "4111" not in pii.sanitise(text, want) and "[card]" in pii.sanitise(text, want)
+
+
+def test_disclosing_terms(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = [(i, f"{word()} {word()} {word()} Zorbax {word()} chief@corp.example {word()} {word()}", None, None) for i in range(12)]
+    rows += [(50 + i, f"{word()} {word()} u{i}@mail.example {word()}", None, None) for i in range(40)]
+    # One passage, copied: its terms say nothing.
+    rows += [(200 + i, "Again here stands plonk beside only@copy.example every time", None, None) for i in range(12)]
+    found = {(r["entity"], r["term"]) for r in pii.disclosing_terms(frame(spark, rows)).collect()}
+    assert found == {("email:chief@corp.example", "zorbax")}
+    assert pii.find_personal_data(frame(spark, rows)).where("terms > 0").count() == 12
+
+
+def test_search_is_exact(docs, rows):
+    out = search.search_every_fiftieth(docs, search.Bm25(shard=16, docs_per_block=4)).toPandas()
+    s = search.Bm25()
+    terms = {i: search._terms((t or "").encode()) for i, t, _, _ in rows}
+    n, average = len(rows), sum(v[2] for v in terms.values()) / len(rows)
+    df = Counter(x for v in terms.values() for x in v[0].tolist())
+    for q in (i for i, *_ in rows if i % 50 == 0):
+        asked, scored = set(terms[q][0].tolist()), []
+        for i, (t, c, size) in terms.items():
+            norm = s.k1 * (1 - s.b + s.b * size / average)
+            total = sum(np.rint(np.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * f * (s.k1 + 1) / (f + norm) / search.UNIT) * search.UNIT for x, f in zip(t.tolist(), c.tolist(), strict=True) if x in asked)
+            if total > 0:
+                scored.append((-total, i))
+        assert out[out.query_id == q].sort_values("rank").doc_id.tolist() == [i for _, i in sorted(scored)[: s.k]]
+
+
+def test_preferences(spark):
+    rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (2, 0, "user", None), (3, 0, None, ""), (4, 0, "user", "alone"), (None, 0, "user", "x"), (6, 0, "user", "a"), (7, 0, "user", "a"), (7, 1, "user", "b")]
+    made = {r["pair_id"]: r for r in chat.format_preferences(chat.preference_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).collect()}
+    assert set(made) == {0, 1, 3}
+    first = made[0]
+    assert first["n_prefix"] == 1 and first["prompt"] == "<|user|>\nhi<|end|>\n"
+    mask = first["chosen_mask"][0]
+    assert mask["learned"] and first["chosen"][mask["start"] : mask["stop"]] == "good"
+    assert made[1]["n_prefix"] == 1 and made[1]["chosen"] == ""
+    assert made[3]["n_prefix"] == 1 and not made[3]["rejected_mask"][0]["learned"]
+
+
+def test_language_and_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = langid.identify_languages(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
+    held = out[out.held_out]
+    assert (held.lang_pred == held.lang).mean() > 0.95
+    assert out.score.between(0, 1).all()
+    odd = langid.predict_languages(frame(spark, [(1, None, None, None), (2, "123 !", None, None)]), langid.fit_languages(docs)).toPandas()
+    assert set(odd.lang_pred) == {"und"}
+    tox = toxicity.score_toxicity(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    held = tox[tox.held_out]
+    clean, bad = held[held.toxic == 0], held[held.toxic == 1]
+    assert tox.score.between(0, 1).all() and len(tox) == labels.count()
+    assert clean.predicted.mean() < 0.05 and bad.score.mean() > clean.score.mean()
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before, docs = docs, stage(spark, docs, sf)
+        docs = spark.createDataFrame(docs.toPandas(), docs.schema)
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns, name
+        assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= {r["doc_id"] for r in before.select("doc_id").collect()}
+    assert docs.count() > 0

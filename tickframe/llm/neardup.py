@@ -128,6 +128,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rules: NearDuplicates) -> Data
 def _meet(rules: NearDuplicates):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         low, high = group[group["block"] == group["low"]], group[group["block"] == group["high"]]
+        if low.empty or high.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         values = np.concatenate([*low["shingles"], *high["shingles"]])
         kinds, column, holders = np.unique(values, return_inverse=True, return_counts=True)
         # Values that one set holds alone add nothing; the others are taken some thousand at a time.
