@@ -38,8 +38,8 @@ class NearDuplicates:
     margin: float = 0.3
     rounds: int = 1
     #: What stays unconnected meets under so many of its smallest hashes, in blocks of so many nodes.
-    meeting: int = 12
-    block: int = 512
+    meeting: int = 10
+    block: int = 1024
     #: Lists meet in full at once if twice their pairs are no more than this or four times the number of classes.
     meet_in_full: int = 500_000
 
@@ -157,10 +157,7 @@ def _met_in_full(nodes: DataFrame, sets: DataFrame, classes: DataFrame, rules: N
     Linked sets share one of the `meeting` smallest hashes of their union but for a probability of 0.2 to that power, and a
     node stands under each of its own. Groups are cut into blocks of `block` nodes that meet two by two.
     """
-    size_class = F.floor(F.log("n_shingles") / F.log(F.lit(1.26)))
-    value = F.explode(F.slice("sketch", 1, rules.meeting))
-    named = nodes.join(classes.select("node", "sketch", "n_shingles"), "node").select("node", "component", size_class.alias("size_class"), value.alias("value"))
-    placed = named.select("node", "component", F.explode(F.array(F.xxhash64("value", "size_class"), F.xxhash64("value", F.col("size_class") + 1))).alias("key"))
+    placed = nodes.join(classes.select("node", "sketch"), "node").select("node", "component", F.explode(F.slice("sketch", 1, rules.meeting)).alias("key"))
     groups = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.ceil(F.count("*") / rules.block).alias("blocks")).where("first <> last").select("key", "blocks")
     rows = placed.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("key", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(sets, "node")
