@@ -47,8 +47,9 @@ def clock_markouts(quotes: DataFrame, horizon_us: int) -> DataFrame:
     """
     data = quotes.select("symbol", F.col("us").alias("at"), F.lit(1).alias("kind"), "event_id", F.struct("us", mid().alias("mid")).alias("quote"))
     probes = quotes.select("symbol", (F.col("us") + horizon_us).alias("at"), F.lit(0).alias("kind"), "event_id", F.lit(None).cast("struct<us:bigint,mid:double>").alias("quote"))
-    ahead = Window.partitionBy("symbol").orderBy("at", "kind", "event_id").rowsBetween(0, Window.unboundedFollowing)
-    found = data.union(probes).withColumn("next", F.first("quote", ignorenulls=True).over(ahead)).where("kind = 0").select(F.col("event_id").alias("probe"), "next")
+    # Backwards in time, so that the frame only grows; one that shrinks would be summed anew for every row.
+    ahead = Window.partitionBy("symbol").orderBy(F.desc("at"), F.desc("kind"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
+    found = data.union(probes).withColumn("next", F.last("quote", ignorenulls=True).over(ahead)).where("kind = 0").select(F.col("event_id").alias("probe"), "next")
     joined = quotes.join(found, F.col("event_id") == F.col("probe")).drop("probe")
     move = F.col("next.mid") / mid() - 1
     return joined.withColumns({"future_us": F.col("next.us"), "future_mid": F.col("next.mid"), "markout_bps": move * 1e4, "direction": F.signum(move).cast("int")}).drop("next")
