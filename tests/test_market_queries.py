@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+import tickframe.plans.feed_queries  # noqa: F401
 from tickframe.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +83,13 @@ def test_future_rows_do_not_change_features(spark):
     early = quotes.where("event_index <= 3")
     pick = lambda df: df.where("event_index <= 3").select("event_id", "ofi_l1", "microprice").toPandas().sort_values("event_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(pick(order_flow_imbalance(quote_features(quotes))), pick(order_flow_imbalance(quote_features(early))))
+
+
+def test_feed_lines(spark, tmp_path):
+    from tickframe.sources import feed
+
+    (tmp_path / "a.jsonl").write_text('{"type": "snapshot", "product_id": "P", "time": "t0", "bids": [["1", "2"]], "asks": [["3", "4"]]}\n\n{"type": "heartbeat"}\n')
+    (tmp_path / "b.jsonl").write_text('{"local_ts": "here", "message": {"type": "match", "product_id": "P", "time": "t1", "price": "2", "size": "5", "side": "sell"}}\n')
+    messages = feed.parse(feed.read_lines(spark, str(tmp_path)))
+    assert [(r.receive_index, r.local_ts, r.side, r.price) for r in feed.level_rows(messages).orderBy("change_index").collect()] == [(1, "t0", "bid", 1.0), (1, "t0", "ask", 3.0)]
+    assert [(r.receive_index, r.local_ts, r.aggressor, r.trade_sign) for r in feed.trade_rows(messages).collect()] == [(3, "here", "buy", 1)]
