@@ -176,6 +176,14 @@ def test_search_is_exact(docs, rows):
         assert out[out.query_id == q].sort_values("rank").doc_id.tolist() == [i for _, i in sorted(scored)[: s.k]]
 
 
+def test_search_by_common_terms_only():
+    rows = [(np.array([0, 1]), np.array([1.0 + i % 5, 0.5])) for i in range(60)]
+    shard = search.Shard(rows, 3, search.Bm25(k=3, docs_per_block=4))
+    found, scores = shard.top(np.array([0, 1, 2]))
+    best = found[np.lexsort((found, -scores))[:3]]
+    assert best.tolist() == [4, 9, 14] and scores.max() == 5.5
+
+
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (2, 0, "user", None), (3, 0, None, ""), (4, 0, "user", "alone"), (None, 0, "user", "x"), (6, 0, "user", "a"), (7, 0, "user", "a"), (7, 1, "user", "b")]
     made = {r["pair_id"]: r for r in chat.format_preferences(chat.preference_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).collect()}

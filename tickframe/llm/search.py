@@ -104,7 +104,8 @@ class Shard:
         first, sizes = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
         total = int(sizes.sum())
         at = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(total) if total else np.empty(0, np.int64)
-        scores = np.bincount(self.docs[at], weights=self.impacts[at], minlength=self.n)
+        # Without rare terms the count is empty and of integers.
+        scores = np.bincount(self.docs[at], weights=self.impacts[at], minlength=self.n).astype(np.float64)
         # Common terms, largest impact first, until the rest cannot bring in a new document.
         rows = rows[np.argsort(-self.block_max[rows].max(axis=1), kind="stable")] if len(rows) else rows
         step, done = 8, 0
