@@ -161,7 +161,7 @@ def test_disclosing_terms(spark):
 
 
 def test_search_is_exact(docs, rows):
-    out = search.search_every_fiftieth(docs, search.Bm25(shard=16, docs_per_block=4)).toPandas()
+    out = search.search_every_fiftieth(docs, search.Bm25(shard=16, docs_per_block=4, first_docs=12, first_tasks=2, widen=2)).toPandas()
     s = search.Bm25()
     terms = {i: search._terms((t or "").encode()) for i, t, _, _ in rows}
     n, average = len(rows), sum(v[2] for v in terms.values()) / len(rows)

@@ -8,6 +8,11 @@ In a shard a query takes its terms in the order of their largest impact. As soon
 document over the k-th best score so far, blocks of documents whose largest impacts cannot reach it either are passed
 over, and only the documents that still can are scored in full (terms that most documents hold come last).
 
+Documents are searched in rounds by the hash of the row: first some `first_docs` of them in `first_tasks` tasks, then
+`widen` times as many at a time until the table is through. Each round hands the k-th best (score, doc_id) of every query
+to the next, which passes on only what beats it. As rows come in random order, a round passes on about k * `widen` rows a
+query however many shards it has, where whole lists from every shard would grow with queries times shards.
+
 Queries are handled in blocks of at most `block_terms` terms, so that what is broadcast has a fixed bound.
 """
 
@@ -34,11 +39,18 @@ class Bm25:
     block_terms: int = 4_000_000
     #: Terms in so large a share of a shard's documents have their impacts in rows of a dense matrix.
     dense_share: float = 0.1
+    first_docs: int = 8192
+    first_tasks: int = 8
+    widen: int = 8
 
 
 #: Impacts are multiples of this, so sums of them are exact.
 UNIT = 2.0**-24
 
+#: Rows are placed by their hashes in this range; and the key of a null doc_id, which comes last.
+_ROWS = 2**62
+_NO_ID = 2**63 - 1
+
 
 def _terms(text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
     """Distinct term hashes, their counts, and the length in words."""
@@ -96,8 +108,8 @@ class Shard:
         self.block_of = np.arange(self.n) // settings.docs_per_block
         self.block_max = np.maximum.reduceat(self.dense, np.arange(0, self.n, settings.docs_per_block), axis=1) if len(common) else np.zeros((0, self.block_of[-1] + 1))
 
-    def top(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents (as positions) and scores that may be among the k best of this shard; all that are, are there."""
+    def top(self, query: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Documents (as positions) and scores that may be among the k best of this shard and reach `floor`; all that do, are there."""
         k = self.settings.k
         rows = self.row_of[query]
         rare, rows = query[rows < 0], rows[rows >= 0]
@@ -110,7 +122,7 @@ class Shard:
         rows = rows[np.argsort(-self.block_max[rows].max(axis=1), kind="stable")] if len(rows) else rows
         step, done = 8, 0
         while True:
-            least = np.partition(scores, -k)[-k] if self.n >= k else 0.0
+            least = max(np.partition(scores, -k)[-k], floor) if self.n >= k else floor
             rest = self.block_max[rows[done:]].sum(axis=0)
             live = scores + rest[self.block_of] >= least
             if done >= len(rows) or live.sum() <= max(4 * k, self.n // 16):
@@ -123,20 +135,24 @@ class Shard:
         return found, exact
 
 
-def _search(shared, settings: Bm25):
+def _search(shared, bars, settings: Bm25):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         vocabulary, idf, average = plan["vocabulary"], plan["idf"], plan["average"]
         queries = np.split(plan["terms"], plan["ends"][:-1])
+        least, last = bars.value[0].copy(), bars.value[1].copy()
 
         def answer(ids: list, rows: list) -> pa.RecordBatch:
             shard = Shard(rows, len(vocabulary), settings)
-            keys = np.array([2**63 - 1 if i is None else i for i in ids])
+            keys = np.array([_NO_ID if i is None else i for i in ids])
             out_query, out_doc, out_score = [], [], []
             for q, query in enumerate(queries):
-                found, scores = shard.top(query)
+                found, scores = shard.top(query, least[q])
+                better = (scores > least[q]) | (scores > 0) & (scores == least[q]) & (keys[found] < last[q])
+                found, scores = found[better], scores[better]
                 best = np.lexsort((keys[found], -scores))[: settings.k]
-                best = best[scores[best] > 0]
+                if len(best) == settings.k:
+                    least[q], last[q] = scores[best[-1]], keys[found[best[-1]]]
                 out_query.append(np.full(len(best), plan["ids"][q]))
                 out_doc.append(found[best])
                 out_score.append(scores[best])
@@ -189,11 +205,36 @@ def search(docs: DataFrame, queries: DataFrame, settings: Bm25 = Bm25()) -> Data
         frequency = np.array([seen.get(i, 0) for i in range(len(vocabulary))], float)
         idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
         plan = spark.sparkContext.broadcast({"vocabulary": vocabulary, "idf": idf, "average": max(seen.get(-2, 0) / max(n, 1), 1e-9), "terms": terms.astype(np.int64), "ends": np.cumsum(sizes), "ids": np.array(part.column("query_id").to_pylist(), np.int64)})
-        found = own.mapInArrow(_search(plan, settings), "query_id long, doc_id long, score double")
+        found = _in_rounds(own, plan, np.array(part.column("query_id").to_pylist(), np.int64), n, settings)
         results = found if results is None else results.unionByName(found)
+    return results
+
+
+def _in_rounds(docs: DataFrame, plan, ids: np.ndarray, n: int, settings: Bm25) -> DataFrame:
+    """The k best of each query of a block, over all documents."""
+    bounds = [min(_ROWS, _ROWS * settings.first_docs // max(n, 1))]
+    while bounds[-1] < _ROWS:
+        bounds.append(min(_ROWS, max(bounds[-1], 1) * settings.widen))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_ROWS))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    ranked = results.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.k)
-    return ranked.select("query_id", "doc_id", "rank", "score")
+    kept = None
+    for start, stop in zip([0, *bounds], bounds, strict=False):
+        least, last = np.zeros(len(ids)), np.full(len(ids), _NO_ID)
+        if kept is not None:
+            kept = cut_lineage(kept)
+            bars = kept.where(F.col("rank") == settings.k).orderBy("query_id").toArrow()
+            known = bars.column("query_id").to_numpy()
+            at = np.searchsorted(known, ids)
+            at[at == len(known)] = 0
+            held = known[at] == ids if len(known) else np.zeros(len(ids), bool)
+            least[held] = bars.column("score").to_numpy()[at[held]]
+            last[held] = bars.column("doc_id").fill_null(_NO_ID).to_numpy()[at[held]]
+        part = docs.where((place >= start) & (place < stop))
+        part = part.repartition(settings.first_tasks) if kept is None else part
+        found = part.mapInArrow(_search(plan, docs.sparkSession.sparkContext.broadcast((least, last)), settings), "query_id long, doc_id long, score double")
+        found = found if kept is None else found.unionByName(kept.drop("rank"))
+        kept = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.k).select("query_id", "doc_id", "rank", "score")
+    return kept
 
 
 def search_every_fiftieth(docs: DataFrame, settings: Bm25 = Bm25()) -> DataFrame:
