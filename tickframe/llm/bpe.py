@@ -185,8 +185,12 @@ def code_texts(docs: DataFrame, path: str, with_output: bool = False) -> DataFra
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4 << 20):
-            made = _code_columns(batch, definition, with_output)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[made[k] for k in names]], ["doc_id", *names])
+        try:
+            for batch in slices(batches, 4 << 20):
+                made = _code_columns(batch, definition, with_output)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[made[k] for k in names]], ["doc_id", *names])
+        finally:
+            # Spark uses its Python processes again: what is kept here would stand beside later tasks' memory.
+            _coders.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {kinds[k]}" for k in names))
