@@ -63,6 +63,17 @@ def test_line_dedup(docs, rows):
     assert kept.schema == docs.schema and kept.count() == len(rows)
 
 
+def test_line_filter_holds_every_repeated_hash():
+    import pandas as pd
+
+    # Both set the same bits of a filter of 1,024 bits, but not of the compact one.
+    hashes = np.array([(1 << 32) + 5, (1 << 32) + 5 + 1024], np.uint64)
+    group = pd.DataFrame({"once": [h.tobytes() for h in hashes], "again": [h.tobytes() for h in hashes], "n": [1, 1]})
+    bits = linededup.SUSPECT_BITS
+    found = np.frombuffer(linededup._filter_segment(bits)(group)["positions"][0], np.uint32)
+    assert set(linededup._positions(hashes, bits).ravel().tolist()) <= set(found.tolist())
+
+
 def test_mixing(docs, rows):
     same(mixing.mix_sources(docs), mixing.SQL, rows)
     out = mixing.mix_sources(docs).toPandas()

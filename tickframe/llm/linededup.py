@@ -5,9 +5,10 @@ occur in two or more documents keep their lines only in the smallest doc_id that
 
 1. Each task hashes its documents' distinct keys and passes on 8-byte hashes, each once a task, with a mark for hashes
    that two of its documents share. Hashes are dealt by value over as many segments as the table has partitions.
-2. Each segment feeds two Bloom filters: a hash whose bits are all in the once-seen filter goes to the twice-seen one.
-   The segment's twice-seen hashes set bits of one compact filter of `suspect_bits` bits (a fixed size, however large the
-   table is: a fuller filter lets more lines through to step 3 and changes no result).
+2. Each segment feeds two Bloom filters: every hash whose bits are all in the segment's once-seen filter, or that a task
+   marked, sets its bits in the twice-seen one, which all segments share. That is the compact filter of `suspect_bits`
+   bits (a fixed size, however large the table is: a fuller filter lets more lines through to step 3 and changes no
+   result). Neither filter leaves out a repeated hash.
 3. Only lines that this filter suspects are shuffled, with their whole key. Grouping confirms keys of at least two
    documents and finds the first one.
 4. The confirmed drops return to their documents by doc_id.
@@ -30,7 +31,7 @@ from tickframe.llm.common import slices, texts
 MIN_KEY = 10
 #: Bits of the compact filter that every task gets: 2^26 bits are 8 MB.
 SUSPECT_BITS = 1 << 26
-#: A segment's filters get so many bits for each hash, and each hash sets so many of them.
+#: A segment's filter gets so many bits for each hash, and each hash sets so many of them.
 BITS_PER_HASH, BITS_SET = 16, 4
 
 
@@ -90,15 +91,12 @@ def _hash_keys(segments: int):
 def _filter_segment(suspect_bits: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         bits = 1 << max(10, int(group["n"].sum() * BITS_PER_HASH - 1).bit_length())
-        once, twice, suspects = Bloom(bits), Bloom(bits), []
+        once, suspects = Bloom(bits), []
         for seen, again in zip(group["once"], group["again"], strict=True):
             hashes, local = np.frombuffer(seen, np.uint64), np.frombuffer(again, np.uint64)
-            repeated = np.concatenate([hashes[once.holds(hashes)], local])
-            fresh = np.unique(repeated[~twice.holds(repeated)])
-            twice.add(fresh)
-            suspects.append(fresh)
+            suspects += [hashes[once.holds(hashes)], local]
             once.add(hashes)
-        positions = np.unique(_positions(np.concatenate(suspects), suspect_bits)).astype(np.uint32)
+        positions = np.unique(_positions(np.unique(np.concatenate(suspects)), suspect_bits)).astype(np.uint32)
         return pd.DataFrame({"positions": [positions.tobytes()]})
 
     return run
