@@ -135,6 +135,17 @@ def test_quality_rejects_other_distributions(spark):
     assert out.loc[range(60), "kept"].all() and not out.loc[[100, 101], "kept"].any()
 
 
+def test_quality_rejects_absence_of_common_words(spark):
+    rng = random.Random(2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    references = quality.language_references(docs)
+    odd = [(i, " ".join("".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 9))) for _ in range(300)) + ".", None, None) for i in range(20)]
+    out = quality.assess_quality(frame(spark, odd), references=references).toPandas()
+    assert not out.base_failed.any() and not out.kept.any()
+    kept = quality.assess_quality(docs, references=references).toPandas()
+    assert kept[~kept.base_failed].kept.mean() > 0.85
+
+
 def test_bpe_equals_library(spark, docs, rows):
     from tokenizers import Tokenizer
 

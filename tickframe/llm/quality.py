@@ -4,13 +4,18 @@ Each document's histograms of character classes and of common words are compared
 the corpus by Jensen-Shannon distance (base 2, so 0 to 1). Short documents are guarded: below a minimum length a
 histogram says little, so its test is skipped.
 
-Three passes over the whole table, none of which shuffles texts:
+Four passes over the whole table, none of which shuffles texts:
 
 1. Per language, the mean character-class histogram and the words that are locally frequent. A word that makes up at
    least `min_share` of a language's words must pass a quarter of that share often enough, so what is kept here holds
    every such word, and there are at most 4 / (3 * min_share) of them a language.
 2. Exact counts of these candidates. The `top_words` most frequent ones, and "any other word", form the word histogram.
-3. Base counts, distances and the verdict of each document.
+3. Per language, the scale of the word distance: a text without any common word has a fixed distance (0.38 where they make
+   up 27 % of the words), while that of a plain text falls with its length. So the squared distance is set against what
+   its language's documents have at that length: a base (their median beyond sampling noise) plus the noise, which is
+   common words / (8 ln 2 * words). A document whose ratio lies `word_spread` deviations above the median is strange.
+   Both come from quartiles over all documents, copies counted once, so up to a quarter of odd ones do not move them much.
+4. Base counts, distances and the verdict of each document.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import slices, texts, window_hashes, word_hashes
+from tickframe.llm.common import cut_lineage, slices, texts, window_hashes, word_hashes
 
 
 @dataclass(frozen=True)
@@ -43,6 +48,9 @@ class QualityRules:
     word_words: int = 40
     max_class_distance: float = 0.30
     max_word_distance: float = 0.45
+    #: Deviations above the median from which a language's word distance is strange, by so many documents at least.
+    word_spread: float = 5.0
+    scale_docs: int = 20
 
 
 #: Classes of UTF-8 bytes: 0 lower case, 1 upper case, 2 digit, 3 blank, 4 sentence punctuation, 5 other ASCII,
@@ -155,8 +163,52 @@ def _count(candidates: dict[str, set[bytes]]):
     return run
 
 
+def _word_ratios(references: dict[str, dict], rules: QualityRules):
+    """Words and squared word distance to its own language of each document that the word test judges."""
+    places = {lang: {w: i for i, w in enumerate(one["words"])} for lang, one in references.items()}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows: dict[str, list] = defaultdict(list)
+            for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
+                if text and (lang or "") in places:
+                    words = text.lower().split()
+                    if len(words) >= rules.word_words:
+                        at, other = places[lang or ""], len(places[lang or ""])
+                        rows[lang or ""].append(np.bincount(np.fromiter(map(at.get, words, repeat(other)), np.int64, len(words)), minlength=other + 1))
+            for lang, counts in rows.items():
+                counts = np.array(counts)
+                squared = js_distance(_shares(counts), references[lang]["shares"]) ** 2
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(counts.sum(axis=1), pa.int64()), pa.array(squared)], ["lang", "n", "squared"])
+
+    return run
+
+
+def _noise(one: dict) -> float:
+    """The expected squared distance of a sample from its own reference, times its words."""
+    return len(one["words"]) / (8 * np.log(2))
+
+
+def _add_scales(docs: DataFrame, references: dict[str, dict], rules: QualityRules) -> None:
+    """Gives each language with enough documents the `base` and `limit` of its word distance."""
+    worded = {lang: one for lang, one in references.items() if one["words"]}
+    if not worded:
+        return
+    found = cut_lineage(docs.mapInArrow(_word_ratios(worded, rules), "lang string, n long, squared double").distinct())
+    noise = F.element_at(F.create_map(*[F.lit(x) for lang, one in worded.items() for x in (lang, float(_noise(one)))]), F.col("lang")) / F.col("n")
+    bases = {r["lang"]: max(r["base"], 0.0) for r in found.groupBy("lang").agg(F.percentile_approx(F.col("squared") - noise, 0.5, 10_000).alias("base"), F.count("*").alias("docs")).where(F.col("docs") >= rules.scale_docs).collect()}
+    if not bases:
+        return
+    base = F.element_at(F.create_map(*[F.lit(x) for pair in bases.items() for x in pair]), F.col("lang"))
+    ratio = F.col("squared") / (base + noise)
+    for row in found.where(F.col("lang").isin(list(bases))).groupBy("lang").agg(F.percentile_approx(ratio, [0.5, 0.75], 10_000).alias("q")).collect():
+        middle, upper = row["q"]
+        # A normal distribution's third quartile lies 0.6745 deviations above its median.
+        references[row["lang"]] |= {"base": bases[row["lang"]], "limit": middle + rules.word_spread * (upper - middle) / 0.6745}
+
+
 def language_references(docs: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, dict]:
-    """Per language (null: the empty string) its class histogram, common words and their shares.
+    """Per language (null: the empty string) its class histogram, common words, their shares and the scale of distances.
 
     Languages with fewer than `reference_words` words are left out; an empty table has no reference. What comes to the
     driver is bounded by the number of languages times 4 / (3 * min_share) words.
@@ -185,7 +237,9 @@ def language_references(docs: DataFrame, rules: QualityRules = QualityRules()) -
             top = sorted(found)[: rules.top_words]
             shares = np.array([-n for n, _ in top]) / references[lang]["total"]
             references[lang] |= {"words": [w for _, w in top], "shares": np.append(shares, 1 - shares.sum())}
-    return {lang: {"words": [], "shares": np.ones(1)} | {k: v for k, v in one.items() if k != "candidates"} for lang, one in sorted(references.items())}
+    references = {lang: {"words": [], "shares": np.ones(1), "base": 0.0, "limit": np.inf} | {k: v for k, v in one.items() if k != "candidates"} for lang, one in sorted(references.items())}
+    _add_scales(docs, references, rules)
+    return references
 
 
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, nearest_lang string, class_distance double, word_distance double"
@@ -215,19 +269,21 @@ def _assess(references: dict[str, dict], rules: QualityRules):
             chars = starts - by_byte[:, _BLANKS].sum(axis=1)
             failed = (n < rules.min_words) | (100 * rep > rules.max_repeat_percent * n)
             shares = _shares(by_byte @ _CLASS_OF)
-            by_class, by_word = np.zeros((len(langs), len(data))), np.zeros((len(langs), len(data)))
+            by_class, by_word, limits = (np.zeros((len(langs), len(data))) for _ in range(3))
             for k, lang in enumerate(langs):
                 one = references[lang]
                 by_class[k] = js_distance(shares, one["classes"])
                 seen = common[:, columns[k]]
                 by_word[k] = js_distance(_shares(np.column_stack([seen, n - seen.sum(axis=1)])), one["shares"])
+                # A base of 0 and no common words: nothing to compare.
+                limits[k] = np.sqrt(one["limit"] * np.maximum(one["base"] + _noise(one) / np.maximum(n, 1), 1e-12))
             if langs:
                 best = (by_class + by_word).argmin(axis=0)
                 rows = np.arange(len(data))
-                d_class, d_word = by_class[best, rows], by_word[best, rows]
+                d_class, d_word, limit = by_class[best, rows], by_word[best, rows], np.minimum(limits[best, rows], rules.max_word_distance)
             else:
-                best, d_class, d_word = None, np.zeros(len(data)), np.zeros(len(data))
-            strange = (d_class > rules.max_class_distance) & (chars >= rules.class_chars) | (d_word > rules.max_word_distance) & (n >= rules.word_words)
+                best, d_class, d_word, limit = None, *(np.zeros(len(data)) for _ in range(3))
+            strange = (d_class > rules.max_class_distance) & (chars >= rules.class_chars) | (d_word > limit) & (n >= rules.word_words)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(chars, pa.int64()), pa.array(by_byte[:, _SYMBOLS].sum(axis=1), pa.int64()), pa.array(lines, pa.int64()), pa.array(rep, pa.int64()),
