@@ -234,6 +234,19 @@ def test_language_and_toxicity_held_out(spark):
     assert clean.predicted.mean() < 0.05 and bad.score.mean() > clean.score.mean()
 
 
+def test_toxicity_tables_keep_ngrams_apart(spark):
+    rng = np.random.default_rng(4)
+    grams = np.unique(rng.integers(97, 110, (60_000, 5)) @ (1 << np.arange(32, -1, -8)))
+    ratios = spark.createDataFrame([(5, int(g), 1.0, 1) for g in grams], "order int, gram long, ratio double, n long")
+    settings = toxicity.KneserNey()
+    tables = toxicity.score_tables(ratios, settings)
+    # N-grams of other letters are unseen, whatever their hashes; each seen one gives its own ratio.
+    assert toxicity.log_ratio(bytes(rng.integers(110, 123, 50_000).tolist()), tables, settings) == 0
+    text = bytes(rng.integers(97, 110, 5_000).tolist())
+    held, known = toxicity._codes(np.frombuffer(toxicity._prepare(text), np.uint8).astype(np.int64), 5), set(grams.tolist())
+    assert toxicity.log_ratio(text, tables, settings) == pytest.approx(sum(int(c) in known for c in held) / (len(text) + 2), rel=1e-4)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

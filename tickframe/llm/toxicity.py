@@ -6,8 +6,8 @@ probability in either model and only expressions that a class uses differently t
 log-likelihoods per character.
 
 The counts are gathered over every labelled training row and grow with it; all model tables are joins and groupings of
-n-gram rows. What scoring tasks get is a table of 2 * ORDERS * 2^SLOT_BITS floats, a fixed size: n-grams share slots by
-hash, weighted by their counts.
+n-gram rows. Scoring tasks get every n-gram seen, with its whole key, in hash tables that grow with the n-grams counted (32 to
+64 bytes each): an n-gram not seen meets no other's ratio and backs off.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +27,6 @@ from tickframe.llm.common import cut_lineage, remainder, slices, texts
 class KneserNey:
     order: int = 5
     discount: float = 0.75
-    slot_bits: int = 20
     #: Labelled rows on which the score is calibrated, at most; they take no part in the counts.
     calibration: int = 20_000
     #: Up to so many labels (about 16 bytes each) go to the texts; more of them, and both sides are shuffled.
@@ -52,9 +50,36 @@ def _codes(data: np.ndarray, order: int) -> np.ndarray:
     return codes
 
 
-def _slots(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
-    mixed = (codes.astype(np.uint64) + np.uint64(order << 48)) * _MIX
-    return ((mixed ^ (mixed >> np.uint64(29))) * _MIX >> np.uint64(64 - bits)).astype(np.int64)
+class Table:
+    """Ratio (NaN: not seen) and backoff ratio of n-grams by their exact codes, in an open hash table half full at most."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(codes) - 1).bit_length()) if len(codes) else 4
+        self.codes = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.tile(np.array([np.nan, 0], np.float32), (1 << self.bits, 1))
+        left, at = np.arange(len(codes)), self._start(codes)
+        while len(left):
+            free = self.codes[at] < 0
+            self.codes[at[free]] = codes[left[free]]
+            placed = self.codes[at] == codes[left]
+            self.values[at[placed]] = values[left[placed]]
+            left, at = left[~placed], (at[~placed] + 1) & (len(self.codes) - 1)
+
+    def _start(self, codes: np.ndarray) -> np.ndarray:
+        mixed = codes.astype(np.uint64) * _MIX
+        return ((mixed ^ (mixed >> np.uint64(29))) * _MIX >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self._start(codes)
+        held = self.codes[at]
+        left = np.flatnonzero((held != codes) & (held >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.codes) - 1)
+            held = self.codes[at[left]]
+            left = left[(held != codes[left]) & (held >= 0)]
+        # A search that ends at a free place finds its NaN and 0.
+        found = self.values[at]
+        return found[:, 0], found[:, 1]
 
 
 def _count_ngrams(order: int):
@@ -116,59 +141,52 @@ def log_ratios(top: DataFrame, settings: KneserNey) -> DataFrame:
     return whole
 
 
-_BLOCK_BITS = 14
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (order, gram, ratio) as one row of arrays for each order of a batch."""
+    for batch in slices(batches):
+        order, gram, ratio = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("order", "gram", "ratio"))
+        kinds = np.unique(order)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), *[pa.array([x[order == k].astype(t).tobytes() for k in kinds], pa.binary()) for x, t in ((gram, np.int64), (ratio, np.float32))]], ["order", "grams", "ratios"])
 
 
-def _pack(settings: KneserNey):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        order, block = int(group["order"].iloc[0]), int(group["block"].iloc[0])
-        size = 1 << min(_BLOCK_BITS, settings.slot_bits)
-        values = np.full(size, np.nan, np.float32)
-        at = group["slot"].to_numpy() & (size - 1)
-        values[at] = group["ratio"].to_numpy()
-        return pd.DataFrame({"order": [order], "block": [block], "data": [values.tobytes()]})
+def score_tables(ratios: DataFrame, settings: KneserNey) -> dict[int, Table]:
+    """Per n-gram length the ratios of n-grams and, for the order above, the backoff ratios of contexts.
 
-    return run
-
-
-def _slot_column(settings: KneserNey):
-    @F.pandas_udf("long")
-    def slot(order: pd.Series, gram: pd.Series) -> pd.Series:
-        out = np.zeros(len(gram), np.int64)
-        for k in np.unique(order):
-            own = (order == k).to_numpy()
-            out[own] = _slots(gram.to_numpy()[own], int(k) if k > 0 else 16 - int(k), settings.slot_bits)
-        return pd.Series(out)
-
-    return slot
-
-
-def score_tables(ratios: DataFrame, settings: KneserNey) -> dict[int, np.ndarray]:
-    """Per order the slots' ratios (NaN: nothing seen), and under the negative order those of backoff weights."""
-    slotted = ratios.withColumn("slot", _slot_column(settings)("order", "gram")).groupBy("order", "slot").agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).alias("ratio"))
-    packed = slotted.withColumn("block", F.shiftright("slot", _BLOCK_BITS)).groupBy("order", "block").applyInPandas(_pack(settings), "order int, block long, data binary")
-    tables = {k: np.full(1 << settings.slot_bits, np.nan, np.float32) for o in range(2, settings.order + 1) for k in (o, -o)}
-    for row in packed.toLocalIterator():
-        values = np.frombuffer(row["data"], np.float32)
-        tables[row["order"]][row["block"] * len(values) :][: len(values)] = values
-    return {k: v if k > 0 else np.nan_to_num(v) for k, v in tables.items()}
-
-
-def log_ratio(text: bytes | None, tables: dict[int, np.ndarray], settings: KneserNey) -> float:
+    The tables hold every n-gram, so what the driver and the tasks get grows with the n-grams counted.
+    """
+    parts: dict[int, tuple[list, list]] = {k: ([], []) for o in range(2, settings.order + 1) for k in (o, -o)}
+    for row in ratios.select("order", "gram", "ratio").coalesce(64).mapInArrow(_pack, "order int, grams binary, ratios binary").collect():
+        parts[row["order"]][0].append(np.frombuffer(row["grams"], np.int64))
+        parts[row["order"]][1].append(np.frombuffer(row["ratios"], np.float32))
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.float32))
+    flat = {k: tuple(np.concatenate([e, *x]) for e, x in zip(empty, part, strict=True)) for k, part in parts.items()}
+    tables = {}
+    for k in range(1, settings.order + 1):
+        (own, ratio), (context, back) = flat.get(k, empty), flat.get(-k - 1, empty)
+        codes = np.union1d(own, context)
+        values = np.tile(np.array([np.nan, 0], np.float32), (len(codes), 1))
+        values[np.searchsorted(codes, own), 0] = ratio
+        values[np.searchsorted(codes, context), 1] = back
+        tables[k] = Table(codes, values)
+    return tables
+
+
+def log_ratio(text: bytes | None, tables: dict[int, Table], settings: KneserNey) -> float:
     """Toxic minus ordinary log-likelihood per character."""
     data = np.frombuffer(_prepare(text or b""), np.uint8).astype(np.int64)
     n = len(data)
     if n < 2:
         return 0.0
     total = np.zeros(n - 1, np.float32)
+    _, back = tables[1].find(data)
     for k in range(2, settings.order + 1):
         if n < k:
             break
-        codes = _codes(data, k)
-        seen = tables[k][_slots(codes, k, settings.slot_bits)]
-        back = tables[-k][_slots(codes >> 8, 16 + k, settings.slot_bits)]
+        seen, above = tables[k].find(_codes(data, k))
         own = total[k - 2 :]
-        np.copyto(own, np.where(np.isnan(seen), own + back, seen))
+        # The context of an n-gram is the one a byte shorter that starts where it starts.
+        np.copyto(own, np.where(np.isnan(seen), own + back[: len(own)], seen))
+        back = above
     return float(total.sum() / n)
 
 
