@@ -182,6 +182,21 @@ def test_disclosing_terms(spark):
     assert pii.find_personal_data(frame(spark, rows)).where("terms > 0").count() == 12
 
 
+def test_copies_take_no_term_away(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    own = [f"{word()} {word()} Zorbax {word()} chief@corp.example {word()} {word()}" for _ in range(12)]
+    rows = list(enumerate([*own, *own[:1] * 100, *(f"{word()} {word()} u{i}@mail.example {word()}" for i in range(40))]))
+    # Near copies of one passage, each with one word changed, are one context.
+    passage = [word() for _ in range(20)]
+    for i in range(30):
+        edited = passage.copy()
+        edited[i % 20] = word()
+        rows.append((1000 + i, " ".join([*edited[:10], "only@copy.example", *edited[10:]])))
+    found = {(r["entity"], r["term"]) for r in pii.disclosing_terms(frame(spark, [(i, t, None, None) for i, t in rows])).collect()}
+    assert found == {("email:chief@corp.example", "zorbax")}
+
+
 def test_search_is_exact(docs, rows):
     out = search.search_every_fiftieth(docs, search.Bm25(shard=16, docs_per_block=4, first_docs=12, first_tasks=2, widen=2)).toPandas()
     s = search.Bm25()

@@ -4,10 +4,10 @@ Base spans come from four fixed patterns. The method adds terms that give away a
 base span): over the corpus, the pointwise mutual information of a term and an entity is set against the entity's
 information content, and a term above the threshold is removed or generalised wherever it stands beside its entity.
 
-A context of an entity is the pair of its nearest terms on either side, so copies of one passage count once. A term needs
-`least_contexts` of them, none of which may hold more than `largest_context` of its occurrences: a passage that was
-copied with small changes shows an entity in one context over and over, and says nothing about its terms. Contexts are
-counted over all documents.
+A context of an entity is the pair of its nearest terms on either side, so copies of one passage count once. Contexts of
+an entity that share half a side (`reach` / 2 terms in a row, at the same distance) are merged, as a passage that was copied
+with small changes says no more about its terms than one copy. A term needs `least_contexts` merged contexts, however
+often each occurs, so copies never take a term away. Contexts are counted over all documents.
 """
 
 from __future__ import annotations
@@ -42,7 +42,6 @@ class Disclosure:
     #: A term discloses an entity if their mutual information is at least this share of the entity's information.
     threshold: float = 0.75
     least_contexts: int = 5
-    largest_context: float = 0.34
     #: Words on each side of an entity, in its line, that count as beside it.
     reach: int = 10
 
@@ -106,7 +105,7 @@ def _beside(text: str, spans: list[tuple[str, int, int]], reach: int) -> Iterato
             if any(c.isalpha() for c in term):
                 (left if b <= start else right).append((term, a, b))
         near = left[-reach:] + right[:reach]
-        yield f"{kind}:{text[start:end].lower()}", " ".join(t for t, _, _ in near), near
+        yield f"{kind}:{text[start:end].lower()}", "\n".join(" ".join(t for t, _, _ in x) for x in (left[-reach:], right[:reach])), near
 
 
 def _contexts(rules: Disclosure):
@@ -125,6 +124,20 @@ def _contexts(rules: Disclosure):
     return run
 
 
+def _merged(seen: DataFrame, rules: Disclosure) -> DataFrame:
+    """(of, context, merged): per entity each context's representative among those that share half a side, in three steps."""
+    half = max(1, rules.reach // 2)
+    left, right = (F.split(F.split_part("context", F.lit("\n"), F.lit(k)), " ") for k in (1, 2))
+    cut = [("a", F.slice(F.reverse(left), 1, half)), ("b", F.slice(F.reverse(left), half + 1, half)), ("c", F.slice(right, 1, half)), ("d", F.slice(right, half + 1, half))]
+    parts = F.filter(F.array(*[F.when(F.size(x) == half, F.concat(F.lit(k), F.array_join(x, " "))) for k, x in cut]), lambda x: x.isNotNull())
+    own = cut_lineage(seen.where("term = ''").select("entity", "context", F.explode_outer(parts).alias("part"), F.col("context").alias("merged")))
+    for _ in range(3):
+        by_part = own.groupBy("entity", "part").agg(F.min("merged").alias("least"))
+        best = own.join(by_part.withColumnRenamed("entity", "e").withColumnRenamed("part", "p"), (F.col("entity") == F.col("e")) & (F.col("part") == F.col("p")), "left").groupBy("entity", "context").agg(F.min(F.coalesce("least", "merged")).alias("merged"))
+        own = cut_lineage(own.drop("merged").join(best, ["entity", "context"]))
+    return own.groupBy(F.col("entity").alias("of"), F.col("context").alias("in_context")).agg(F.min("merged").alias("merged"))
+
+
 def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
     """(entity, term): terms that disclose an entity, by its contexts over the corpus.
 
@@ -132,11 +145,12 @@ def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataF
     threshold * log(N / n(e)). An entity in every context has no information and is disclosed by nothing.
     """
     seen = cut_lineage(docs.select("text").mapInArrow(_contexts(rules), "entity string, term string, context string, n long").groupBy("entity", "term", "context").agg(F.sum("n").alias("n")))
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("both"), (F.max("n") / F.sum("n")).alias("largest"))
+    alike = seen.join(_merged(seen, rules), (F.col("entity") == F.col("of")) & (F.col("context") == F.col("in_context")))
+    pairs = cut_lineage(alike.groupBy("entity", "term").agg(F.count_distinct("merged").alias("both")))
     entities = pairs.where("term = ''").select(F.col("entity").alias("of_entity"), F.col("both").alias("n_entity"))
     terms = pairs.where("term <> ''").groupBy("term").agg(F.sum("both").alias("n_term")).select(F.col("term").alias("of_term"), "n_term")
-    total = seen.where("term = ''").agg(F.count("*").alias("total"))
-    judged = pairs.where((F.col("term") != "") & (F.col("both") >= rules.least_contexts) & (F.col("largest") <= rules.largest_context))
+    total = pairs.where("term = ''").agg(F.sum("both").alias("total"))
+    judged = pairs.where((F.col("term") != "") & (F.col("both") >= rules.least_contexts))
     judged = judged.join(entities, F.col("entity") == F.col("of_entity")).join(terms, F.col("term") == F.col("of_term")).crossJoin(F.broadcast(total))
     information = F.log(F.col("total") / F.col("n_entity"))
     mutual = F.log(F.col("total") * F.col("both") / (F.col("n_entity") * F.col("n_term")))
