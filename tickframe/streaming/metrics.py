@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.sources import feed
+from tickframe.sources.tables import work_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +31,7 @@ def minute_counts(events: DataFrame, window: str = "1 hour", late: str = "10 min
 def run_to_table(stream: DataFrame) -> DataFrame:
     """Everything that the stream has now, written as Parquet with its own checkpoint to the shared folder, and read back."""
     spark = stream.sparkSession
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-", dir=os.environ.get("TMPDIR", "/tmp"))
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "stream")
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

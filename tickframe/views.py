@@ -74,13 +74,55 @@ raw AS (
   FROM kinds
 )"""
 
-#: What each view needs before it, in order.
-VIEWS = {"quotes": QUOTES, "trades": TRADES, "deltas": DELTAS, "messages": ORDERS}
+#: Predictions of two models (top and depth imbalance) beside the outcome five messages later, with what costs need.
+#: A period is a third of a month.
+SCORED = """
+scored AS (
+  SELECT event_id, symbol, day, segment, event_index, us, timestamp_ns, concat('P', CAST(floor((CAST(substring(day, 9, 2) AS INT) - 1) / 10.01) AS INT)) AS period,
+         mid, spread / mid * 10000 AS spread_bps, p_top, p_depth, round((mid_5 / mid - 1) * 10000, 9) AS actual, spread_5 / mid_5 * 10000 AS exit_spread_bps
+  FROM (
+    SELECT *, (bid_px_1 + ask_px_1) / 2 AS mid, ask_px_1 - bid_px_1 AS spread,
+           round((bid_sz_1 - ask_sz_1) / (bid_sz_1 + ask_sz_1), 9) AS p_top,
+           round((bid_sz_1 + bid_sz_2 - ask_sz_1 - ask_sz_2) / (bid_sz_1 + bid_sz_2 + ask_sz_1 + ask_sz_2), 9) AS p_depth,
+           CASE WHEN lead(event_index, 5) OVER (PARTITION BY symbol, day, segment ORDER BY event_index) = event_index + 5
+                THEN lead((bid_px_1 + ask_px_1) / 2, 5) OVER (PARTITION BY symbol, day, segment ORDER BY event_index) END AS mid_5,
+           CASE WHEN lead(event_index, 5) OVER (PARTITION BY symbol, day, segment ORDER BY event_index) = event_index + 5
+                THEN lead(ask_px_1 - bid_px_1, 5) OVER (PARTITION BY symbol, day, segment ORDER BY event_index) END AS spread_5
+    FROM quotes) q
+)"""
+
+#: A full order log: F empties the book (the first message of a day is one), A adds, Y adds or replaces, M changes, D deletes.
+#: -1 keeps the former value, and a price of 0 leaves an order without a price.
+LOG = """
+steps AS (
+  SELECT concat('S', CAST(user_id % 5 AS VARCHAR(4))) AS symbol, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS day, event_id, {micros} AS us, event_id % 12 AS order_id, event_type,
+         row_number() OVER (PARTITION BY user_id % 5, CAST(ts AS DATE) ORDER BY {micros}, event_id) - 1 AS event_index
+  FROM events
+), cleared AS (
+  SELECT *, CASE WHEN event_index = 0 OR event_id % 97 = 0 THEN 'F' WHEN event_type = 'error' THEN 'D' WHEN event_id % 11 = 0 THEN 'Y' ELSE 'M' END AS kind,
+         sum(CASE WHEN event_index = 0 OR event_id % 97 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, day ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch
+  FROM steps
+), followed AS (
+  SELECT *, lag(kind) OVER (PARTITION BY symbol, day, epoch, order_id, CASE WHEN kind = 'F' THEN 1 ELSE 0 END ORDER BY event_index) AS before FROM cleared
+), named AS (
+  SELECT symbol, day, event_index, event_id, us, order_id, CASE WHEN kind IN ('M', 'D') AND (before IS NULL OR before = 'D') THEN 'A' ELSE kind END AS action FROM followed
+), log AS (
+  SELECT symbol, day, event_index, us, order_id, action, CASE WHEN order_id % 2 = 0 THEN 1 ELSE 2 END AS side,
+         CASE WHEN action = 'F' THEN -1 WHEN action IN ('A', 'Y') OR event_id % 3 = 0 THEN CASE WHEN event_id % 53 = 0 THEN 0 WHEN order_id % 2 = 0 THEN 100 - (event_id * 7) % 9 ELSE 101 + (event_id * 5) % 9 END ELSE -1 END AS price,
+         CASE WHEN action = 'F' THEN -1 WHEN action IN ('A', 'Y') OR event_id % 2 = 0 THEN 1 + (event_id * 13) % 7 ELSE -1 END AS volume,
+         CASE WHEN event_id % 5 = 0 THEN event_index ELSE -1 END AS priority
+  FROM named
+)"""
+
+#: The views, and what each of them needs before it.
+VIEWS = {"quotes": QUOTES, "trades": TRADES, "deltas": DELTAS, "messages": ORDERS, "scored": SCORED, "log": LOG}
+NEEDS = {"scored": ("quotes",)}
 
 
 def with_views(*names: str, engine: str = "duckdb") -> str:
     """The WITH clause that defines the named views."""
-    return "WITH " + ",".join(VIEWS[n].replace("{micros}", MICROS[engine]) for n in names)
+    wanted = dict.fromkeys(x for n in names for x in (*NEEDS.get(n, ()), n))
+    return "WITH " + ",".join(VIEWS[n].replace("{micros}", MICROS[engine]) for n in wanted)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
