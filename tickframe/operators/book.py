@@ -2,53 +2,76 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_REPLAYED = "symbol string, day string, seq long, best_bid long, bid_size long, best_ask long, ask_size long, bid_levels long, ask_levels long"
+
+
+class _Book:
+    """Live levels of one stock-day with the best price of each side kept by a heap from which dead prices are dropped late."""
+
+    def __init__(self) -> None:
+        self.bids: dict[int, int] = {}
+        self.asks: dict[int, int] = {}
+        self.best: tuple[list[int], list[int]] = ([], [])
+        self.last: int | None = None
+
+    def top(self, side: int) -> int | None:
+        heap, live, sign = self.best[side], (self.bids, self.asks)[side], (-1, 1)[side]
+        while heap and sign * heap[0] not in live:
+            heapq.heappop(heap)
+        return sign * heap[0] if heap else None
+
+
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, book = None, _Book()
+    for batch in batches:
+        out: list[tuple] = []
+        add = out.append
+        for symbol, day, seq, side, px, sz in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (symbol, day) != key:
+                key, book = (symbol, day), _Book()
+                bids, asks, best, top = book.bids, book.asks, book.best, book.top
+                bid = ask = None
+            if book.last is not None and seq != book.last + 1:
+                raise ValueError(f"{key}: sequence {seq} follows {book.last}")
+            if sz < 0:
+                raise ValueError(f"{key}: negative size at {seq}")
+            book.last = seq
+            at = side != "bid"
+            live = asks if at else bids
+            if sz:
+                if px not in live:
+                    heapq.heappush(best[at], px if at else -px)
+                live[px] = sz
+            else:
+                live.pop(px, None)
+            if at:
+                ask = top(1)
+            else:
+                bid = top(0)
+            if bid is not None and ask is not None and bid >= ask:
+                raise ValueError(f"{key}: crossed book at {seq}")
+            add((bid, bids.get(bid), ask, asks.get(ask), len(bids), len(asks)))
+        columns = zip(*out, strict=True) if out else [()] * 6
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, pa.int64()) for c in columns]], ["symbol", "day", "seq", "best_bid", "bid_size", "best_ask", "ask_size", "bid_levels", "ask_levels"])
+
 
 def replay_levels(deltas: DataFrame) -> DataFrame:
     """symbol, day, seq with best bid and ask, their sizes and level counts after each level change (size 0 removes).
 
     Stocks and days replay in parallel. Inside one, rows come in sequence order from the shuffle's sort and stream through
-    a fold that holds the live levels only, so a day of any length fits. A gap in seq or a crossed book is an error.
+    a fold that holds the live levels only, so a day of any length fits. The best price costs a heap step a message, however
+    many levels a book has. A gap in seq or a crossed book is an error.
     """
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        book: dict[str, dict[int, int]] = {"bid": {}, "ask": {}}
-        last = None
-        for part in parts:
-            rows = []
-            for seq, side, px, sz in zip(part["seq"], part["side"], part["px"], part["sz"], strict=True):
-                if last is not None and seq != last + 1:
-                    raise ValueError(f"{key}: sequence {seq} follows {last}")
-                if sz < 0:
-                    raise ValueError(f"{key}: negative size at {seq}")
-                last = seq
-                book[side].pop(px, None) if sz == 0 else book[side].__setitem__(px, sz)
-                bid, ask = max(book["bid"], default=None), min(book["ask"], default=None)
-                if bid is not None and ask is not None and bid >= ask:
-                    raise ValueError(f"{key}: crossed book at {seq}")
-                rows.append((*key, seq, bid, book["bid"].get(bid), ask, book["ask"].get(ask), len(book["bid"]), len(book["ask"])))
-            yield pd.DataFrame(rows, columns=["symbol", "day", "seq", "best_bid", "bid_size", "best_ask", "ask_size", "bid_levels", "ask_levels"]).astype({c: "Int64" for c in ("best_bid", "bid_size", "best_ask", "ask_size")})
-
-    schema = "symbol string, day string, seq long, best_bid long, bid_size long, best_ask long, ask_size long, bid_levels long, ask_levels long"
     ordered = deltas.repartition("symbol", "day").sortWithinPartitions("symbol", "day", "seq")
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def runs() -> Iterator[tuple[tuple, pd.DataFrame]]:
-            for batch in batches:
-                for key, part in batch.groupby(["symbol", "day"], sort=False):
-                    yield key, part
-
-        from itertools import groupby
-
-        for key, parts in groupby(runs(), key=lambda x: x[0]):
-            yield from fold(key, (p for _, p in parts))
-
-    return ordered.select("symbol", "day", "seq", "side", "px", "sz").mapInPandas(stream, schema)
+    longs = [F.col(c).cast("long").alias(c) for c in ("px", "sz")]
+    return ordered.select("symbol", "day", F.col("seq").cast("long").alias("seq"), "side", *longs).mapInArrow(_replay, _REPLAYED)
 
 
 def order_versions(messages: DataFrame) -> DataFrame:
