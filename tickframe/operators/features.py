@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tickframe.functions.columns import imbalance, microprice, mid, spread_bps
 
 SEGMENT = ("symbol", "day", "segment")
+#: Nested groups of features.
+GROUPS = {"f1": ["p_top"], "f2": ["p_top", "p_depth"], "f3": ["p_top", "p_depth", "spread_bps", "exit_spread_bps"]}
 
 
 def in_segment(*keys: str):
@@ -64,3 +66,12 @@ def causal_windows(quotes: DataFrame, columns: list[str], length: int) -> DataFr
     """Adds `window`, the last `length` rows of `columns` in the run; only rows with a full one stay."""
     frame = Window.partitionBy(*SEGMENT, "run_id").orderBy("event_index").rowsBetween(-(length - 1), 0)
     return valid_runs(quotes).withColumn("window", F.collect_list(F.struct(*columns)).over(frame)).where(F.col("run_length") >= length)
+
+
+def level_depths(books: DataFrame, levels: int) -> DataFrame:
+    """Adds bid_depth, ask_depth and depth_imbalance of the first `levels` levels of `bids` and `asks` (arrays of struct px, sz).
+
+    A missing level or size counts as 0; a side without any level is an error.
+    """
+    depth = lambda side: F.when(F.size(side) == 0, F.raise_error(F.lit("a book has no level")).cast("double")).otherwise(F.aggregate(F.slice(side, 1, levels), F.lit(0.0), lambda a, x: a + F.coalesce(x["sz"], F.lit(0.0))))
+    return books.withColumns({"bid_depth": depth("bids"), "ask_depth": depth("asks")}).withColumn("depth_imbalance", imbalance(F.col("bid_depth"), F.col("ask_depth")))

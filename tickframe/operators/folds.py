@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickframe.operators.resampling import numbered
+
 
 def day_folds(rows: DataFrame, first_test: int = 2) -> DataFrame:
     """(fold, day, part): each day from the `first_test`-th on is a test day after training on all earlier ones."""
@@ -16,12 +18,58 @@ def day_folds(rows: DataFrame, first_test: int = 2) -> DataFrame:
 
 
 def walk_forward(rows: DataFrame, order: Sequence[str], train: int, test: int, splits: int, embargo_us: int = 0) -> DataFrame:
-    """(fold, part, rows): anchored folds by row position; test rows must start `embargo_us` after the last training row."""
-    placed = rows.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    """`rows` with fold and part: anchored folds by position in `order` (time `us` first, unique).
+
+    Fold i trains on the first train + i * test rows and tests on the next `test` rows that start more than `embargo_us`
+    after the last training row. Folds stop at the first one whose test set falls short. Positions come from a range sort,
+    and what is gathered of the rows is one line a fold.
+    """
+    if min(train, test, splits) <= 0:
+        raise ValueError("train, test and splits must be positive")
+    placed = numbered(rows, order)
     folds = rows.sparkSession.range(splits).select(F.col("id").cast("int").alias("fold"), (F.lit(train) + F.col("id") * test).alias("stop"))
-    ends = placed.join(F.broadcast(folds), F.col("place") == F.col("stop")).select("fold", "stop", F.col("us").alias("last_us"))
-    part = F.when(F.col("place") <= F.col("stop"), "train").when((F.col("place") <= F.col("stop") + test) & (F.col("us") > F.col("last_us") + embargo_us), "test")
-    return placed.join(F.broadcast(ends), F.col("place") <= F.col("stop") + test).withColumn("part", part).where("part IS NOT NULL")
+    ends = placed.join(F.broadcast(folds), F.col("place") == F.col("stop") - 1).select("fold", "stop", F.col("us").alias("last_us"))
+    # Rows are in order of time, so the rows after an embargo are one stretch of places.
+    later = F.col("us") > F.col("last_us") + F.lit(embargo_us) if embargo_us > 0 else F.lit(True)
+    starts = placed.join(F.broadcast(ends), (F.col("place") >= F.col("stop")) & later).groupBy("fold", "stop").agg(F.min("place").alias("first"), F.count("*").alias("left"))
+    # Later folds start later and have no more rows left, so the folds before the first short one are those that are not.
+    kept = starts.where(F.col("left") >= test).select("fold", "stop", "first")
+    part = F.when(F.col("place") < F.col("stop"), "train").when((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + test), "test")
+    return placed.join(F.broadcast(kept), F.col("place") < F.col("first") + test).withColumn("part", part).where("part IS NOT NULL")
+
+
+def period_folds(days: DataFrame, targets: Sequence[str], least_days: int) -> DataFrame:
+    """(target, fold, substituted) from (period, day): each target period, or else the next period with at least
+    `least_days` earlier days; targets without one are left out."""
+    distinct = days.select("period", "day").distinct()
+    periods = distinct.groupBy("period").agg(F.min("day").alias("first_day"))
+    earlier = periods.join(F.broadcast(distinct.select(F.col("day").alias("d"))), F.col("d") < F.col("first_day"), "left").groupBy("period").agg(F.count("d").alias("prior_days"))
+    eligible = earlier.where(F.col("prior_days") >= least_days)
+    wanted = days.sparkSession.createDataFrame([(t,) for t in targets], "target string")
+    found = wanted.join(F.broadcast(eligible), F.col("period") >= F.col("target")).groupBy("target").agg(F.min("period").alias("fold"))
+    return found.withColumn("substituted", F.col("fold") != F.col("target"))
+
+
+def fixed_cutoff(rows: DataFrame, declared: DataFrame, keys: Sequence[str], cutoff: str) -> DataFrame:
+    """Adds part (train before the cutoff day, test from it on); a declared partition without rows is an error."""
+    missing = declared.select(*keys).distinct().join(rows.select(*keys).distinct(), list(keys), "left_anti")
+    if lost := missing.limit(3).collect():
+        raise ValueError(f"declared partitions have no rows: {', '.join('/'.join(map(str, r)) for r in lost)}")
+    return rows.withColumn("part", F.when(F.col("day") < cutoff, "train").otherwise("test"))
+
+
+def period_parts(rows: DataFrame, train: Sequence[str], dev: Sequence[str], evaluation: Sequence[str]) -> DataFrame:
+    """Adds part by lists of periods; rows of other periods are left out, and a period in two lists is an error."""
+    if len({*train, *dev, *evaluation}) != len(train) + len(dev) + len(evaluation):
+        raise ValueError("a period is in two parts")
+    part = F.when(F.col("period").isin(*train), "train").when(F.col("period").isin(*dev), "dev").when(F.col("period").isin(*evaluation), "eval")
+    return rows.withColumn("part", part).where("part IS NOT NULL")
+
+
+def rolling_refits(periods: DataFrame) -> DataFrame:
+    """(fit_through, apply_to): each period but the first is scored by a model fitted on all before it."""
+    other = periods.select(F.col("period").alias("apply_to")).distinct()
+    return other.join(periods.select("period").distinct(), F.col("period") < F.col("apply_to")).groupBy("apply_to").agg(F.max("period").alias("fit_through"))
 
 
 def purge(rows: DataFrame, label_end: str = "future_us") -> DataFrame:
@@ -36,6 +84,34 @@ def quota_sample(rows: DataFrame, keys: Sequence[str], identity: Sequence[str],
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= quota).drop("_n")
 
 
+def quota_then_cap(rows: DataFrame, group: str, day: str, identity: Sequence[str], quota: int, cap: int, seed: int = 1) -> DataFrame:
+    """At most `quota` rows a (group, day), and of those at most `cap` a group, both by hashes of seed and identity."""
+    daily = quota_sample(rows, [group, day], identity, quota, seed)
+    return quota_sample(daily, [group], identity, cap, seed + 1)
+
+
+def selected_by_all(rows: DataFrame, predictions: Sequence[str], threshold: float) -> DataFrame:
+    """Rows on which every prediction is strictly beyond the threshold, in either direction."""
+    for p in predictions:
+        rows = rows.where(F.abs(p) > threshold)
+    return rows
+
+
+def chosen_context(scores: DataFrame, keys: Sequence[str], context: str, score: str, tie: float = 1e-6) -> DataFrame:
+    """Per key the smallest context whose score comes within `tie` of the best one."""
+    best = F.max(score).over(Window.partitionBy(*keys))
+    return scores.withColumn("_best", best).where(F.col(score) >= F.col("_best") - tie).groupBy(*keys).agg(F.min(context).alias("chosen"))
+
+
+def common_cohort(rows: DataFrame, longest: int, contexts: Sequence[int]) -> DataFrame:
+    """Rows with `longest` valid messages behind them, whose `window` is cut to the last `context` states of each context.
+
+    All contexts have the same rows. `window` holds the last `longest` states.
+    """
+    cut = F.explode(F.array(*[F.struct(F.lit(c).alias("context"), F.slice("window", longest - c + 1, c).alias("states")) for c in contexts]))
+    return rows.where(F.size("window") == longest).withColumn("_c", cut).withColumns({"context": F.col("_c.context"), "states": F.col("_c.states")}).drop("_c", "window")
+
+
 def permute_labels(rows: DataFrame, keys: Sequence[str], identity: Sequence[str], label: str, seed: int = 1) -> DataFrame:
     """Labels dealt anew inside each group; every group keeps its labels as a multiset."""
     mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), *identity))

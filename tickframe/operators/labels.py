@@ -55,13 +55,58 @@ def clock_markouts(quotes: DataFrame, horizon_us: int) -> DataFrame:
     return joined.withColumns({"future_us": F.col("next.us"), "future_mid": F.col("next.mid"), "markout_bps": move * 1e4, "direction": F.signum(move).cast("int")}).drop("next")
 
 
-def sweep_depth(books: DataFrame, size: float, fee_bps: float = 0.0) -> DataFrame:
-    """Costs of buying `size` from `asks` (array of struct px, sz): filled, average price and total in bps of `mid`.
+def sweep_depth(books: DataFrame, size: float, fee_bps: float = 0.0, side: str = "buy", strict: bool = False) -> DataFrame:
+    """Costs of crossing the visible depth: filled, average_px, and in bps of `mid` spread_bps, depth_bps (0 at least), fee_bps
+    and total_bps.
 
-    NULL levels are skipped and levels are sorted; average and cost are NULL where the depth is not enough.
+    A buy walks `asks` upwards, a sell walks `bids` downwards (arrays of struct px, sz). NULL levels are skipped and levels
+    are sorted; of more than 50 only the first 50 count. Where the depth is not enough, the costs are NULL, or with
+    `strict` an error. The spread is that of the best_bid and best_ask columns.
     """
-    levels = F.array_sort(F.filter("asks", lambda x: x["px"].isNotNull() & x["sz"].isNotNull()))
+    if size <= 0 or side not in ("buy", "sell"):
+        raise ValueError("size must be positive and side buy or sell")
+    sign = 1.0 if side == "buy" else -1.0
+    usable = F.filter(F.slice("asks" if side == "buy" else "bids", 1, 50), lambda x: x["px"].isNotNull() & x["sz"].isNotNull())
+    levels = F.array_sort(F.transform(usable, lambda x: F.struct((x["px"] * sign).alias("key"), x["px"].alias("px"), x["sz"].alias("sz"))))
     take = lambda a, x: F.struct((a["left"] - F.least(a["left"], x["sz"])).alias("left"), (a["paid"] + F.least(a["left"], x["sz"]) * x["px"]).alias("paid"))
     walked = books.withColumn("walk", F.aggregate(levels, F.struct(F.lit(float(size)).alias("left"), F.lit(0.0).alias("paid")), take))
-    average = F.when(F.col("walk.left") <= 1e-12, F.col("walk.paid") / size)
-    return walked.withColumns({"filled": size - F.col("walk.left"), "average_px": average, "total_bps": (average / F.col("mid") - 1) * 1e4 + fee_bps}).drop("walk")
+    lacking = F.raise_error(F.lit("insufficient visible depth")).cast("double") if strict else F.lit(None).cast("double")
+    average = F.when(F.col("walk.left") <= 0, F.col("walk.paid") / size).otherwise(lacking)
+    centre = (F.col("best_bid") + F.col("best_ask")) / 2.0
+    total = sign * (average - centre) / centre * 1e4 + fee_bps
+    spread = (F.col("best_ask") - F.col("best_bid")) / centre * 1e4 / 2.0
+    return walked.withColumns({"filled": size - F.col("walk.left"), "average_px": average, "spread_bps": F.when(average.isNotNull(), spread), "depth_bps": F.when(average.isNotNull(), F.greatest(F.lit(0.0), total - spread - fee_bps)), "fee_bps": F.when(average.isNotNull(), F.lit(float(fee_bps))), "total_bps": total}).drop("walk")
+
+
+def crossed_from_features(markout: Column, entry_spread: Column, exit_spread: Column, direction: Column) -> Column:
+    """Crossed outcome in bps from the midpoint markout and both spreads in bps; a direction other than 1 and -1 is an error."""
+    value = direction * markout - entry_spread / 2.0 - exit_spread / 2.0 * (1.0 + markout / 1e4)
+    return F.when(direction.isin(1, -1), value).otherwise(F.raise_error(F.lit("direction must be 1 or -1")).cast("double"))
+
+
+def passive_markout(spread_diagnostic: Column) -> Column:
+    return spread_diagnostic / 2.0
+
+
+def exact_clock(quotes: DataFrame, offset: int) -> DataFrame:
+    """Adds clock_s, the seconds to the message `offset` later in the segment; times going back are an error.
+
+    Nanoseconds are subtracted as integers first.
+    """
+    gap = at_offset(F.col("timestamp_ns"), offset) - F.col("timestamp_ns")
+    return quotes.withColumn("clock_s", F.when(gap < 0, F.raise_error(F.lit("the clock goes back")).cast("double")).otherwise(gap / F.lit(1e9)))
+
+
+def window_duration(quotes: DataFrame, length: int) -> DataFrame:
+    """Adds duration_ns, the time that the last `length` messages of the day took (by row position)."""
+    return quotes.withColumn("duration_ns", F.col("timestamp_ns") - F.lag("timestamp_ns", length - 1).over(in_segment("symbol", "day")))
+
+
+def common_rows(quotes: DataFrame, horizons: list[int], latencies: list[int], predictions: list[str]) -> DataFrame:
+    """Adds common: every prediction is there, and so is the message at each latency and at each horizon after it."""
+    there = F.lit(True)
+    for p in predictions:
+        there = there & F.col(p).isNotNull()
+    for k in sorted({*latencies, *(h + d for h in horizons for d in latencies)}):
+        there = there & at_offset(mid(), k).isNotNull()
+    return quotes.withColumn("common", there)

@@ -1,4 +1,4 @@
-"""Scores, buckets, strict summaries, paired comparison and resampling."""
+"""Scores, buckets, strict summaries and paired comparison."""
 
 from __future__ import annotations
 
@@ -63,12 +63,3 @@ def leave_one_out(deltas: DataFrame, member: str) -> DataFrame:
     each = deltas.groupBy(member).agg(F.sum("delta").alias("s"), F.count("*").alias("n"))
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return each.select(member, F.try_divide(F.sum("s").over(everything) - F.col("s"), F.sum("n").over(everything) - F.col("n")).alias("mean_without"))
-
-
-def block_bootstrap(deltas: DataFrame, draws: int, seed: int = 7) -> DataFrame:
-    """Mean of the deltas with a percentile interval; picks are hashes of (seed, draw, place), so reruns agree."""
-    placed = deltas.withColumn("place", F.row_number().over(Window.orderBy("delta")) - 1).select("place", "delta")
-    n = placed.count()
-    picks = deltas.sparkSession.range(draws).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))).select("id", F.pmod(F.xxhash64(F.lit(seed), "id", "i"), F.lit(max(n, 1))).alias("place"))
-    means = picks.join(placed, "place").groupBy("id").agg(F.avg("delta").alias("m"))
-    return means.agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"), F.count("*").alias("draws"))

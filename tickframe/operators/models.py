@@ -2,38 +2,142 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.operators import folds
+from tickframe.operators.metrics import score_set
 
-def fit_ridge(rows: DataFrame, fold: str, features: Sequence[str], label: str, penalty: float = 1e-6) -> DataFrame:
-    """(fold, n, intercept, weights): standardised features (a constant one is left as it is), centred label.
+
+def fit_ridge(rows: DataFrame, fold: str | Sequence[str], features: Sequence[str], label: str, penalty: float = 1e-6) -> DataFrame:
+    """(keys of `fold`, n, intercept, weights): standardised features (a constant one is left as it is), centred label.
 
     Rows with a NULL are left out. What comes to the driver is a table of p + p^2 sums a fold.
     """
-    columns = [*features, label]
+    keys = [fold] if isinstance(fold, str) else list(fold)
+    columns, p = [*features, label], len(features)
     clean = rows.dropna(subset=columns)
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)] + [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"x{i}_{j}") for i in range(len(columns)) for j in range(i + 1)]
+    # Sums are taken about a first mean of all rows: far from 0, plain cross-products would lose their digits.
+    near = clean.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    at = lambda i: F.col(columns[i]) - F.lit(near[f"m{i}"])
+    sums = [F.sum(at(i)).alias(f"s{i}") for i in range(p + 1)] + [F.sum(at(i) * at(j)).alias(f"x{i}_{j}") for i in range(p + 1) for j in range(i + 1)]
     fitted = []
-    for row in clean.groupBy(fold).agg(F.count("*").alias("n"), *sums).collect():
-        n, p = row["n"], len(features)
+    for row in clean.groupBy(*keys).agg(F.count("*").alias("n"), *sums).collect():
+        n = row["n"]
         mean = np.array([row[f"s{i}"] for i in range(p + 1)]) / n
         cross = np.array([[row[f"x{max(i, j)}_{min(i, j)}"] for j in range(p + 1)] for i in range(p + 1)]) - n * np.outer(mean, mean)
         scale = np.sqrt(np.maximum(np.diag(cross)[:p], 0) / n)
         scale[scale == 0] = 1.0
         weights = np.linalg.solve(cross[:p, :p] / np.outer(scale, scale) + penalty * np.eye(p), cross[:p, p] / scale) / scale
-        fitted.append((row[fold], n, float(mean[p] - weights @ mean[:p]), weights.tolist()))
-    kind = dict(rows.dtypes)[fold]
-    return rows.sparkSession.createDataFrame(fitted, f"{fold} {kind}, n long, intercept double, weights array<double>")
+        mean = mean + np.array([near[f"m{i}"] for i in range(p + 1)])
+        fitted.append((*[row[k] for k in keys], n, float(mean[p] - weights @ mean[:p]), weights.tolist()))
+    kinds = dict(rows.dtypes)
+    return rows.sparkSession.createDataFrame(fitted, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, intercept double, weights array<double>")
 
 
-def predict_ridge(rows: DataFrame, model: DataFrame, fold: str, features: Sequence[str]) -> DataFrame:
+def predict_ridge(rows: DataFrame, model: DataFrame, fold: str | Sequence[str], features: Sequence[str]) -> DataFrame:
     """Adds prediction; one small row a fold is broadcast."""
-    joined = rows.join(F.broadcast(model.select(fold, "intercept", "weights")), fold)
+    keys = [fold] if isinstance(fold, str) else list(fold)
+    joined = rows.join(F.broadcast(model.select(*keys, "intercept", "weights")), keys)
     value = F.col("intercept")
     for i, c in enumerate(features):
         value = value + F.col(c) * F.element_at("weights", i + 1)
     return joined.withColumn("prediction", value).drop("intercept", "weights")
+
+
+def _walked(rows: DataFrame, order: Sequence[str], train: int, test: int, splits: int, embargo_us: int) -> DataFrame:
+    return folds.purge(folds.walk_forward(rows, order, train, test, splits, embargo_us))
+
+
+def _judged(predicted: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    error = F.col("prediction") - F.col(label)
+    scores = score_set(predicted.withColumn("prediction", F.round("prediction", 9)), keys, "prediction", label)
+    return scores.join(predicted.groupBy(*keys).agg(F.avg(error * error).alias("mse")), list(keys))
+
+
+def walk_forward_ridge(rows: DataFrame, order: Sequence[str], identity: str, features: Sequence[str], label: str, train: int, test: int, splits: int, embargo_us: int = 0) -> DataFrame:
+    """Scores by fold of a fit on purged training rows, and of a control whose training labels are dealt anew (`run`).
+
+    Folds and runs are columns of one job: one pass gives the moments of all fits, and their coefficients are broadcast.
+    """
+    placed = _walked(rows.select(*order, "future_us", *features, label), order, train, test, splits, embargo_us)
+    train_rows = placed.where("part = 'train'")
+    dealt = folds.permute_labels(train_rows, ["fold"], [identity], label).withColumn(label, F.col("shuffled")).drop("shuffled")
+    both = train_rows.withColumn("run", F.lit("fitted")).unionByName(dealt.withColumn("run", F.lit("shuffled")))
+    model = fit_ridge(both, ["fold", "run"], features, label)
+    tests = placed.where("part = 'test'").join(F.broadcast(model.select("fold", "run")), "fold")
+    return _judged(predict_ridge(tests, model, ["fold", "run"], features), ["fold", "run"], label)
+
+
+def flattened(rows: DataFrame, window: str, features: Sequence[str], length: int) -> tuple[DataFrame, list[str]]:
+    """The states of a window as columns, oldest first, and their names."""
+    names = [f"{f}_{k}" for k in range(length) for f in features]
+    return rows.withColumns({f"{f}_{k}": F.element_at(window, k + 1)[f] for k in range(length) for f in features}), names
+
+
+def ensembles(rows: DataFrame, keys: Sequence[str], identity: Sequence[str], seed: str, prediction: str, label: str) -> DataFrame:
+    """Per cell the rank correlation of the seeds' mean prediction (ic_of_mean) and the mean of the seeds' own (mean_of_ic)."""
+    together = rows.groupBy(*keys, *identity).agg(F.round(F.avg(prediction), 9).alias("_p"), F.first(label).alias("_a"))
+    of_mean = score_set(together, keys, "_p", "_a").select(*keys, F.col("ic").alias("ic_of_mean"))
+    each = score_set(rows, [*keys, seed], prediction, label).groupBy(*keys).agg(F.avg("ic").alias("mean_of_ic"))
+    return of_mean.join(each, list(keys))
+
+
+def score_windows(rows: DataFrame, identity: str, model: Callable[[np.ndarray], np.ndarray], length: int, width: int) -> DataFrame:
+    """(identity, prediction): a stored model on batches of windows, each an array of `length` states of `width` numbers.
+
+    The model takes an array (rows, length, width) and gives one number a row; batches come as Arrow.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states = batch.column("flat").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, length, width)
+            yield pa.RecordBatch.from_arrays([batch.column(identity), pa.array(np.asarray(model(states), float))], [identity, "prediction"])
+
+    state: Column = F.flatten(F.transform("window", lambda s: F.array(*[s[f] for f in _fields(rows)])))
+    return rows.select(identity, state.alias("flat")).mapInArrow(run, f"{identity} {dict(rows.dtypes)[identity]}, prediction double")
+
+
+def _fields(rows: DataFrame) -> list[str]:
+    return rows.schema["window"].dataType.elementType.fieldNames()
+
+
+def _trees(trees: int, depth: int, seed: int):
+    from pyspark.ml.regression import GBTRegressor
+
+    return GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=20, maxBins=256, seed=seed)
+
+
+def _assembled(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows.dropna(subset=[*features, label]).withColumn("_y", F.col(label)))
+
+
+def boosted_trees(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], trees: int = 50, depth: int = 5, seed: int = 1) -> DataFrame:
+    """Scores of boosted trees per cell, with each feature's share of the gain (they add up to 1, or are all 0)."""
+    model = _trees(trees, depth, seed).fit(_assembled(train, features, label))
+    gains = model.featureImportances.toArray()
+    scored = _judged(model.transform(_assembled(test, features, label)), keys, label)
+    return scored.withColumns({f"gain_{f}": F.lit(float(g)) for f, g in zip(features, gains, strict=True)})
+
+
+def walk_forward_trees(rows: DataFrame, order: Sequence[str], features: Sequence[str], label: str, train: int, test: int, splits: int, embargo_us: int = 0, trees: int = 50, depth: int = 5, seed: int = 1) -> DataFrame:
+    """As `walk_forward_ridge`, with one fit of boosted trees a fold, each a Spark job over its training rows."""
+    placed = _walked(rows.select(*order, "future_us", *features, label), order, train, test, splits, embargo_us).persist()
+    out = None
+    for fold in range(splits):
+        part = placed.where(F.col("fold") == fold)
+        learned = _assembled(part.where("part = 'train'"), features, label)
+        if learned.isEmpty():
+            break
+        model = _trees(trees, depth, seed).fit(learned)
+        scored = _judged(model.transform(_assembled(part.where("part = 'test'"), features, label)), ["fold"], label)
+        out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        raise ValueError("there is no fold with enough rows")
+    return out
