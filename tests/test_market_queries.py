@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-import tickframe.plans.feed_queries  # noqa: F401
+from tickframe.plans import evaluation_queries, feed_queries, log_queries, stream_queries, table_queries  # noqa: F401
 from tickframe.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
