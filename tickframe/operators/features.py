@@ -35,23 +35,32 @@ def order_flow_imbalance(quotes: DataFrame) -> DataFrame:
 def recent_trades(decisions: DataFrame, trades: DataFrame, window_us: int) -> DataFrame:
     """Buy and sell size and number of trades in (us - window_us, us] of each decision's symbol.
 
-    One union and one RANGE window instead of an inequality join, so the work is linear in rows.
+    One union and one RANGE window instead of an inequality join, so the work is linear in rows. Time is cut into stretches
+    of the window's length, and a trade stands in its own and the next one: no window holds more than two stretches, so a
+    symbol's rows are spread over all tasks.
     """
-    left = decisions.select("symbol", "us", F.col("event_id").alias("decision"), F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("size"))
-    right = trades.select("symbol", "us", F.lit(None).cast("long").alias("decision"), "side", "size")
-    frame = Window.partitionBy("symbol").orderBy("us").rangeBetween(-(window_us - 1), 0)
+    stretch = F.floor(F.col("us") / window_us)
+    left = decisions.select("symbol", stretch.alias("stretch"), "us", F.col("event_id").alias("decision"), F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("size"))
+    right = trades.select("symbol", F.explode(F.array(stretch, stretch + 1)).alias("stretch"), "us", F.lit(None).cast("long").alias("decision"), "side", "size")
+    frame = Window.partitionBy("symbol", "stretch").orderBy("us").rangeBetween(-(window_us - 1), 0)
     of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("size"))).over(frame), F.lit(0.0))
     summed = left.union(right).select("decision", of("buy").alias("buy_size"), of("sell").alias("sell_size"), F.count("side").over(frame).alias("n_trades")).where("decision IS NOT NULL")
     return summed.withColumn("trade_imbalance", F.coalesce(F.try_divide(F.col("buy_size") - F.col("sell_size"), F.col("buy_size") + F.col("sell_size")), F.lit(0.0)))
 
 
 def rolling_activity(trades: DataFrame, window_us: int) -> DataFrame:
-    """Signed size ratio and number of trades in [us - window_us, us], each with the rows of equal time before it only."""
-    w = Window.partitionBy("symbol").orderBy("us").rangeBetween(-window_us, 0)
-    later = Window.partitionBy("symbol", "us").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
+    """Signed size ratio and number of trades in [us - window_us, us], each with the rows of equal time before it only.
+
+    Stretches of time as in `recent_trades`.
+    """
+    stretch = F.floor(F.col("us") / window_us)
+    copies = trades.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_stretch", stretch + F.col("_copy"))
+    w = Window.partitionBy("symbol", "_stretch").orderBy("us").rangeBetween(-window_us, 0)
+    later = Window.partitionBy("symbol", "_stretch", "us").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing)
     signed = F.when(F.col("side") == "buy", F.col("size")).otherwise(-F.col("size"))
     causal = lambda x: F.sum(x).over(w) - F.coalesce(F.sum(x).over(later), F.lit(0.0))
-    return trades.withColumns({"activity": F.count("*").over(w) - F.count("*").over(later), "signed_ratio": F.try_divide(causal(signed), causal(F.col("size")))})
+    counted = copies.withColumns({"activity": F.count("*").over(w) - F.count("*").over(later), "signed_ratio": F.try_divide(causal(signed), causal(F.col("size")))})
+    return counted.where("_copy = 0").drop("_copy", "_stretch")
 
 
 def valid_runs(quotes: DataFrame, condition: str = "true") -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def average_rank(keys: Sequence[str], value: str) -> Column:
-    """Rank from 1 with ties at their mean."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2.0
+    """Rank from 1 with ties at their mean: half-way between the first and the last of equal values, in one sort."""
+    w = Window.partitionBy(*keys).orderBy(value)
+    return (F.rank().over(w) + F.count("*").over(w)) / 2.0
 
 
 def score_set(rows: DataFrame, keys: Sequence[str], prediction: str, actual: str, cost_bps: float = 0.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.operators import evaluation, labels, metrics, resampling
+from tickframe.operators import evaluation, joins, labels, metrics, resampling
 from tickframe.operators.features import in_segment
 from tickframe.plans.queries import MID, lead, register, rounded
 from tickframe.views import view
@@ -341,3 +341,14 @@ def primary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = cells.groupBy("symbol", "period").pivot("arm", ["top", "depth"]).agg(F.first("v")).withColumn("delta", F.col("top") - F.col("depth"))
     strict = lambda c: F.when(F.count(c) == F.count("*"), F.avg(c))
     return rounded(wide.groupBy("period").agg(F.count("*").alias("stocks"), strict("top").alias("top_mean"), strict("depth").alias("depth_mean"), strict("delta").alias("mean_delta"), F.count_if(F.round("delta", 9) > 0).alias("wins")))
+
+
+@register("""
+SELECT symbol, count(*)::BIGINT AS n, round(avg(sign(p_top) * actual), 6) AS transfer, round(avg(sign(p_depth) * actual), 6) AS within, round(avg(sign(p_top) * actual) - avg(sign(p_depth) * actual), 6) AS delta FROM scored WHERE actual IS NOT NULL GROUP BY symbol
+""", "scored")
+def transfer_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transferred model less the stock's own on equal rows, which a one-to-one join on the identity makes sure of."""
+    rows = view(spark, sf_dir, "scored").where("actual IS NOT NULL")
+    both = joins.declared_join(rows.select("symbol", "event_id", "actual", F.col("p_top").alias("transfer")), rows.select("event_id", F.col("p_depth").alias("own")), ["event_id"], "one_to_one")
+    signed = lambda p: F.avg(F.signum(p) * F.col("actual"))
+    return rounded(both.groupBy("symbol").agg(F.count("*").alias("n"), signed("transfer").alias("transfer"), signed("own").alias("within"), (signed("transfer") - signed("own")).alias("delta")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickframe.operators import cohorts, features, queues
 from tickframe.plans.queries import _VERSIONS, HOUR, MID, lead, register, rounded
 from tickframe.sources import feed
+from tickframe.sources.tables import work_folder
 from tickframe.streaming import metrics as streams
 from tickframe.views import view
 
@@ -41,6 +42,19 @@ def feed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("receive_index", "product_id", "price", "size", "aggressor", "trade_sign")
 
 
+@register("""
+WITH n AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) AS receive_index FROM events)
+SELECT receive_index, concat('S', CAST(user_id % 5 AS VARCHAR)) AS product_id, CASE WHEN event_id % 5 = 0 THEN 4 WHEN event_id % 5 IN (1, 2) THEN 2 ELSE 0 END::BIGINT AS levels FROM n WHERE event_id % 5 IN (0, 1, 2)
+""")
+def captured_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture written as text files and read again: every line has its place over all files, ignored ones included."""
+    path = work_folder(spark, "capture")
+    lines = feed.event_lines(_events(spark, sf_dir))
+    lines.repartitionByRange(4, "receive_index").sortWithinPartitions("receive_index").select("value").write.text(path)
+    rows = feed.level_rows(feed.parse(feed.read_lines(spark, path)))
+    return rows.groupBy("receive_index", "product_id").agg(F.count("*").alias("levels"))
+
+
 @register(_FEED_LEVELS)
 def feed_level_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows by Structured Streaming."""
