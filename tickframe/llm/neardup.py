@@ -7,10 +7,14 @@
    class needs to stand only in the lists of its rarest values, all but least_shared - 1 of them, and values that many
    documents have in common drop out by themselves.
 3. Only connections count, not every pair. In each list one class, whose values are the most frequent, meets all others;
-   after that the list goes on without it, as long as it holds classes that are not connected yet. What is left after
-   some rounds meets in full.
-4. The union sketch of a pair estimates its similarity; pairs that come near the limit are confirmed on their full sets.
+   the union sketch of a pair estimates its similarity, and pairs that come near the limit are confirmed on full sets.
+4. Lists that still hold classes of several components are open. Their classes meet under their `meeting` smallest
+   hashes, block by block: first with sketches alone, which leaves the classes that come near another one, then those
+   with their full sets. A task returns no more links than connect what it got (at most rows - 1).
 5. Components by contraction: every node points at its smallest neighbour, and edges move to where they point.
+
+Every table takes this one path, whatever its size. A linked pair that no other link connects is missed if it fails
+step 2 or shares none of its `meeting` smallest hashes (0.2 ** 10, 1e-7, at the limit and less above it).
 """
 
 from __future__ import annotations
@@ -20,12 +24,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import cut_lineage, slices, texts, window_hashes, word_hashes
+from tickframe.llm.common import cut_lineage, slices, small_batches, stream_groups, texts, window_hashes, word_hashes
 
 
 @dataclass(frozen=True)
@@ -36,12 +39,11 @@ class NearDuplicates:
     least_shared: int = 34
     #: A pair is confirmed on full sets if its estimate is at most so much below the limit (more than 4 deviations).
     margin: float = 0.3
-    rounds: int = 1
-    #: What stays unconnected meets under so many of its smallest hashes, in blocks of so many nodes.
+    #: What stays unconnected meets under so many of its smallest hashes, in blocks of so many classes and hashes at most
+    #: (on average: classes are dealt to blocks by hash).
     meeting: int = 10
-    block: int = 1024
-    #: Lists meet in full at once if twice their pairs are no more than this or four times the number of classes.
-    meet_in_full: int = 500_000
+    block: int = 512
+    block_hashes: int = 1 << 17
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -125,43 +127,155 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rules: NearDuplicates) -> Data
     return both.where(100 * F.col("both") >= rules.percent * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
 
 
-def _meet(rules: NearDuplicates):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = group[group["block"] == group["low"]], group[group["block"] == group["high"]]
-        if low.empty or high.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        values = np.concatenate([*low["shingles"], *high["shingles"]])
-        kinds, column, holders = np.unique(values, return_inverse=True, return_counts=True)
-        # Values that one set holds alone add nothing; the others are taken some thousand at a time.
-        rank = np.cumsum(holders > 1) - 1
-        column = np.where(holders[column] > 1, rank[column], -1)
-        sizes = [low["shingles"].map(len).to_numpy(), high["shingles"].map(len).to_numpy()]
-        row = np.repeat(np.arange(len(low) + len(high)), np.concatenate(sizes))
-        both = np.zeros((len(low), len(high)), np.float32)
-        for start in range(0, int(column.max(initial=-1)) + 1, 4096):
-            part = np.zeros((len(low) + len(high), 4096), np.float32)
-            own = (column >= start) & (column < start + 4096)
-            part[row[own], column[own] - start] = 1
-            both += part[: len(low)] @ part[len(low) :].T
-        linked = 100 * both >= rules.percent * (sizes[0][:, None] + sizes[1][None, :] - both)
-        linked &= low["component"].to_numpy()[:, None] != high["component"].to_numpy()[None, :]
-        i, j = np.nonzero(linked)
-        return pd.DataFrame({"a": low["node"].to_numpy()[i], "b": high["node"].to_numpy()[j]})
+def _blocks(placed: DataFrame, rules: NearDuplicates, *carried: str) -> DataFrame:
+    """`placed` (key, node, component, guest, n) with `block`, `low` and `high`: each row once for every pair of blocks it is in.
+
+    Keys without two components are left out. A guest is of the next smaller class of sizes and meets only hosts.
+    """
+    groups = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.min("guest").alias("all_guests"), F.greatest(F.ceil(F.count("*") / rules.block), F.ceil(F.count("*") * F.max("n") / rules.block_hashes)).alias("blocks"))
+    groups = cut_lineage(groups.where("first <> last AND NOT all_guests").select(F.col("key").alias("of_key"), "blocks"))
+    rows = placed.join(groups, F.col("key") == F.col("of_key")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select("key", "node", "component", "guest", *carried, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
+def _pairs(group: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a group, and which pairs count."""
+    low, high = np.flatnonzero(group["block"] == group["low"]), np.flatnonzero(group["block"] == group["high"])
+    component, guest = group["component"], group["guest"]
+    return low, high, (component[low][:, None] != component[high][None, :]) & ~(guest[low][:, None] & guest[high][None, :])
+
+
+def _shared(rows: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many values each pair of rows shares."""
+    both = np.zeros((len(low), len(high)), np.float32)
+    _, column, holders = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    # Values that one set holds alone add nothing; the others are taken some thousand at a time.
+    rank = np.cumsum(holders > 1) - 1
+    column = np.where(holders[column] > 1, rank[column], -1)
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    width = int(column.max(initial=-1)) + 1
+    for start in range(0, width, 4096):
+        part = np.zeros((len(rows), min(4096, width - start)), np.float32)
+        own = (column >= start) & (column < start + 4096)
+        part[row[own], column[own] - start] = 1
+        both += part[low] @ part[high].T
+    return both
+
+
+def union_estimate(one: np.ndarray, others: list[np.ndarray], sketch: int) -> np.ndarray:
+    """Estimated similarity of a sketch with others: the share of their union sketch that both hold."""
+    top = np.iinfo(np.int64).max
+    width = max(len(one), *map(len, others))
+    rows = np.full((len(others), 2 * width), top)
+    rows[:, : len(one)] = one
+    for i, other in enumerate(others):
+        rows[i, width : width + len(other)] = other
+    rows.sort(axis=1)
+    # A value held by both stands twice in a row; the filling counts for nothing.
+    twice = np.zeros(rows.shape, bool)
+    twice[:, 1:] = (rows[:, 1:] == rows[:, :-1]) & (rows[:, 1:] < top)
+    place = np.cumsum(~twice & (rows < top), axis=1)
+    return (twice & (place <= sketch)).sum(axis=1) / np.maximum(np.minimum(place[:, -1], sketch), 1)
+
+
+def _near_ones(group: dict, rules: NearDuplicates) -> np.ndarray:
+    """Nodes of a pair of blocks whose union sketch with one of another component comes near the limit.
+
+    A pair counts under the smallest value that it shares only, so it meets once, not under every key that it has in common.
+    """
+    least = rules.percent / 100 - rules.margin
+    low, high, counts = _pairs(group)
+    near = np.zeros(len(group["node"]), bool)
+    if not counts.any():
+        return group["node"][near]
+    sketches, value = group["sketch"], group["value"][0]
+    counts &= _shared([x[x < value] for x in sketches], low, high) == 0
+    if counts.any():
+        both = _shared(sketches, low, high)
+        size = np.minimum(rules.sketch, np.array([len(x) for x in sketches]))
+        # The union sketch has at least as many values as the larger sketch, and shares none that both do not retain.
+        counts &= both >= least * np.maximum(size[low][:, None], size[high][None, :])
+    for i in np.flatnonzero(counts.any(axis=1)):
+        found = np.flatnonzero(counts[i])
+        found = found[~near[high[found]]] if near[low[i]] else found[np.argsort(-both[i, found], kind="stable")]
+        for start in range(0, len(found), 64):
+            some = high[found[start : start + 64]]
+            hit = some[union_estimate(sketches[low[i]], [sketches[j] for j in some], rules.sketch) >= least]
+            near[low[i]] |= len(hit) > 0
+            near[hit] = True
+    return group["node"][near]
+
+
+def _near(rules: NearDuplicates):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in stream_groups(batches, ["key", "low", "high"]):
+            if len(nodes := _near_ones(group, rules)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), group["key"][0])), pa.array(nodes)], ["key", "node"])
 
     return run
 
 
-def _met_in_full(nodes: DataFrame, sets: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """Links between the nodes of different components, found on full sets without emitting a pair that is not one.
+def linked_components(group: dict, rules: NearDuplicates) -> list[tuple[int, int]]:
+    """Links between the components of a pair of blocks, no more than connect what they connect (at most rows - 1)."""
+    low, high, counts = _pairs(group)
+    if not counts.any():
+        return []
+    both = _shared(group["shingles"], low, high)
+    sizes = np.array([len(x) for x in group["shingles"]])
+    linked = counts & (100 * both >= rules.percent * (sizes[low][:, None] + sizes[high][None, :] - both))
+    component, seen, edges = group["component"], set(), []
+    if not linked.any():
+        return edges
+    rows_of: dict[int, list[tuple[int, int]]] = {}
+    for side, rows in ((0, low), (1, high)):
+        for i, row in enumerate(rows):
+            rows_of.setdefault(int(component[row]), []).append((side, i))
+    for root in map(int, component[low[linked.any(axis=1)]]):
+        if root in seen:
+            continue
+        seen.add(root)
+        waiting = [root]
+        while waiting:
+            here = waiting.pop()
+            for side, i in rows_of[here]:
+                found = component[high[np.flatnonzero(linked[i])]] if side == 0 else component[low[np.flatnonzero(linked[:, i])]]
+                for other in map(int, np.unique(found)):
+                    if other not in seen:
+                        seen.add(other)
+                        edges.append((here, other))
+                        waiting.append(other)
+    return edges
+
+
+def _linked(rules: NearDuplicates):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in stream_groups(batches, ["key", "low", "high"]):
+            if edges := linked_components(group, rules):
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
-    Linked sets share one of the `meeting` smallest hashes of their union but for a probability of 0.2 to that power, and a
-    node stands under each of its own. Groups are cut into blocks of `block` nodes that meet two by two.
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Pairs of blocks spread over the tasks, each pair's rows together."""
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+
+def _met(nodes: DataFrame, sets: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """Links (a, b) between the components of `nodes` (node, component), enough to connect all that links connect.
+
+    Linked sets share one of the `meeting` smallest hashes of their union but for a probability of 0.2 to that power, and
+    both hold it among as many of their own. Their sizes differ by a factor of 1.25 at most, so a class stands as a host
+    under its own class of sizes (powers of 1.26) and as a guest under the next one.
     """
-    placed = nodes.join(classes.select("node", "sketch"), "node").select("node", "component", F.explode(F.slice("sketch", 1, rules.meeting)).alias("key"))
-    groups = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.ceil(F.count("*") / rules.block).alias("blocks")).where("first <> last").select("key", "blocks")
-    rows = placed.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(sets, "node")
-    return rows.groupBy("key", "low", "high").applyInPandas(_meet(rules), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sized = nodes.join(classes.select("node", "sketch", F.col("n_shingles").alias("n"), F.floor(F.log("n_shingles") / F.log(F.lit(1.26))).alias("size_class")), "node")
+    places = F.explode(F.flatten(F.transform(F.slice("sketch", 1, rules.meeting), lambda v: F.array(*[F.struct(F.xxhash64(v, F.col("size_class") + g).alias("key"), v.alias("value"), F.lit(g == 1).alias("guest")) for g in (0, 1)]))))
+    placed = cut_lineage(sized.select("node", "component", "n", "sketch", places.alias("place")).select("place.key", "place.value", "node", "component", "place.guest", "n", "sketch"))
+    near = _dealt(_blocks(placed.withColumn("n", F.lit(rules.sketch)), rules, "value", "sketch")).mapInArrow(_near(rules), "key long, node long").distinct()
+    left = cut_lineage(placed.drop("sketch", "value").join(near, ["key", "node"]))
+    full = _blocks(left, rules).join(sets, "node")
+    return _dealt(full).mapInArrow(_linked(rules), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,35 +302,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """Edges between classes, enough to connect all classes that links connect: (node, component)."""
+    """(node, component) of every class: the smallest class that it reaches over links."""
     lists = _inverted_lists(classes, rules)
-    held = lists.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    lists = cut_lineage(lists.join(held, "value").withColumn("component", F.col("node")))
+    held = lists.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select(F.col("value").alias("of_value"))
+    lists = cut_lineage(lists.join(held, F.col("value") == F.col("of_value"), "left_semi"))
     if lists.isEmpty():
         return classes.select("node", F.col("node").alias("component"))
     sets = _candidate_sets(lists, docs, classes, rules)
-    enough = max(rules.meet_in_full, 4 * classes.count())
-    edges = None
-    for turn in range(rules.rounds + 1):
-        last = turn == rules.rounds or lists.agg(F.sum("n")).first()[0] <= enough
-        mine = lists.select("value", F.col("node").alias("a"), F.col("component").alias("own"))
-        if last:
-            fresh = cut_lineage(_met_in_full(lists.select("node", "component").distinct(), sets, classes, rules))
-        else:
-            heads = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "component")).alias("head")).select("value", (-F.col("head.minus")).alias("b"), F.col("head.component").alias("its"))
-            met = mine.join(heads, "value")
-            lists = lists.join(heads.select("value", F.col("b").alias("node")), ["value", "node"], "left_anti")
-            fresh = cut_lineage(_confirmed(_estimated(_ordered(met.where("own <> its")), classes, rules), sets, rules))
-        edges = fresh if edges is None else edges.union(fresh)
-        reached = components(edges)
-        if last:
-            break
-        lists = lists.drop("component", "n").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_lists = lists.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-        lists = cut_lineage(lists.join(open_lists.select("value", "n"), "value").select("value", "node", "weight", "component", "n"))
-        if lists.isEmpty():
-            break
-    return reached
+    heads = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("head")).select(F.col("value").alias("of_value"), (-F.col("head.minus")).alias("b"))
+    met = lists.join(heads, F.col("value") == F.col("of_value")).select(F.col("node").alias("a"), "b").where("a <> b")
+    reached = components(_confirmed(_estimated(_ordered(met), classes, rules), sets, rules))
+    reached = classes.select("node").join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    placed = lists.join(reached, "node")
+    open_lists = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("value").alias("of_value"))
+    nodes = cut_lineage(placed.join(open_lists, F.col("value") == F.col("of_value"), "left_semi").select("node", "component").distinct())
+    further = components(cut_lineage(_met(nodes, sets, classes, rules))).toDF("of", "further")
+    return reached.join(further, F.col("component") == F.col("of"), "left").select("node", F.coalesce("further", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -227,6 +328,7 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -
     Rows with a null doc_id are linked with nothing either; their component_id is null and they are kept. Rows that share
     a doc_id are one node.
     """
+    small_batches(docs.sparkSession)
     sketched = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches(rules), "doc_id long, n_shingles long, signature binary, sketch array<long>"))
     real = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = real.groupBy("signature").agg(F.min("doc_id").alias("node"))
@@ -239,13 +341,16 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -
 
 
 def keep_one_each(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """`docs` with one document of each component, same columns; of rows that share a doc_id one stays."""
+    """`docs` with one document of each component, same columns; of rows that share a doc_id one stays.
+
+    Rows without a doc_id and texts without words are linked with nothing and stay. An empty table stays empty; other
+    columns may have any names.
+    """
     kept = near_duplicates(docs, rules).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    unnamed = docs.where("doc_id IS NULL")
-    chosen = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    packed = chosen.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("own_id"))
-    first = packed.withColumn("rank", F.row_number().over(Window.partitionBy("own_id").orderBy(F.xxhash64("row")))).where("rank = 1")
-    return first.select(*[F.col("row")[c].alias(c) for c in docs.columns]).union(unnamed)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"))
+    chosen = packed.join(kept, F.col("own_id") == F.col("kept_id"), "left_semi")
+    first = chosen.withColumn("rank", F.row_number().over(Window.partitionBy("own_id").orderBy(F.xxhash64("row")))).where("rank = 1").select("row")
+    return first.union(packed.where("own_id IS NULL").select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 SQL = """
