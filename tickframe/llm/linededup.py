@@ -3,15 +3,18 @@
 A line's key is the line without blanks at both ends and with A-Z in lower case. Keys of at least ten code points that
 occur in two or more documents keep their lines only in the smallest doc_id that holds them.
 
-1. Each task hashes its documents' distinct keys and passes on 8-byte hashes, each once a task, with a mark for hashes
-   that two of its documents share. Hashes are dealt by value over as many segments as the table has partitions.
+1. Each task hashes its documents' distinct keys and passes on 8-byte hashes, each once a slice of the table, with a mark
+   for hashes that two of its documents share. Hashes are dealt by value over as many segments as the table has partitions.
 2. Each segment feeds two Bloom filters: every hash whose bits are all in the segment's once-seen filter, or that a task
-   marked, sets its bits in the twice-seen one, which all segments share. That is the compact filter of `suspect_bits`
-   bits (a fixed size, however large the table is: a fuller filter lets more lines through to step 3 and changes no
-   result). Neither filter leaves out a repeated hash.
-3. Only lines that this filter suspects are shuffled, with their whole key. Grouping confirms keys of at least two
-   documents and finds the first one.
-4. The confirmed drops return to their documents by doc_id.
+   marked, sets its bits in the segment's twice-seen one. Both are sized by the hashes that they take, so that they tell as
+   much in a large table as in a small one, and neither leaves out a repeated hash.
+3. Only lines that the twice-seen filters suspect are shuffled, as the SHA-256 of their whole key. Grouping confirms keys of
+   at least two documents and finds the first one. The filters go to the lines by broadcast up to `broadcast_bytes`
+   together; beyond that the lines' hashes meet the repeated ones in a join, with the same result.
+4. The confirmed drops return to their documents.
+
+A key that very many documents share is grouped before it is shuffled, and where its lines meet the confirmed key, both
+sides are plain shuffles, which Spark's adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import slices, texts
+from tickframe.llm.common import cut_lineage, slices, small_batches, texts
 
 MIN_KEY = 10
-#: Bits of the compact filter that every task gets: 2^26 bits are 8 MB.
-SUSPECT_BITS = 1 << 26
+#: Twice-seen filters of up to so many bytes together (two bytes a repeated hash) are sent to all tasks.
+BROADCAST_BYTES = 64 << 20
 #: A segment's filter gets so many bits for each hash, and each hash sets so many of them.
 BITS_PER_HASH, BITS_SET = 16, 4
 
@@ -67,9 +70,32 @@ class Bloom:
         return (self.words[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
 
 
+def _segment(hashes: np.ndarray, segments: int) -> np.ndarray:
+    return ((hashes >> np.uint64(40)) % np.uint64(segments)).astype(np.int32)
+
+
+class Filters:
+    """The twice-seen filters of all segments, one after another."""
+
+    def __init__(self, segments: int, rows: list):
+        self.start, self.mask = np.zeros(segments, np.uint64), np.zeros(segments, np.uint64)
+        self.used, words, at = np.zeros(segments, bool), [np.zeros(1, np.uint8)], 1
+        for row in rows:
+            k, own = row["segment"], np.frombuffer(row["words"], np.uint8)
+            self.start[k], self.mask[k], self.used[k] = 8 * at, 8 * len(own) - 1, True
+            words.append(own)
+            at += len(own)
+        self.words = np.concatenate(words)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        of = _segment(hashes, len(self.start))
+        at = self.start[of][:, None] + (_positions(hashes, 1 << 63) & self.mask[of][:, None])
+        return self.used[of] & (self.words[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
+
+
 def _hash_keys(segments: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64 << 20):
+        for batch in slices(batches):
             by_doc: dict[int | None, set[bytes]] = {}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 if text:
@@ -77,73 +103,93 @@ def _hash_keys(segments: int):
                     by_doc[doc_id] = by_doc[doc_id] | found if doc_id in by_doc else found
             flat = [k for keys in by_doc.values() for k in keys]
             hashes, counts = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat)), return_counts=True)
-            part = ((hashes >> np.uint64(40)) % np.uint64(segments)).astype(np.int32)
+            part = _segment(hashes, segments)
             order = np.argsort(part, kind="stable")
             hashes, counts, part = hashes[order], counts[order], part[order]
             present, starts = np.unique(part, return_index=True)
-            ends = np.append(starts[1:], len(part))
+            ends = np.append(starts[1:], len(part))[: len(starts)]
             rows = [(int(p), hashes[a:b].tobytes(), hashes[a:b][counts[a:b] > 1].tobytes(), int(b - a)) for p, a, b in zip(present, starts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int64())], ["segment", "once", "again", "n"])
 
     return run
 
 
-def _filter_segment(suspect_bits: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        bits = 1 << max(10, int(group["n"].sum() * BITS_PER_HASH - 1).bit_length())
-        once, suspects = Bloom(bits), []
-        for seen, again in zip(group["once"], group["again"], strict=True):
-            hashes, local = np.frombuffer(seen, np.uint64), np.frombuffer(again, np.uint64)
-            suspects += [hashes[once.holds(hashes)], local]
-            once.add(hashes)
-        positions = np.unique(_positions(np.unique(np.concatenate(suspects)), suspect_bits)).astype(np.uint32)
-        return pd.DataFrame({"positions": [positions.tobytes()]})
+def filter_segment(group: pd.DataFrame) -> pd.DataFrame:
+    """The twice-seen filter of a segment and the hashes in it."""
+    once, suspects = Bloom(_filter_bits(group["n"].sum())), []
+    for seen, again in zip(group["once"], group["again"], strict=True):
+        hashes, local = np.frombuffer(seen, np.uint64), np.frombuffer(again, np.uint64)
+        suspects += [hashes[once.holds(hashes)], local]
+        once.add(hashes)
+    found = np.unique(np.concatenate(suspects))
+    twice = Bloom(_filter_bits(len(found)))
+    twice.add(found)
+    return pd.DataFrame({"segment": [group["segment"].iloc[0]], "words": [twice.words.tobytes()], "hashes": [found.tobytes()]})
 
-    return run
 
+def _filter_bits(hashes: int) -> int:
+    return 1 << max(6, int(max(hashes, 1) * BITS_PER_HASH - 1).bit_length())
 
-def suspect_filter(docs: DataFrame, suspect_bits: int = SUSPECT_BITS) -> bytes:
-    """The compact filter of twice-seen hashes; at most suspect_bits / 8 bytes, whatever the table's size."""
-    docs = docs.select("doc_id", "text")
-    segments = max(1, docs.rdd.getNumPartitions())
-    hashes = docs.mapInArrow(_hash_keys(segments), "segment int, once binary, again binary, n long")
-    found = hashes.groupBy("segment").applyInPandas(_filter_segment(suspect_bits), "positions binary")
-    words = np.zeros(suspect_bits >> 3, np.uint8)
-    for row in found.toLocalIterator():
-        at = np.frombuffer(row["positions"], np.uint32)
-        np.bitwise_or.at(words, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-    return words.tobytes()
 
+def _suspected(shared, segments: int):
+    """The distinct keys of each document that the filters suspect (without filters all of them, with their hashes)."""
 
-def _suspected(shared, suspect_bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom(8)
-        bloom.bits, bloom.words = suspect_bits, np.frombuffer(shared.value, np.uint8)
+        filters = shared.value if shared is not None else None
         for batch in slices(batches):
-            ids, keys = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            ids, owners, keys = [], [], []
+            for doc_id, owner, text in zip(batch.column("doc_id").to_pylist(), batch.column("owner").to_pylist(), texts(batch), strict=True):
                 if text:
-                    own = list(_keys(text))
-                    ids += [doc_id] * len(own)
-                    keys += own
-            hit = bloom.holds(np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "key"]).filter(pa.array(hit))
+                    found = list(_keys(text))
+                    ids += [doc_id] * len(found)
+                    owners += [owner] * len(found)
+                    keys += found
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
+            hit = np.flatnonzero(filters.holds(hashes)) if filters is not None else np.arange(len(keys))
+            digests = [hashlib.sha256(keys[i]).digest() for i in hit]
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hit], pa.int64()), pa.array([owners[i] for i in hit], pa.string()), pa.array(digests, pa.binary()), pa.array(hashes[hit].view(np.int64))], ["doc_id", "owner", "key", "hash"])
 
     return run
 
 
-def repeated_lines(docs: DataFrame, suspect_bits: int = SUSPECT_BITS) -> DataFrame:
-    """(doc_id, keys): for each document the keys whose lines it loses.
+def _hash_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for hashes in batch.column("hashes").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes, np.int64))], ["of_hash"])
+
+
+def _owner() -> Column:
+    """Rows that lose the same lines: those with one doc_id, or without a doc_id and with one text."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.md5(F.col("text").cast("binary"))), F.lit("text:"))
+
+
+def suspected_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, owner, key): the digests of all lines' keys that may stand in two documents, each once a document."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _owner().alias("owner"), "text")
+    segments = max(1, docs.rdd.getNumPartitions())
+    hashes = own.select("doc_id", "text").mapInArrow(_hash_keys(segments), "segment int, once binary, again binary, n long")
+    found = cut_lineage(hashes.groupBy("segment").applyInPandas(filter_segment, "segment int, words binary, hashes binary"))
+    schema = "doc_id long, owner string, key binary, hash long"
+    if (found.agg(F.sum(F.length("words"))).first()[0] or 0) <= broadcast_bytes:
+        shared = docs.sparkSession.sparkContext.broadcast(Filters(segments, found.select("segment", "words").collect()))
+        return own.mapInArrow(_suspected(shared, segments), schema).drop("hash")
+    repeated = found.select("hashes").mapInArrow(_hash_rows, "of_hash long")
+    return own.mapInArrow(_suspected(None, segments), schema).join(repeated, F.col("hash") == F.col("of_hash"), "left_semi").drop("hash")
+
+
+def repeated_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(drop_owner, drop_keys): for each owner the digests of the keys whose lines it loses.
 
-    A document is a doc_id: rows that share one, null included, count as the same document, and null comes last.
+    A document is a doc_id: rows that share one, null included, count as the same document, and null comes last. What a
+    row loses is kept by its doc_id, and without one by its text, so that rows without doc_id gather in no one place.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(suspect_filter(docs, suspect_bits))
-    suspected = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_suspected(shared, suspect_bits), "doc_id long, key binary")
+    small_batches(docs.sparkSession)
+    suspected = cut_lineage(suspected_lines(docs, broadcast_bytes))
     # Nulls are kept apart from the smallest and largest id, as either of them is a valid id.
     first = suspected.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("no_id"))
-    confirmed = first.where((F.col("first") < F.col("last")) | F.col("no_id") & F.col("first").isNotNull()).select("key", "first")
-    lost = suspected.join(confirmed, "key").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    confirmed = cut_lineage(first.where((F.col("first") < F.col("last")) | F.col("no_id") & F.col("first").isNotNull()).select(F.col("key").alias("of_key"), "first"))
+    lost = suspected.join(confirmed, F.col("key") == F.col("of_key")).where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return lost.groupBy(F.col("owner").alias("drop_owner")).agg(F.collect_set("key").alias("drop_keys"))
 
 
 def _apply(names: list[str]):
@@ -157,7 +203,7 @@ def _apply(names: list[str]):
                 left = lines
                 if keys:
                     keys = set(keys)
-                    left = [x for x in lines if line_key(x) not in keys]
+                    left = [x for x in lines if (key := line_key(x)) is None or hashlib.sha256(key).digest() not in keys]
                 joined = b"\n".join(left)
                 kept.append(None if text is None else joined)
                 total.append(len(lines))
@@ -169,21 +215,25 @@ def _apply(names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, suspect_bits: int = SUSPECT_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of `docs`: doc_id, n_lines, n_dropped, kept_sha256.
 
-    A null or empty text is one empty line that stays. Rows with equal doc_id lose the same lines.
+    A null or empty text is one empty line that stays. Rows with equal doc_id lose the same lines. An empty table gives
+    an empty result; other columns are not read.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = own.join(repeated_lines(docs, suspect_bits).select(F.col("doc_id").alias("drop_id"), F.col("keys").alias("drop_keys")), F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "drop_keys")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _owner().alias("owner"), "text")
+    joined = own.join(repeated_lines(docs, broadcast_bytes), F.col("owner") == F.col("drop_owner"), "left").select("doc_id", "text", "drop_keys")
     return joined.mapInArrow(_apply(["doc_id", "n_lines", "n_dropped", "kept_sha256"]), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def drop_repeated_lines(docs: DataFrame, suspect_bits: int = SUSPECT_BITS) -> DataFrame:
-    """`docs` with the same rows and columns, texts without their repeated lines; a null text stays null."""
-    lost = repeated_lines(docs, suspect_bits).select(F.col("doc_id").alias("drop_id"), F.col("keys").alias("drop_keys"))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), "text")
-    joined = packed.join(lost, F.col("own_id").eqNullSafe(F.col("drop_id")), "left").select("row", "text", "drop_keys")
+def drop_repeated_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`docs` with the same rows and columns, texts without their repeated lines.
+
+    A null text stays null, an empty one empty, and a text that loses all lines becomes empty. Rows with equal doc_id lose
+    the same lines. An empty table stays empty; other columns may have any names.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("row"), _owner().alias("owner"), "text")
+    joined = packed.join(repeated_lines(docs, broadcast_bytes), F.col("owner") == F.col("drop_owner"), "left").select("row", "text", "drop_keys")
     row_type = docs.schema.simpleString()
     rewritten = joined.select(F.col("row").withField("text", F.lit(None).cast("string")).alias("row"), "text", "drop_keys").mapInArrow(_apply(["row", "kept_text"]), f"row {row_type}, kept_text string")
     return rewritten.select(*[F.col("kept_text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
