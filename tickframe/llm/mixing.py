@@ -13,12 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import WORD_PATTERN
+from tickframe.llm.common import WORD_PATTERN, cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 #: Ranges of keys in a source: four hexadecimal digits.
 BUCKETS = 16**4
+#: Cuts of up to so many sources (about 100 bytes each) go to the texts; more of them are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(column: str) -> Column:
@@ -76,18 +78,24 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs:
 def repeat_by_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """The mixed corpus, same columns: each row as often as its words are taken.
 
-    Texts are never cut: the document at a source's cut is in the last epoch if at least half of its words fit. Documents
-    without words stay in once, as they use no budget. Rows are matched to their count by doc_id and key.
+    Texts are never cut: the document at a source's cut is in the last epoch if at least half of its words fit, and equal
+    rows at the cut share its fate. Null and empty texts have no words; they stay in once, as they use no budget. A null
+    source is a source of its own; an empty table stays empty; other columns may have any names.
+
+    A source's cut is one row (whole epochs, last place taken), so rows are repeated where they lie and no text is moved.
     """
     mixed = mix_sources(docs, weights, max_epochs)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1)
-    counted = mixed.withColumn("times", times.cast("int")).groupBy("key", "source").agg(F.collect_list("times").alias("all_times"))
-    counted = counted.select(F.col("key").alias("of_key"), F.col("source").alias("of_source"), F.sort_array("all_times", asc=False).alias("all_times"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), random_key("doc_id", "text").alias("key"), "source")
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("key", "source").orderBy(F.xxhash64("row"))))
-    joined = ranked.join(counted, (F.col("key") == F.col("of_key")) & F.col("source").eqNullSafe(F.col("of_source")))
-    repeated = joined.select("row", F.explode(F.array_repeat(F.lit(1), F.element_at("all_times", F.col("rank")))).alias("copy"))
-    return repeated.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    times = F.floor(F.col("taken") / F.col("size") + 0.5)
+    place = lambda key, doc_id, size: F.struct(key.alias("key"), doc_id.alias("doc_id"), size.alias("size"))
+    counted = mixed.where("size > 0").select("source", times.alias("times"), F.floor(F.round(F.col("target")).cast("long") / F.col("source_size")).alias("epochs"), place(F.col("key"), F.col("doc_id"), F.col("size")).alias("place"))
+    cuts = cut_lineage(counted.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("times") > F.col("epochs"), F.col("place"))).alias("last"))).withColumnRenamed("source", "of")
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), "source", "text", "doc_id").withColumn("size", word_count("text"))
+    joined = packed.join(cuts, (F.col("size") > 0) & F.col("source").eqNullSafe(F.col("of")), "left")
+    mine = place(random_key("doc_id", "text"), F.col("doc_id"), F.col("size"))
+    count = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.coalesce((mine <= F.col("last")).cast("int"), F.lit(0))).cast("int")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), count)).alias("copy")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 SQL = """
