@@ -2,7 +2,9 @@
 
 A word is held as part boundaries and, beside them, the rank of each pair of neighbouring parts. The lowest rank is found
 by scanning, its right boundary is deleted, and the ranks on both sides are looked up anew, until no pair has a rank.
-Words are short, so scanning a small array beats a heap. Words recur, so each worker keeps the result of recent ones.
+Words are short, so scanning a small array beats a heap. A long word's array is cut into blocks of `BLOCK` parts, and a heap
+of the blocks' minima says which block to scan, so its cost is nearly linear. Words recur, so each worker keeps the
+ids of recent ones, up to a bound in bytes.
 
 The vocabulary file names its steps: NFC, lower case, a split that drops blanks, bytes as visible characters, and a mark
 at each word's end. Blanks always separate pieces, so a text is cut at blanks first and each chunk is looked up whole.
@@ -11,6 +13,7 @@ at each word's end. Blanks always separate pieces, so a text is cut at blanks fi
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -22,11 +25,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import slices, texts
+from tickframe.llm.common import slices, small_batches, texts
 
 NO_RANK = 1 << 60
-#: Entries of a worker's recent chunks, in each of two generations.
-CACHE = 250_000
+#: Parts of a word up to which one scan covers it; longer words have blocks of so many.
+BLOCK = 128
+#: Bytes (estimated) of the words that a worker keeps in each of two generations; a quarter of it for other pieces.
+CACHE = 48 << 20
+#: Longer words are not kept.
+CACHED_LENGTH = 64
 
 #: Characters that Python counts as blanks but Unicode's White_Space does not.
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")
@@ -45,6 +52,8 @@ def merge_ranks(parts: list[int], ranks: dict[int, int], merged: list[int]) -> t
 
     `ranks` has the rank of a pair under left * 2^20 + right; `merged` has the id that a rank makes.
     """
+    if len(parts) > BLOCK:
+        return _merge_long(parts, ranks, merged)
     parts = list(parts)
     bounds = list(range(len(parts) + 1))
     get = ranks.get
@@ -64,6 +73,54 @@ def merge_ranks(parts: list[int], ranks: dict[int, int], merged: list[int]) -> t
     return parts, bounds
 
 
+def _merge_long(word: list[int], ranks: dict[int, int], merged: list[int]) -> tuple[list[int], list[int]]:
+    """As `merge_ranks`. near[k][i] is the rank of part i of block k and the part after it, in this block or a later one."""
+    get = ranks.get
+    parts = [word[i : i + BLOCK] for i in range(0, len(word), BLOCK)]
+    starts = [list(range(i, min(i + BLOCK, len(word)))) for i in range(0, len(word), BLOCK)]
+    near = [[get(a << 20 | b, NO_RANK) for a, b in zip(p, [*p[1:], *(q[:1])], strict=False)] for p, q in zip(parts, [*parts[1:], []], strict=True)]
+    near[-1] += [NO_RANK] * (len(parts[-1]) - len(near[-1]))
+    # Blocks with parts, as a chain: emptied ones drop out.
+    before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
+    heap = [(min(x), k) for k, x in enumerate(near)]
+    heapq.heapify(heap)
+
+    def renew(k: int, i: int) -> None:
+        j = after[k]
+        follower = parts[k][i + 1] if i + 1 < len(parts[k]) else parts[j][0] if j >= 0 else -1
+        near[k][i] = get(parts[k][i] << 20 | follower, NO_RANK) if follower >= 0 else NO_RANK
+
+    while heap:
+        least, k = heapq.heappop(heap)
+        if least == NO_RANK:
+            break
+        if not near[k] or min(near[k]) != least:
+            continue
+        i = near[k].index(least)
+        parts[k][i] = merged[least]
+        changed = {k}
+        if i + 1 < len(parts[k]):
+            del parts[k][i + 1], starts[k][i + 1], near[k][i + 1]
+        else:
+            j = after[k]
+            del parts[j][0], starts[j][0], near[j][0]
+            changed.add(j)
+            if not parts[j]:
+                after[k] = after[j]
+                if after[j] >= 0:
+                    before[after[j]] = k
+        renew(k, i)
+        if i:
+            renew(k, i - 1)
+        elif before[k] >= 0:
+            renew(before[k], len(parts[before[k]]) - 1)
+            changed.add(before[k])
+        for j in changed:
+            if near[j]:
+                heapq.heappush(heap, (min(near[j]), j))
+    return [p for block in parts for p in block], [*(s for block in starts for s in block), len(word)]
+
+
 class Coder:
     """Encoder and decoder of one vocabulary file (the JSON of a BPE tokenizer with word-end marks)."""
 
@@ -87,39 +144,62 @@ class Coder:
         self.inner = [self.vocab[characters[b]] for b in range(256)]
         self.last = [self.vocab[characters[b] + self.end] for b in range(256)]
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
-        self.recent: dict[str, tuple[str, int, str]] = {}
-        self.older: dict[str, tuple[str, int, str]] = {}
-        self.pieces_seen: dict[str, tuple[str, int, str]] = {}
-
-    def _piece(self, piece: str) -> tuple[str, int, str]:
-        if (known := self.pieces_seen.get(piece)) is None:
-            data = piece.encode()
-            parts = [self.inner[b] for b in data]
-            parts[-1] = self.last[data[-1]]
-            ids, _ = merge_ranks(parts, self.ranks, self.merged)
-            if len(self.pieces_seen) >= CACHE:
-                self.pieces_seen = {}
-            self.pieces_seen[piece] = known = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+        self.token_of = {str(i): t for i, t in self.tokens.items()}
+        # A word's ids, joined by blanks: words of the newest two generations, and pieces that are no words of their own.
+        self.recent: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.others: dict[str, str] = {}
+        self.recent_bytes = self.others_bytes = 0
+
+    def _keep(self, word: str, ids: str) -> str:
+        if len(word) <= CACHED_LENGTH:
+            # Two strings with their heads and a place in a dictionary.
+            self.recent_bytes += 240 + 2 * len(word) + len(ids)
+            if self.recent_bytes > CACHE:
+                self.recent, self.older, self.recent_bytes = {}, self.recent, 0
+            self.recent[word] = ids
+        return ids
+
+    def _merged(self, piece: str) -> str:
+        data = piece.encode()
+        parts = [self.inner[b] for b in data]
+        parts[-1] = self.last[data[-1]]
+        return " ".join(map(str, merge_ranks(parts, self.ranks, self.merged)[0]))
+
+    def _piece(self, piece: str) -> str:
+        """Ids of a piece. One of letters a to z only is a word of its own and is kept as such."""
+        if piece.isascii() and piece.isalpha():
+            if (known := self.recent.get(piece)) is not None:
+                return known
+            return self._keep(piece, self._merged(piece) if (known := self.older.get(piece)) is None else known)
+        if (known := self.others.get(piece)) is None:
+            known = self._merged(piece)
+            if len(piece) <= CACHED_LENGTH:
+                self.others_bytes += 240 + 4 * len(piece) + len(known)
+                if self.others_bytes > CACHE // 4:
+                    self.others, self.others_bytes = {}, 0
+                self.others[piece] = known
         return known
 
-    def _chunk(self, chunk: str) -> tuple[str, int, str]:
-        """Ids, their number and their decoded text of a chunk without blanks."""
+    def _chunk(self, chunk: str) -> str:
+        """Ids of a chunk without blanks."""
         if (known := self.older.get(chunk)) is None:
             plain = chunk.lower() if chunk.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-            runs = [self._piece(piece) for piece in ([plain] if plain.isalpha() and plain.isascii() else self.pieces.findall(plain))]
-            known = runs[0] if len(runs) == 1 else (" ".join([r[0] for r in runs]), sum([r[1] for r in runs]), " ".join([r[2] for r in runs]))
-        if len(self.recent) >= CACHE:
-            self.recent, self.older = {}, self.recent
-        self.recent[chunk] = known
-        return known
-
-    def _plain(self, text: str) -> list[tuple[str, int, str]]:
+            if plain.isascii() and plain.isalpha():
+                known = self._piece(plain)
+                if plain == chunk:
+                    return known
+            else:
+                known = " ".join([self._piece(piece) for piece in self.pieces.findall(plain)])
+        return self._keep(chunk, known)
+
+    def _plain(self, text: str) -> list[str]:
         chunks = text.split() if not _ODD_BLANKS.search(text) else [c for c in _BLANKS.split(text) if c]
         get = self.recent.get
         found = [get(c) for c in chunks]
         if None in found:
             found = [f if f is not None else self._chunk(c) for f, c in zip(found, chunks, strict=True)]
-        return [f for f in found if f[1]]
+        return [f for f in found if f]
 
     def code(self, text: str) -> tuple[str, int, str]:
         """Ids joined by a blank, their number, and the decoded text."""
@@ -129,10 +209,12 @@ class Coder:
             runs, at = [], 0
             for match in self.special.finditer(text):
                 runs += self._plain(text[at : match.start()])
-                runs.append((str(self.added[match[0]]), 1, match[0]))
+                runs.append(str(self.added[match[0]]))
                 at = match.end()
             runs += self._plain(text[at:])
-        return " ".join([r[0] for r in runs]), sum([r[1] for r in runs]), " ".join([r[2] for r in runs])
+        joined = " ".join(runs)
+        ids = joined.split(" ") if joined else []
+        return joined, len(ids), " ".join([self.token_of[i] for i in ids])
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.code(text)[0].split()]
@@ -180,6 +262,7 @@ def code_texts(docs: DataFrame, path: str, with_output: bool = False) -> DataFra
 
     A null text counts as empty and has no tokens. Each row is coded where it lies; equal rows give equal results.
     """
+    small_batches(docs.sparkSession)
     definition = share_vocabulary(docs.sparkSession, path)
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_output else [])]
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
