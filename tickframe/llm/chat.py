@@ -7,34 +7,35 @@ the assistant speaks (what a model learns from) and false for the rest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _turns(alias: str) -> Column:
-    """A conversation's turns in order. A conversation is a bounded group: one sequence that a model reads at once."""
-    return F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias(alias)
-
-
-def render_turn(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), turn["role"], F.lit("|>\n"), turn["text"], F.lit("<|end|>\n"))
+def render_turn(role: Column | str, text: Column | str) -> Column:
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
 
 
 def _render(turns: Column) -> Column:
-    return F.array_join(F.transform(turns, render_turn), "")
+    return F.array_join(F.transform(turns, lambda t: render_turn(t["role"], t["text"])), "")
 
 
 def preference_pairs(conversations: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected) arrays of turns: conversation 2k is the chosen one of pair k, 2k + 1 the rejected.
 
+    A turn is (place, at, role, text): its place in the conversation from 1 on and the code points rendered before it.
     Null roles read as `user`, null texts as empty, and null turns come last. Rows without a conv_id are left out, and so
-    are pairs of which one side is missing. Repeated rows are repeated turns.
+    are pairs of which one side is missing. Repeated rows are repeated turns. Any conv_id of 64 bits is right, negative
+    ones included. One shuffle brings a pair together; a pair is a bounded group, two sequences that a model reads at once.
     """
-    rows = conversations.where("conv_id IS NOT NULL").select("conv_id", F.coalesce("turn", F.lit(2**31 - 1)).alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = rows.groupBy("conv_id").agg(_turns("turns"))
-    side = F.pmod("conv_id", F.lit(2))
-    pairs = whole.groupBy(F.floor((F.col("conv_id") - side) / 2).alias("pair_id")).agg(F.max(F.when(side == 0, F.col("turns"))).alias("chosen"), F.max(F.when(side == 1, F.col("turns"))).alias("rejected"))
-    return pairs.where("chosen IS NOT NULL AND rejected IS NOT NULL")
+    rows = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce("turn", F.lit(2**31 - 1)).alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # An arithmetic shift halves towards minus infinity, in integers.
+    rows = rows.select(F.shiftright("conv_id", 1).alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text").repartition("pair_id")
+    order = Window.partitionBy("pair_id", "side").orderBy("turn", "role", "text")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("place", F.row_number().over(order)).withColumn("at", F.coalesce(F.sum(F.length(render_turn("role", "text")).cast("long")).over(before), F.lit(0).cast("long")))
+    turn = F.struct("place", "at", "role", "text")
+    side = lambda k: F.array_sort(F.collect_list(F.when(F.col("side") == k, turn)))
+    return placed.groupBy("pair_id").agg(side(0).alias("chosen"), side(1).alias("rejected")).where("size(chosen) > 0 AND size(rejected) > 0")
 
 
 def format_preferences(pairs: DataFrame) -> DataFrame:
@@ -44,19 +45,18 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     completion (code points). Equal conversations have empty completions and masks.
     """
     shorter = F.least(F.size("chosen"), F.size("rejected"))
-    differs = F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda i: (i > shorter) | (F.get("chosen", i - 1) != F.get("rejected", i - 1)))
+    said = lambda side, i: F.struct(F.get(side, i - 1)["role"], F.get(side, i - 1)["text"])
+    differs = F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda i: (i > shorter) | (said("chosen", i) != said("rejected", i)))
     prefix = F.when(F.size(differs) > 0, F.array_min(differs) - 1).otherwise(shorter)
-    out = pairs.withColumn("n_prefix", prefix.cast("int"))
+    out = pairs.withColumn("n_prefix", prefix.cast("int")).withColumns({f"{s}_from": F.get(s, F.col("n_prefix"))["at"] for s in ("chosen", "rejected")})
     rest = lambda side: F.slice(F.col(side), F.col("n_prefix") + 1, F.greatest(F.size(side) - F.col("n_prefix"), F.lit(0)))
 
     def masks(side: str) -> Column:
-        def step(seen: Column, turn: Column) -> Column:
-            start = seen["at"] + F.length(turn["role"]) + 5
-            stop = start + F.length(turn["text"])
-            return F.struct(F.concat(seen["masks"], F.array(F.struct((turn["role"] == "assistant").alias("learned"), start.alias("start"), stop.alias("stop")))).alias("masks"), (stop + 8).alias("at"))
+        def entry(turn: Column) -> Column:
+            start = (turn["at"] - F.col(f"{side}_from") + F.length(turn["role"]) + 5).cast("int")
+            return F.struct((turn["role"] == "assistant").alias("learned"), start.alias("start"), (start + F.length(turn["text"])).alias("stop"))
 
-        empty = F.struct(F.array().cast("array<struct<learned:boolean,start:int,stop:int>>").alias("masks"), F.lit(0).alias("at"))
-        return F.aggregate(rest(side), empty, step)["masks"]
+        return F.transform(rest(side), entry)
 
     return out.select("pair_id", "n_prefix", _render(F.slice("chosen", F.lit(1), F.col("n_prefix"))).alias("prompt"), _render(rest("chosen")).alias("chosen"), _render(rest("rejected")).alias("rejected"), masks("chosen").alias("chosen_mask"), masks("rejected").alias("rejected_mask"))
 
