@@ -4,8 +4,9 @@ Texts become normalised TF-IDF vectors of hashed byte n-grams (orders 1 to 3, lo
 centroids, found by spherical k-means, and a text belongs to the language of the centroid with the largest cosine. If
 even that is below the distance within which nearly all training texts of the centroid lie, the text is marked rejected.
 
-Fitting uses a bounded, hash-chosen sample: at most `sample` training rows of each language (documented bound), and one
-language's sample is one small group. Prediction is one pass over the table without a shuffle.
+Fitting uses a bounded sample (a documented parameter): rows whose hash lies below a language's own limit, set so that
+`sample` of its training rows are expected there (all, if it has fewer). Training rows are only counted by language, so
+no language's rows meet in one task, but for its sample. Prediction is one pass over the table without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import remainder, slices, texts
+from tickframe.llm.common import cut_lineage, remainder, slices, small_batches, texts
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -98,31 +99,28 @@ def _cluster(settings: Centroids, idf: np.ndarray):
 def fit_languages(rows: DataFrame, settings: Centroids = Centroids()) -> Model:
     """Centroids from training rows (doc_id, lang, text); null and blank texts and null languages are left out.
 
-    The driver gets languages x clusters vectors of `dimension` floats.
+    The driver gets languages x clusters vectors of `dimension` floats, one count a language and one a dimension.
     """
-    usable = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ids = usable.select("doc_id", "lang", F.xxhash64(F.lit("lang"), "doc_id").alias("pick"))
-    chosen = ids.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("pick", "doc_id"))).where(F.col("place") <= settings.sample)
-    # The largest pick of each language bounds its sample, so the texts are filtered where they lie.
-    bounds = {r["lang"]: r["most"] for r in chosen.groupBy("lang").agg(F.max("pick").alias("most")).collect()}
-    if not bounds:
+    small_batches(rows.sparkSession)
+    usable = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", F.xxhash64(F.lit("lang"), "doc_id").alias("pick"))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    if not counts:
         return Model([], np.zeros((0, settings.dimension)), np.zeros(0), np.ones(settings.dimension))
-    within = F.lit(False)
-    for lang, most in bounds.items():
-        within = within | (F.col("lang") == lang) & (F.xxhash64(F.lit("lang"), "doc_id") <= most)
-    sample = usable.where(within).select("lang", F.xxhash64(F.lit("lang"), "doc_id").alias("pick"), "text").mapInArrow(_features(settings.dimension), "lang string, pick long, counts binary")
+    place = F.pmod("pick", F.lit(1 << 62)) / F.lit(float(1 << 62))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, settings.sample / n))]), F.col("lang"))
+    sample = cut_lineage(usable.where(place < share).select("lang", "pick", "text").mapInArrow(_features(settings.dimension), "lang string, pick long, counts binary"))
 
     def document_frequency(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(settings.dimension), 0
+        seen, n = np.zeros(settings.dimension, np.int64), 0
         for batch in batches:
             for counts in batch.column("counts").to_pylist():
                 seen += np.frombuffer(counts, np.float32) > 0
                 n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["seen", "n"])
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(seen[held], n))], ["dimension", "n"])
 
-    parts = sample.mapInArrow(document_frequency, "seen binary, n long").collect()
-    total = sum(r["n"] for r in parts)
-    idf = np.log((1 + total) / (1 + sum(np.frombuffer(r["seen"], np.float64) for r in parts))) + 0.1
+    seen = {r["dimension"]: r["n"] for r in sample.mapInArrow(document_frequency, "dimension long, n long").groupBy("dimension").agg(F.sum("n").alias("n")).collect()}
+    idf = np.log((1 + seen.get(-1, 0)) / (1 + np.array([seen.get(i, 0) for i in range(settings.dimension)]))) + 0.1
     found = sorted(sample.groupBy("lang").applyInPandas(_cluster(settings, idf), "lang string, vector binary, least double").collect(), key=lambda r: (r["lang"], bytes(r["vector"])))
     return Model([r["lang"] for r in found], np.stack([np.frombuffer(r["vector"], np.float32) for r in found]), np.array([r["least"] for r in found]), idf)
 
