@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import cut_lineage, remainder, slices, texts
+from tickframe.llm.common import cut_lineage, remainder, slices, small_batches, texts
 
 
 @dataclass(frozen=True)
@@ -191,9 +191,11 @@ def log_ratio(text: bytes | None, tables: dict[int, Table], settings: KneserNey)
 
 
 def _evidence(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The log ratio per character, and how sure it is: a mean over n characters varies with one over the root of n."""
-    root = np.sqrt(np.clip(size, 1, 40_000))
-    return np.column_stack([x, x * root, root, np.ones(len(x))])
+    """The log ratio per character, and how sure it is: a mean over n characters varies with one over the root of n.
+
+    Both are 0 where the ratio is, so length alone tells nothing.
+    """
+    return np.column_stack([x, x * np.sqrt(np.clip(size, 1, 40_000)), np.ones(len(x))])
 
 
 def _scores(shared, settings: KneserNey, weights: np.ndarray, keep: list[str]):
@@ -211,13 +213,13 @@ def _scores(shared, settings: KneserNey, weights: np.ndarray, keep: list[str]):
 def calibrate(x: np.ndarray, size: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic weights of the evidence, by Newton steps with a small ridge; without both classes a constant."""
     if len(x) == 0 or y.min() == y.max():
-        return np.array([0.0, 0.0, 0.0, 1.0 if len(x) and y.max() > 0 else -1.0])
+        return np.array([0.0, 0.0, 1.0 if len(x) and y.max() > 0 else -1.0])
     rows = _evidence(x, size)
     scale = np.append(np.maximum(rows[:, :-1].std(axis=0), 1e-9), 1.0)
-    rows, beta = rows / scale, np.zeros(4)
+    rows, beta = rows / scale, np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ beta, -30, 30)))
-        step = np.linalg.solve(rows.T @ (rows * (p * (1 - p))[:, None]) + 1e-2 * np.eye(4), rows.T @ (y - p) - 1e-2 * beta)
+        step = np.linalg.solve(rows.T @ (rows * (p * (1 - p))[:, None]) + 1e-2 * np.eye(3), rows.T @ (y - p) - 1e-2 * beta)
         beta += step
         if np.abs(step).max() < 1e-9:
             break
@@ -234,6 +236,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: KneserNey = Kne
     one class only, scores tell nothing and stay on one side of 0.5. A null doc_id is neither learned from nor held out.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fold: Column = remainder("doc_id", 5)
     known = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -245,7 +248,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: KneserNey = Kne
     shared = spark.sparkContext.broadcast(tables)
     share = min(1.0, settings.calibration / max(known.where(fold == 4).count(), 1))
     judged = known.where((fold == 4) & (F.pmod(F.xxhash64(F.lit("cal"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    probe = own.where(fold == 4).join(judged, "doc_id").select("toxic", "text").mapInArrow(_scores(shared, settings, np.zeros(4), ["toxic"]), "toxic int, log_ratio double, size long, score double, predicted int")
+    probe = own.where(fold == 4).join(judged, "doc_id").select("toxic", "text").mapInArrow(_scores(shared, settings, np.zeros(3), ["toxic"]), "toxic int, log_ratio double, size long, score double, predicted int")
     seen = probe.select("toxic", "log_ratio", "size").toPandas()
     weights = calibrate(seen["log_ratio"].to_numpy(float), seen["size"].to_numpy(float), seen["toxic"].to_numpy(float))
     marked = own.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
