@@ -4,9 +4,12 @@ The table is searched shard by shard where its rows lie: each task builds invert
 answers all queries of a block from them. Statistics (documents, lengths, document frequencies) are those of the whole
 table, and impacts are fixed-point numbers, so scores from different shards add up exactly and merge exactly.
 
-In a shard a query takes its terms in the order of their largest impact. As soon as the terms left cannot lift a new
-document over the k-th best score so far, blocks of documents whose largest impacts cannot reach it either are passed
-over, and only the documents that still can are scored in full (terms that most documents hold come last).
+In a shard documents are put in an order that brings like ones together, and are cut into ranges of `docs_per_block`. Every
+posting list has the largest impact of each range that it reaches (its block maxima). For a query their sums bound the
+score of any document in a range. A range is a pivot if that bound reaches the k-th best score so far; pivots are scored in
+full from the postings of the range, in document order but for some promising ones that come first to raise the score to
+reach. All other ranges are skipped without a look at their postings. (A pivot is a range, not a single document: a loop
+over cursors document by document would run in Python.)
 
 Documents are searched in rounds by the hash of the row: first some `first_docs` of them in `first_tasks` tasks, then
 `widen` times as many at a time until the table is through. Each round hands the k-th best (score, doc_id) of every query
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import cut_lineage, slices, texts, word_hashes
+from tickframe.llm.common import cut_lineage, slices, small_batches, texts, word_hashes
 
 
 @dataclass(frozen=True)
@@ -35,10 +38,11 @@ class Bm25:
     k1: float = 1.2
     b: float = 0.75
     shard: int = 8192
-    docs_per_block: int = 64
+    docs_per_block: int = 8
     block_terms: int = 4_000_000
-    #: Terms in so large a share of a shard's documents have their impacts in rows of a dense matrix.
-    dense_share: float = 0.1
+    #: Ranges that are scored first, and pivots that are scored between two looks at the score to reach.
+    first_pivots: int = 16
+    pivots: int = 128
     first_docs: int = 8192
     first_tasks: int = 8
     widen: int = 8
@@ -82,57 +86,81 @@ def _frequencies(shared):
     return run
 
 
+def _spans(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers of all spans first[i]:last[i], one after another."""
+    sizes = last - first
+    total = int(sizes.sum())
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(total) if total else np.empty(0, np.int64)
+
+
 class Shard:
-    """An inverted index of some documents over a vocabulary, with the largest impact of every block of documents."""
+    """An inverted index of some documents over a vocabulary, with block maxima for every list."""
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], n_terms: int, settings: Bm25):
         self.n, self.settings = len(rows), settings
-        docs = np.repeat(np.arange(self.n), [len(r[0]) for r in rows])
+        sizes = np.array([len(r[0]) for r in rows])
         terms = np.concatenate([r[0] for r in rows])
         impacts = np.concatenate([r[1] for r in rows])
-        order = np.argsort(terms, kind="stable")
-        self.docs, self.impacts, terms = docs[order], impacts[order], terms[order]
-        self.starts = np.searchsorted(terms, np.arange(n_terms + 1))
-        sizes = np.diff(self.starts)
-        self.largest = np.zeros(n_terms)
+        # Like documents have the same most frequent term, and next to each other a similar length.
+        holders = np.bincount(terms, minlength=n_terms)
+        top = np.zeros(self.n, np.int64)
         held = np.flatnonzero(sizes)
         if len(held):
-            self.largest[held] = np.maximum.reduceat(self.impacts, self.starts[held])
-        common = np.flatnonzero(sizes >= max(settings.dense_share * self.n, 2))
-        self.row_of = np.full(n_terms, -1)
-        self.row_of[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.n))
-        for row, term in enumerate(common):
-            part = slice(self.starts[term], self.starts[term + 1])
-            self.dense[row, self.docs[part]] = self.impacts[part]
-        self.block_of = np.arange(self.n) // settings.docs_per_block
-        self.block_max = np.maximum.reduceat(self.dense, np.arange(0, self.n, settings.docs_per_block), axis=1) if len(common) else np.zeros((0, self.block_of[-1] + 1))
+            top[held] = np.maximum.reduceat(holders[terms], (np.cumsum(sizes) - sizes)[held])
+        self.row = np.lexsort((sizes, top))
+        place = np.empty(self.n, np.int64)
+        place[self.row] = np.arange(self.n)
+        docs = np.repeat(place, sizes)
+        order = np.lexsort((docs, terms))
+        self.docs, self.impacts, terms = docs[order].astype(np.int32), impacts[order], terms[order]
+        # One entry for each list and range that meet: where its postings start, and the largest impact.
+        self.ranges = -(-self.n // settings.docs_per_block)
+        blocks = self.docs // settings.docs_per_block
+        fresh = np.ones(len(terms), bool)
+        fresh[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
+        first = np.flatnonzero(fresh)
+        self.block_of, self.block_max = blocks[first], np.maximum.reduceat(self.impacts, first) if len(first) else np.empty(0)
+        self.block_start = np.append(first, len(terms))
+        self.starts = np.searchsorted(terms[first], np.arange(n_terms + 1))
+        #: Ranges that a query's lists reach, and those of them whose postings were looked at, over all queries.
+        self.reached = self.scored = 0
 
     def top(self, query: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Documents (as positions) and scores that may be among the k best of this shard and reach `floor`; all that do, are there."""
-        k = self.settings.k
-        rows = self.row_of[query]
-        rare, rows = query[rows < 0], rows[rows >= 0]
-        first, sizes = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
-        total = int(sizes.sum())
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(total) if total else np.empty(0, np.int64)
-        # Without rare terms the count is empty and of integers.
-        scores = np.bincount(self.docs[at], weights=self.impacts[at], minlength=self.n).astype(np.float64)
-        # Common terms, largest impact first, until the rest cannot bring in a new document.
-        rows = rows[np.argsort(-self.block_max[rows].max(axis=1), kind="stable")] if len(rows) else rows
-        step, done = 8, 0
+        """Documents (as rows) and scores that may be among the k best of this shard and reach `floor`; all that do, are there."""
+        k, least = self.settings.k, floor
+        entries = _spans(self.starts[query], self.starts[query + 1])
+        of = self.block_of[entries]
+        bound = np.bincount(of, weights=self.block_max[entries], minlength=self.ranges).astype(np.float64)
+        left = bound > 0
+        self.reached += int(left.sum())
+        found, scores, began = np.empty(0, np.int64), np.empty(0), False
         while True:
-            least = max(np.partition(scores, -k)[-k], floor) if self.n >= k else floor
-            rest = self.block_max[rows[done:]].sum(axis=0)
-            live = scores + rest[self.block_of] >= least
-            if done >= len(rows) or live.sum() <= max(4 * k, self.n // 16):
+            pivots = np.flatnonzero(left & (bound >= least))
+            if not len(pivots):
                 break
-            scores += self.dense[rows[done : done + step]].sum(axis=0)
-            done += step
-            step *= 2
-        found = np.flatnonzero(live)
-        exact = scores[found] + (self.dense[np.ix_(rows[done:], found)].sum(axis=0) if done < len(rows) else 0.0)
-        return found, exact
+            if not began:
+                some = min(self.settings.first_pivots, len(pivots))
+                pivots = pivots[np.argpartition(-bound[pivots], some - 1)[:some]]
+            else:
+                pivots = pivots[: self.settings.pivots]
+            left[pivots], began = False, True
+            chosen = np.zeros(self.ranges, bool)
+            chosen[pivots] = True
+            own = entries[chosen[of]]
+            at = _spans(self.block_start[own], self.block_start[own + 1])
+            rank = np.cumsum(chosen) - 1
+            width = self.settings.docs_per_block
+            local = rank[self.docs[at] // width] * width + self.docs[at] % width
+            total = np.bincount(local, weights=self.impacts[at], minlength=len(pivots) * width)
+            hit = np.flatnonzero((total > 0) & (total >= least))
+            places = np.sort(pivots)[hit // width] * width + hit % width
+            found, scores = np.concatenate([found, self.row[places]]), np.concatenate([scores, total[hit]])
+            self.scored += len(pivots)
+            if len(scores) >= k:
+                least = max(floor, np.partition(scores, -k)[-k])
+                kept = scores >= least
+                found, scores = found[kept], scores[kept]
+        return found, scores
 
 
 def _search(shared, bars, settings: Bm25):
@@ -187,6 +215,7 @@ def search(docs: DataFrame, queries: DataFrame, settings: Bm25 = Bm25()) -> Data
     without a match have no rows. Of queries that share a query_id each adds its matches; null ids are left out.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     asked = cut_lineage(queries.where("query_id IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "text").mapInArrow(_query_terms, "query_id long, terms array<long>").where(F.size("terms") > 0))
     total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
