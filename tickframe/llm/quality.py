@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import cut_lineage, slices, texts, window_hashes, word_hashes
+from tickframe.llm.common import cut_lineage, slices, small_batches, texts, window_hashes, word_hashes
 
 
 @dataclass(frozen=True)
@@ -302,12 +302,14 @@ def assess_quality(docs: DataFrame, rules: QualityRules = QualityRules(), refere
     reference (empty table, or too little text in every language) only the base rules decide. Other columns of `docs`
     are not read.
     """
+    small_batches(docs.sparkSession)
     references = language_references(docs, rules) if references is None else references
     return docs.select("doc_id", "text").mapInArrow(_assess(references, rules), _SCHEMA)
 
 
 def keep_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The rows of `docs`, all columns, that the rules keep; each row is judged where it lies, so nothing is shuffled."""
+    small_batches(docs.sparkSession)
     judge = _assess(language_references(docs, rules), rules)
     names = docs.columns
 
