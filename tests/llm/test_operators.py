@@ -57,8 +57,8 @@ def same(df, sql, rows):
 
 def test_line_dedup(docs, rows):
     same(linededup.dedup_lines(docs), linededup.SQL, rows)
-    # A filter of a few bits lets more lines through and changes nothing.
-    same(linededup.dedup_lines(docs, 64), linededup.SQL, rows)
+    # Without broadcast the hashes meet in a join, with the same result.
+    same(linededup.dedup_lines(docs, -1), linededup.SQL, rows)
     kept = linededup.drop_repeated_lines(docs)
     assert kept.schema == docs.schema and kept.count() == len(rows)
 
@@ -66,12 +66,18 @@ def test_line_dedup(docs, rows):
 def test_line_filter_holds_every_repeated_hash():
     import pandas as pd
 
-    # Both set the same bits of a filter of 1,024 bits, but not of the compact one.
-    hashes = np.array([(1 << 32) + 5, (1 << 32) + 5 + 1024], np.uint64)
-    group = pd.DataFrame({"once": [h.tobytes() for h in hashes], "again": [h.tobytes() for h in hashes], "n": [1, 1]})
-    bits = linededup.SUSPECT_BITS
-    found = np.frombuffer(linededup._filter_segment(bits)(group)["positions"][0], np.uint32)
-    assert set(linededup._positions(hashes, bits).ravel().tolist()) <= set(found.tolist())
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    parts = [np.concatenate([hashes[:5000], hashes[5000 + 3000 * k : 8000 + 3000 * k]]) for k in range(3)]
+    rows = []
+    for segment in range(4):
+        own = [p[linededup._segment(p, 4) == segment] for p in parts]
+        group = pd.DataFrame({"segment": segment, "once": [h.tobytes() for h in own], "again": [h[:1].tobytes() for h in own], "n": [len(h) for h in own]})
+        rows += linededup.filter_segment(group).to_dict("records")
+    filters = linededup.Filters(4, rows)
+    assert filters.holds(hashes[:5000]).all()
+    # Hashes that stand once pass by chance only.
+    assert filters.holds(hashes[5000:14_000]).mean() < 0.02 and filters.holds(hashes[14_000:]).mean() < 0.02
 
 
 def test_mixing(docs, rows):
@@ -86,10 +92,9 @@ def test_mixing(docs, rows):
 def test_near_duplicates(docs, rows):
     rules = neardup.NearDuplicates(words=4)
     same(neardup.near_duplicates(docs, rules), neardup.SQL, rows)
-    # Rounds, blocks of two nodes, and everything at once agree.
-    for other in (neardup.NearDuplicates(words=4, meet_in_full=0, block=2), neardup.NearDuplicates(words=4, meet_in_full=0, rounds=3)):
-        if other.meet_in_full == 0:
-            same(neardup.near_duplicates(docs, other), neardup.SQL, rows)
+    # Blocks of two classes, and of few hashes, agree.
+    for other in (neardup.NearDuplicates(words=4, block=2), neardup.NearDuplicates(words=4, block_hashes=300)):
+        same(neardup.near_duplicates(docs, other), neardup.SQL, rows)
 
 
 def test_null_and_repeated_ids(spark):
@@ -178,7 +183,7 @@ def test_disclosing_terms(spark):
     # One passage, copied: its terms say nothing.
     rows += [(200 + i, "Again here stands plonk beside only@copy.example every time", None, None) for i in range(12)]
     found = {(r["entity"], r["term"]) for r in pii.disclosing_terms(frame(spark, rows)).collect()}
-    assert found == {("email:chief@corp.example", "zorbax")}
+    assert found == {("email:chief@corp.example", "zorbax"), ("email-group:corp.example", "zorbax")}
     assert pii.find_personal_data(frame(spark, rows)).where("terms > 0").count() == 12
 
 
@@ -194,7 +199,7 @@ def test_copies_take_no_term_away(spark):
         edited[i % 20] = word()
         rows.append((1000 + i, " ".join([*edited[:10], "only@copy.example", *edited[10:]])))
     found = {(r["entity"], r["term"]) for r in pii.disclosing_terms(frame(spark, [(i, t, None, None) for i, t in rows])).collect()}
-    assert found == {("email:chief@corp.example", "zorbax")}
+    assert found == {("email:chief@corp.example", "zorbax"), ("email-group:corp.example", "zorbax")}
 
 
 def test_search_is_exact(docs, rows):
@@ -221,6 +226,29 @@ def test_search_by_common_terms_only():
     assert best.tolist() == [4, 9, 14] and scores.max() == 5.5
 
 
+def test_search_skips_ranges_and_loses_nothing():
+    rng = np.random.default_rng(2)
+    share = 1 / np.arange(1, 301)
+    rows = []
+    for i in range(2000):
+        terms = np.unique(rng.choice(300, 40, p=share / share.sum()) + 300 * (i % 3))
+        rows.append((terms, np.rint(rng.gamma(1.0, np.log(2 + terms % 300)) / search.UNIT) * search.UNIT))
+    settings = search.Bm25(k=5)
+    shard = search.Shard(rows, 900, settings)
+    dense = np.zeros((2000, 900))
+    for i, (terms, impacts) in enumerate(rows):
+        dense[i, terms] = impacts
+    for q in range(0, 2000, 40):
+        query = rows[q][0]
+        exact = dense[:, query].sum(axis=1)
+        for floor in (0.0, np.partition(exact, -5)[-5]):
+            found, scores = shard.top(query, floor)
+            want = np.lexsort((np.arange(2000), -exact))[:5]
+            assert found[np.lexsort((found, -scores))[:5]].tolist() == want.tolist()
+            assert (exact[found] == scores).all()
+    assert shard.scored < 0.8 * shard.reached
+
+
 def test_preferences(spark):
     rows = [(0, 0, "user", "hi"), (0, 1, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (2, 0, "user", None), (3, 0, None, ""), (4, 0, "user", "alone"), (None, 0, "user", "x"), (6, 0, "user", "a"), (7, 0, "user", "a"), (7, 1, "user", "b")]
     made = {r["pair_id"]: r for r in chat.format_preferences(chat.preference_pairs(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).collect()}
