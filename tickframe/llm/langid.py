@@ -1,6 +1,6 @@
 """Operator 1, language identification by nearest centroid.
 
-Texts become normalised TF-IDF vectors of hashed byte n-grams (orders 1 to 3, lower case). Each language has several
+Texts become normalised TF-IDF vectors of hashed byte n-grams of their letters (orders 1 to 3, lower case). Each language has several
 centroids, found by spherical k-means, and a text belongs to the language of the centroid with the largest cosine. If
 even that is below the distance within which nearly all training texts of the centroid lie, the text is marked rejected.
 
@@ -56,8 +56,13 @@ def ngram_counts(text: bytes, dimension: int) -> np.ndarray:
     return total
 
 
+#: Only letters tell languages: other ASCII characters are blanks, and runs of them one.
+_LETTERS_ONLY = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
+
+
 def _lower(text: bytes) -> bytes:
-    return text.lower() if text.isascii() else text.decode().lower().encode()
+    lowered = text.lower() if text.isascii() else text.decode().lower().encode()
+    return b" ".join(lowered.translate(_LETTERS_ONLY).split())
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
