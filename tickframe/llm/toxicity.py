@@ -3,7 +3,7 @@
 Two byte n-gram models, one of toxic and one of ordinary labelled texts, are interpolated by absolute discounting. Their
 lowest order is shared: continuation counts over both classes, so that a rare expression backs off to the same
 probability in either model and only expressions that a class uses differently tell. A text's score compares the two
-log-likelihoods per character.
+log-likelihoods per character, and how the ratio lies to that of ordinary texts.
 
 The counts are gathered over every labelled training row and grow with it; all model tables are joins and groupings of
 n-gram rows. Scoring tasks get every n-gram seen, with its whole key, in hash tables that grow with the n-grams counted (32 to
@@ -190,31 +190,45 @@ def log_ratio(text: bytes | None, tables: dict[int, Table], settings: KneserNey)
     return float(total.sum() / n)
 
 
-def _evidence(x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The log ratio per character, and how sure it is: a mean over n characters varies with one over the root of n.
+def _evidence(x: np.ndarray, size: np.ndarray, centre: float) -> np.ndarray:
+    """How far the log ratio per character lies above that of ordinary texts (`centre`), and how sure that is: a mean over n
+    characters varies with one over the root of n.
 
-    Both are 0 where the ratio is, so length alone tells nothing.
+    Both are 0 at the centre, so length alone tells nothing; a text without two characters tells nothing either.
     """
-    return np.column_stack([x, x * np.sqrt(np.clip(size, 1, 40_000)), np.ones(len(x))])
+    above = np.where(size < 2, 0.0, x - centre)
+    return np.column_stack([above, above * np.sqrt(np.clip(size, 1, 40_000)), np.ones(len(x))])
 
 
-def _scores(shared, settings: KneserNey, weights: np.ndarray, keep: list[str]):
+@dataclass(frozen=True)
+class Curve:
+    """Logistic weights of the evidence."""
+
+    weights: tuple[float, ...] = (0.0, 0.0, 0.0)
+    centre: float = 0.0
+
+    def score(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_evidence(x, size, self.centre) @ np.array(self.weights), -500, 500)))
+
+
+def _scores(shared, settings: KneserNey, curve: Curve, keep: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for batch in slices(batches):
             data = texts(batch)
             x, size = np.array([log_ratio(t, tables, settings) for t in data]), np.array([len(t or b"") for t in data])
-            score = 1 / (1 + np.exp(-np.clip(_evidence(x, size) @ weights, -500, 500)))
+            score = curve.score(x, size)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(x), pa.array(size, pa.int64()), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "log_ratio", "size", "score", "predicted"])
 
     return run
 
 
-def calibrate(x: np.ndarray, size: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights of the evidence, by Newton steps with a small ridge; without both classes a constant."""
+def calibrate(x: np.ndarray, size: np.ndarray, y: np.ndarray) -> Curve:
+    """The curve by Newton steps with a small ridge, centred at the median ordinary text; without both classes a constant."""
     if len(x) == 0 or y.min() == y.max():
-        return np.array([0.0, 0.0, 1.0 if len(x) and y.max() > 0 else -1.0])
-    rows = _evidence(x, size)
+        return Curve((0.0, 0.0, 1.0 if len(x) and y.max() > 0 else -1.0))
+    centre = float(np.median(x[y == 0]))
+    rows = _evidence(x, size, centre)
     scale = np.append(np.maximum(rows[:, :-1].std(axis=0), 1e-9), 1.0)
     rows, beta = rows / scale, np.zeros(3)
     for _ in range(50):
@@ -223,7 +237,7 @@ def calibrate(x: np.ndarray, size: np.ndarray, y: np.ndarray) -> np.ndarray:
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return beta / scale
+    return Curve(tuple((beta / scale).tolist()), centre)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, settings: KneserNey = KneserNey()) -> DataFrame:
@@ -248,9 +262,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: KneserNey = Kne
     shared = spark.sparkContext.broadcast(tables)
     share = min(1.0, settings.calibration / max(known.where(fold == 4).count(), 1))
     judged = known.where((fold == 4) & (F.pmod(F.xxhash64(F.lit("cal"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    probe = own.where(fold == 4).join(judged, "doc_id").select("toxic", "text").mapInArrow(_scores(shared, settings, np.zeros(3), ["toxic"]), "toxic int, log_ratio double, size long, score double, predicted int")
+    probe = own.where(fold == 4).join(judged, "doc_id").select("toxic", "text").mapInArrow(_scores(shared, settings, Curve(), ["toxic"]), "toxic int, log_ratio double, size long, score double, predicted int")
     seen = probe.select("toxic", "log_ratio", "size").toPandas()
-    weights = calibrate(seen["log_ratio"].to_numpy(float), seen["size"].to_numpy(float), seen["toxic"].to_numpy(float))
+    curve = calibrate(seen["log_ratio"].to_numpy(float), seen["size"].to_numpy(float), seen["toxic"].to_numpy(float))
     marked = own.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "text")
-    scored = marked.mapInArrow(_scores(shared, settings, weights, ["doc_id", "held_out"]), "doc_id long, held_out boolean, log_ratio double, size long, score double, predicted int")
+    scored = marked.mapInArrow(_scores(shared, settings, curve, ["doc_id", "held_out"]), "doc_id long, held_out boolean, log_ratio double, size long, score double, predicted int")
     return scored.select("doc_id", "held_out", "score", "predicted", "log_ratio")
