@@ -1,9 +1,9 @@
 """Operator 3, mixing sources to target weights.
 
 Documents get hash-random keys. Within a source they are taken in key order: whole epochs first, then a prefix up to the
-rest of the source's budget. The prefix sum is distributed: keys fall into `BUCKETS` ranges, the ranges' sums are added
-up per source (at most `BUCKETS` rows a source), and a running sum inside each range gives every document its place, so
-a source with a third of all rows is spread over all tasks.
+rest of the source's budget. The prefix sum is distributed over three levels: 256 coarse ranges of keys a source, 256 fine
+ones in each of them, and a running sum inside each fine range gives every document its place. So a source with a third of
+all rows is spread over all tasks, and no task adds up more than 256 sums of one source.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from tickframe.llm.common import WORD_PATTERN, cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-#: Ranges of keys in a source: four hexadecimal digits.
-BUCKETS = 16**4
+#: Hexadecimal digits of a key that name its coarse and its fine range.
+COARSE, FINE = 2, 4
 #: Cuts of up to so many sources (about 100 bytes each) go to the texts; more of them are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -60,12 +60,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs:
     take 0. Null is a source of its own. Equal rows are interchangeable. An empty table gives an empty result.
     """
     sized = docs.select("doc_id", "source", word_count("text").alias("size"), random_key("doc_id", "text").alias("key"))
-    sized = sized.withColumn("bucket", F.conv(F.substring("key", 1, 4), 16, 10).cast("int"))
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, max_epochs).withColumnRenamed("source", "of")
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).join(targets, F.col("source").eqNullSafe(F.col("of")))
-    starts = starts.select(F.col("source").alias("of"), F.col("bucket").alias("in_bucket"), "offset", "source_size", "target")
+    sized = sized.withColumn("bucket", F.substring("key", 1, FINE))
+    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")).withColumn("coarse", F.substring("bucket", 1, COARSE))
+    coarse = sums.groupBy("source", "coarse").agg(F.sum("bucket_size").alias("coarse_size"))
+    targets = source_targets(coarse.groupBy("source").agg(F.sum("coarse_size").alias("source_size")), weights, max_epochs).withColumnRenamed("source", "of")
+    earlier = lambda part, order: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = coarse.withColumn("coarse_offset", F.coalesce(F.sum("coarse_size").over(earlier(["source"], "coarse")), F.lit(0))).join(targets, F.col("source").eqNullSafe(F.col("of")))
+    ahead = ahead.select(F.col("source").alias("of"), F.col("coarse").alias("of_coarse"), "coarse_offset", "source_size", "target")
+    starts = sums.withColumn("fine_offset", F.coalesce(F.sum("bucket_size").over(earlier(["source", "coarse"], "bucket")), F.lit(0))).join(ahead, (F.col("coarse") == F.col("of_coarse")) & F.col("source").eqNullSafe(F.col("of")))
+    starts = starts.select(F.col("source").alias("of"), F.col("bucket").alias("in_bucket"), (F.col("coarse_offset") + F.col("fine_offset")).alias("offset"), "source_size", "target")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, (F.col("bucket") == F.col("in_bucket")) & F.col("source").eqNullSafe(F.col("of")))
     budget = F.round(F.col("target")).cast("long")
