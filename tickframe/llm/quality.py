@@ -308,7 +308,11 @@ def assess_quality(docs: DataFrame, rules: QualityRules = QualityRules(), refere
 
 
 def keep_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """The rows of `docs`, all columns, that the rules keep; each row is judged where it lies, so nothing is shuffled."""
+    """The rows of `docs`, all columns, that the rules keep; each row is judged where it lies, so nothing is shuffled.
+
+    Null and empty texts go, as they have too few words. Repeated rows are judged alike. An empty table stays empty, and
+    other columns may have any names.
+    """
     small_batches(docs.sparkSession)
     judge = _assess(language_references(docs, rules), rules)
     names = docs.columns
