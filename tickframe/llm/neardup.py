@@ -44,6 +44,8 @@ class NearDuplicates:
     meeting: int = 10
     block: int = 512
     block_hashes: int = 1 << 17
+    #: Up to so many nodes (8 bytes each) are sent to the texts, so that only theirs are moved; more, and all texts are shuffled.
+    broadcast_nodes: int = 2_000_000
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -113,9 +115,11 @@ def _estimated(pairs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> D
 
 
 def _candidate_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """(node, shingles): the full sets of the classes in `nodes`; only their texts are read for it."""
-    wanted = nodes.select("node").distinct().join(classes.select("node", F.col("signature").alias("of_signature")), "node")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """(node, shingles): the full sets of the classes in `nodes`; only their texts are hashed for it."""
+    ids = cut_lineage(nodes.select(F.col("node").alias("doc_id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= rules.broadcast_nodes else ids
+    wanted = ids.select(F.col("doc_id").alias("node")).join(classes.select("node", F.col("signature").alias("of_signature")), "node")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
     full = own.mapInArrow(_full_sets(rules), "doc_id long, signature binary, shingles array<long>")
     return cut_lineage(full.join(wanted, (F.col("doc_id") == F.col("node")) & (F.col("signature") == F.col("of_signature"))).select("node", "shingles").dropDuplicates(["node"]))
 
