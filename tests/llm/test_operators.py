@@ -93,7 +93,7 @@ def test_near_duplicates(docs, rows):
     rules = neardup.NearDuplicates(words=4)
     same(neardup.near_duplicates(docs, rules), neardup.SQL, rows)
     # Blocks of two classes, and of few hashes, agree.
-    for other in (neardup.NearDuplicates(words=4, block=2), neardup.NearDuplicates(words=4, block_hashes=300)):
+    for other in (neardup.NearDuplicates(words=4, block=2, broadcast_nodes=-1), neardup.NearDuplicates(words=4, block_hashes=300)):
         same(neardup.near_duplicates(docs, other), neardup.SQL, rows)
 
 
