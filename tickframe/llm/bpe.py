@@ -31,7 +31,7 @@ NO_RANK = 1 << 60
 #: Parts of a word up to which one scan covers it; longer words have blocks of so many.
 BLOCK = 128
 #: Bytes (estimated) of the words that a worker keeps in each of two generations; a quarter of it for other pieces.
-CACHE = 32 << 20
+CACHE = 48 << 20
 #: Longer words are not kept.
 CACHED_LENGTH = 64
 
