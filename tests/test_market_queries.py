@@ -47,7 +47,7 @@ def test_recent_window_is_half_open(spark):
 def test_sweep_averages_levels(spark):
     from tickframe.operators.labels import sweep_depth
 
-    books = spark.sql("SELECT array(struct(102D AS px, 2D AS sz), struct(101D AS px, 1.5D AS sz)) AS asks, 100.5D AS mid")
+    books = spark.sql("SELECT array(struct(102D AS px, 2D AS sz), struct(101D AS px, 1.5D AS sz)) AS asks, 100D AS best_bid, 101D AS best_ask")
     row = sweep_depth(books, 2.0).first()
     assert row["average_px"] == pytest.approx(101.25)
     assert sweep_depth(books, 9.0).first()["average_px"] is None
