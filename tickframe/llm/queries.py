@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickframe.llm import bpe, chat, langid, linededup, mixing, neardup, pii, quality, search, toxicity
+from tickframe.llm import bpe, chat, divergence, langid, linededup, mixing, neardup, pii, quality, search, toxicity
 from tickframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,8 +69,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_mix_sources, op4_bpe, op5_line_dedup, op6_personal_data, op7_bm25_search, op8_preferences, op9_near_dedup, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_mix_sources, op4_bpe, op5_line_dedup, op6_personal_data, op7_bm25_search, op8_preferences, op9_near_dedup, op10_toxicity, op13_source_divergence, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.SQL, "op5_line_dedup": linededup.SQL, "op8_preferences": chat.SQL, "op9_near_dedup": neardup.SQL}
+    return {"op3_mix_sources": mixing.SQL, "op5_line_dedup": linededup.SQL, "op8_preferences": chat.SQL, "op9_near_dedup": neardup.SQL, "op13_source_divergence": divergence.SQL}
