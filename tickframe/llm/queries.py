@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickframe.llm import bpe, chat, contexttree, divergence, langid, linededup, mixing, neardup, pii, quality, search, toxicity
+from tickframe.llm import bpe, chat, contexttree, divergence, langid, linededup, mixing, neardup, pii, quality, repair, search, toxicity
 from tickframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op12_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexttree.score_texts(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_mix_sources, op4_bpe, op5_line_dedup, op6_personal_data, op7_bm25_search, op8_preferences, op9_near_dedup, op10_toxicity, op12_context_trees, op13_source_divergence, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_mix_sources, op4_bpe, op5_line_dedup, op6_personal_data, op7_bm25_search, op8_preferences, op9_near_dedup, op10_toxicity, op11_conversation_repair, op12_context_trees, op13_source_divergence, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
