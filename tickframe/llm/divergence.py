@@ -1,33 +1,29 @@
 """Operator 13, source divergence audit: how far the sources of a language lie apart in their words, and by which words.
 
-Steps: CountVectorizer with a least document frequency and the largest integer as vocabulary size makes sparse count vectors of
-whole documents; their sums by language and source are the groups; pairs of groups are compared sparsely. A term carries its
-language in front, so one fit gives every language its own vocabulary, however many languages there are.
-
-A fitted vocabulary passes through the driver. It stays bounded: terms are dealt by hash into as many parts as keep each
-below `terms_per_vocabulary` distinct terms (counted or not), and each part is fitted for itself. Parts never share a term, so their
-sums just stand beside each other. All arithmetic is on integers.
+The steps are those of a count vectoriser with a least document frequency and no limit to its vocabulary (2^31 - 1 terms), fitted by
+language: whole documents become sparse count vectors, their sums by language and source are the groups, and pairs of groups are
+compared sparsely. Spark's own CountVectorizer hands its vocabulary to the driver and every executor, and counts each document's
+terms twice (README has its figures); here a task sums the vectors of its documents, and one shuffle by language and term
+brings counts and document frequencies together, so that the vocabulary stays a table. All arithmetic is on integers.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import shared_folder
+from tickframe.llm.common import shared_folder, slices, small_batches, texts
 
-#: Letters A to Z and a to z, and everything beyond ASCII.
-TERM_PATTERN = "[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_MARK = "\x00"
+#: By byte of UTF-8: A to Z in lower case, a to z and everything beyond ASCII as they are, all else a blank.
+_LETTERS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else b if b >= 128 else 32 for b in range(256))
 _PAIRS = "lang string, a int, b int, value long"
 
 
@@ -37,8 +33,8 @@ class Divergence:
     prior: int = 5
     scale: int = 1_000_000_000
     top_terms: int = 50
-    #: Distinct terms of one fit at most, before the document frequency is applied (some 60 bytes each in the driver).
-    terms_per_vocabulary: int = 2_000_000
+    #: Counts that a task holds before it hands them on.
+    most_cells: int = 1_000_000
     #: Groups (language, source) that are broadcast at most, about 100 bytes each; more of them are joined by a shuffle.
     broadcast_groups: int = 200_000
     #: Counts of terms that one task compares at once, on average.
@@ -46,28 +42,42 @@ class Divergence:
     least_blocks: int = 16
 
 
-def document_terms(docs: DataFrame) -> DataFrame:
-    """lang, source (null as '') and `terms` of each document, each term behind its language."""
-    read = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("_text"))
-    return read.select("lang", "source", F.transform(F.regexp_extract_all("_text", F.lit(TERM_PATTERN), F.lit(0)), lambda t: F.concat("lang", F.lit(_MARK), t)).alias("terms"))
+def _vectors(c: Divergence):
+    """Rows of (lang, source, term, n, docs): the summed count vectors of a task's documents, handed on when they grow large. A
+    group's empty term has no counts; it tells that the group is there."""
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], Counter[bytes]] = defaultdict(Counter)
+        docs: dict[tuple[str, str], Counter[bytes]] = defaultdict(Counter)
+        for batch in slices(batches):
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts(batch), strict=True):
+                vector = text.translate(_LETTERS).split()
+                counts[lang, source].update(vector)
+                docs[lang, source].update(set(vector))
+            if sum(map(len, counts.values())) > c.most_cells:
+                yield from _rows(counts, docs)
+                counts.clear()
+                docs.clear()
+        yield from _rows(counts, docs)
+
+    return add
+
+
+def _rows(counts: dict[tuple[str, str], Counter[bytes]], docs: dict[tuple[str, str], Counter[bytes]]) -> Iterator[pa.RecordBatch]:
+    for (lang, source), own in counts.items():
+        terms, groups = [b"", *own], docs[lang, source]
+        names = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+        yield pa.RecordBatch.from_arrays([*names, pa.array(terms, pa.binary()).cast(pa.string()), pa.array([0, *own.values()], pa.int64()), pa.array([0, *(groups[t] for t in own)], pa.int64())], ["lang", "source", "item", "n", "docs"])
 
 
-def _counted(rows: DataFrame, folder: str, c: Divergence) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, part, place, n) of every kept term of every group, and (part, place, term) of the vocabularies."""
-    distinct = rows.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).first()[0]
-    parts = max(1, -(-distinct * 11 // (10 * c.terms_per_vocabulary)))
-    sums, words = [], []
-    for part in range(parts):
-        own = rows if parts == 1 else rows.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(parts)) == part))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(c.min_docs), vocabSize=2**31 - 1).fit(own)
-        path = f"{folder}/{part}"
-        model.write().save(f"{path}/model")
-        words.append(rows.sparkSession.read.parquet(f"{path}/model/data").select(F.lit(part).alias("part"), F.posexplode("vocabulary").alias("place", "tagged")))
-        cells = model.transform(own).select("lang", "source", F.unwrap_udt("vector").alias("v")).select("lang", "source", F.explode(F.arrays_zip(F.col("v.indices").alias("place"), F.col("v.values").alias("n"))).alias("x"))
-        cells.groupBy("lang", "source", F.col("x.place").alias("place")).agg(F.sum(F.col("x.n").cast("long")).alias("n")).withColumn("part", F.lit(part)).write.parquet(f"{path}/sums")
-        sums.append(rows.sparkSession.read.parquet(f"{path}/sums"))
-    vocabulary = reduce(DataFrame.unionByName, words).select("part", "place", F.substring_index("tagged", _MARK, -1).alias("item"))
-    return reduce(DataFrame.unionByName, sums), vocabulary
+def group_counts(docs: DataFrame, c: Divergence) -> DataFrame:
+    """lang, source, item, n of every kept term of every group, and for each group a row with the item ''."""
+    small_batches(docs.sparkSession)
+    read = docs.select(*[F.coalesce(F.col(x), F.lit("")).alias(x) for x in ("lang", "source", "text")])
+    dealt = read.mapInArrow(_vectors(c), "lang string, source string, item string, n long, docs long").repartition("lang", "item")
+    sums = dealt.groupBy("lang", "source", "item").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    spread = sums.withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "item")))
+    return spread.where((F.col("docs") >= c.min_docs) | (F.col("item") == "")).drop("docs")
 
 
 def source_divergence(docs: DataFrame, c: Divergence = Divergence()) -> DataFrame:
@@ -79,26 +89,26 @@ def source_divergence(docs: DataFrame, c: Divergence = Divergence()) -> DataFram
     """
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/divergence-{uuid.uuid4().hex}"
-    rows = document_terms(docs)
-    sums, vocabulary = _counted(rows, folder, c)
+    group_counts(docs, c).write.option("compression", "zstd").parquet(f"{folder}/counts")
+    counts = spark.read.parquet(f"{folder}/counts")
+    sums = counts.where("item <> ''")
     levels = lambda n, total: F.expr(f"CASE WHEN terms = 0 THEN 0L ELSE 1L + (CAST({c.scale} AS DECIMAL(19, 0)) * ({n} + {c.prior})) div CAST({total} + {c.prior} * terms AS DECIMAL(19, 0)) END")
-    per_term = sums.groupBy("lang", "part", "place").agg(F.sum("n").alias("lang_n"))
+    per_term = sums.groupBy("lang", "item").agg(F.sum("n").alias("lang_n"))
     langs = per_term.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
     totals = sums.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("cells"))
-    groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = counts.where("item = ''").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.fillna(0, ["total", "cells", "terms", "lang_total"]).withColumn("base", levels("0", "total"))
     groups = groups.withColumns({"number": F.row_number().over(Window.partitionBy("lang").orderBy("source")), "blocks": c.least_blocks + F.floor(F.sum("cells").over(Window.partitionBy("lang")) / c.block_rows)})
     groups.write.parquet(f"{folder}/groups")
     groups = spark.read.parquet(f"{folder}/groups")
     offered = F.broadcast(groups) if groups.count() <= c.broadcast_groups else groups
     cells = sums.join(offered, ["lang", "source"]).withColumn("level", levels("n", "total"))
-    return _pairs(cells, groups).unionByName(_terms(cells, per_term, vocabulary, levels, c))
+    return _pairs(cells, groups).unionByName(_terms(cells, per_term, levels, c))
 
 
-def _terms(cells: DataFrame, per_term: DataFrame, vocabulary: DataFrame, levels, c: Divergence) -> DataFrame:
+def _terms(cells: DataFrame, per_term: DataFrame, levels, c: Divergence) -> DataFrame:
     """The terms of a group above their language's level, the first `top_terms` of them; ranks are limited before the shuffle."""
-    named = per_term.drop("lang").join(vocabulary, ["part", "place"])
-    found = cells.join(named, ["part", "place"]).withColumn("value", F.col("level") - levels("lang_n", "lang_total")).where("value > 0")
+    found = cells.join(per_term, ["lang", "item"]).withColumn("value", F.col("level") - levels("lang_n", "lang_total")).where("value > 0")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     return found.select("lang", "source", "item", "value").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= c.top_terms).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
 
@@ -109,8 +119,8 @@ def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
     Most terms are absent from most sources. A pair starts with the difference of its base levels times the number of terms;
     blocks of terms add what the terms that a source has change, and what those that both have change once more.
     """
-    cut = F.pmod(F.xxhash64("part", "place"), F.col("blocks")).cast("int")
-    own = cells.select("lang", cut.alias("block"), F.col("number").alias("source"), F.xxhash64("part", "place").alias("term"), "level", F.lit(None).cast("long").alias("base"), F.lit(None).cast("long").alias("terms"))
+    cut = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
+    own = cells.select("lang", cut.alias("block"), F.col("number").alias("source"), F.xxhash64("item").alias("term"), "level", F.lit(None).cast("long").alias("base"), F.lit(None).cast("long").alias("terms"))
     heads = groups.select("lang", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), F.col("number").alias("source"), F.lit(None).cast("long").alias("term"), F.lit(None).cast("long").alias("level"), "base", "terms")
     parts = own.unionByName(heads).groupBy("lang", "block").applyInArrow(_compare, _PAIRS)
     found = parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
