@@ -99,7 +99,9 @@ def level_quantities(messages: DataFrame) -> DataFrame:
 
 
 def live_orders(messages: DataFrame) -> DataFrame:
-    """Orders in the book after each message."""
-    change = F.when(F.col("action") == "A", 1).when(F.col("action") == "D", -1).otherwise(0)
+    """Orders in the book after each message: an A adds one, a Y where its order is not in the book, a D takes one away."""
+    life = Window.partitionBy("symbol", "day", "epoch", "order_id").orderBy("event_index")
+    known = F.coalesce(F.lag("action").over(life) != "D", F.lit(False))
+    change = F.when((F.col("action") == "A") | ((F.col("action") == "Y") & ~known), 1).when(F.col("action") == "D", -1).otherwise(0)
     w = Window.partitionBy("symbol", "day", "epoch").orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0)
-    return messages.select("symbol", "day", "epoch", "event_index", F.sum(change).over(w).alias("live_orders"))
+    return messages.withColumn("_change", change).select("symbol", "day", "epoch", "event_index", F.sum("_change").over(w).alias("live_orders"))

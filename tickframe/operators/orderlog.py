@@ -1,8 +1,8 @@
-"""Books and queues from full order logs, by version chains and level intervals; no state is folded row by row.
+"""Books and queues from full order logs: what needs the whole book by one streamed pass (`replay`), orders' lives by windows.
 
 A log has symbol, day, event_index (every message of the day, from 0), us, order_id, action (F empties the book, A adds, Y adds
 or replaces, M changes, D deletes), side (1 bid, 2 or 5 ask), price, volume and priority; -1 keeps the former value. An order
-with a price of 0 or below is unpriced.
+with a price of 0 or below is unpriced. With an order_date, an order is one of its date and id.
 """
 
 from __future__ import annotations
@@ -12,9 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickframe.operators.replay import in_session, replay_feed, replay_orders
+
 DAY = ("symbol", "day")
 
 
+def order_key(log: DataFrame) -> tuple[str, ...]:
+    return ("order_date", "order_id") if "order_date" in log.columns else ("order_id",)
+
+
 def _so_far(*keys: str):
     return Window.partitionBy(*keys).orderBy("event_index").rowsBetween(Window.unboundedPreceding, 0)
 
@@ -31,7 +37,7 @@ def versions(log: DataFrame) -> DataFrame:
     An order's life ends with its deletion; a deletion has no new version. `known` tells if the order was in the book.
     """
     rows = (log if "epoch" in log.columns else with_epochs(log)).where("action <> 'F'").withColumn("side", F.when(F.col("side") == 5, 2).otherwise(F.col("side")))
-    order = ("symbol", "day", "epoch", "order_id")
+    order = ("symbol", "day", "epoch", *order_key(log))
     earlier = Window.partitionBy(*order).orderBy("event_index").rowsBetween(Window.unboundedPreceding, -1)
     lives = rows.withColumn("life", F.count_if(F.col("action") == "D").over(earlier))
     life = Window.partitionBy(*order, "life").orderBy("event_index")
@@ -65,55 +71,21 @@ def level_states(v: DataFrame) -> DataFrame:
 
 def books(log: DataFrame, levels: int = 10) -> DataFrame:
     """One row per message: bids and asks (best first, `levels` at most, structs of px, sz, orders), unpriced orders, epoch
-    and barriers.
-
-    A level's state holds from its change to the next one, so it is dealt to the messages in between by their index: rows
-    are messages times live levels, and an equi-join brings them to the message.
-    """
-    rows = with_epochs(log)
-    v = versions(rows)
-    last = rows.groupBy(*DAY, "epoch").agg((F.max("event_index") + 1).alias("end"))
-    live = level_states(v).where("quantity <> 0").join(last, [*DAY, "epoch"]).withColumn("at", F.explode(F.sequence("event_index", F.coalesce("until", "end") - 1)))
-    entry = lambda sign: F.struct((F.col("price") * sign).alias("key"), F.col("price").alias("px"), F.col("quantity").alias("sz"), F.col("orders").alias("orders"))
-    best = lambda x: F.transform(F.slice(F.array_sort(x), 1, levels), lambda e: F.struct(e["px"].alias("px"), e["sz"].alias("sz"), e["orders"].alias("orders")))
-    tops = live.groupBy(*DAY, F.col("at").alias("event_index")).agg(best(F.collect_list(F.when(F.col("side") == 1, entry(-1)))).alias("bids"), best(F.collect_list(F.when(F.col("side") == 2, entry(1)))).alias("asks"))
-    without = lambda side: F.when(F.col(f"{side}_side").isNotNull() & (F.coalesce(F.col(f"{side}_price"), F.lit(0)) <= 0), 1).otherwise(0)
-    changes = v.select(*DAY, "event_index", (without("new") - F.when(F.col("known"), without("old")).otherwise(0)).alias("unpriced_change"))
-    joined = rows.select(*DAY, "event_index", "us", "action", "epoch", "barriers").join(tops, [*DAY, "event_index"], "left").join(changes, [*DAY, "event_index"], "left")
-    none = F.array().cast("array<struct<px:bigint,sz:bigint,orders:bigint>>")
-    return joined.withColumns({"bids": F.coalesce("bids", none), "asks": F.coalesce("asks", none), "unpriced": F.coalesce(F.sum("unpriced_change").over(_so_far(*DAY, "epoch")), F.lit(0))}).drop("unpriced_change")
+    and barriers."""
+    return replay_orders(log, levels).select(*DAY, "event_index", "us", "action", "epoch", "barriers", "bids", "asks", "unpriced")
 
 
 def snapshots(log: DataFrame, levels: int = 10, zone: str | None = None, opens: str = "10:00", closes: str = "16:00") -> DataFrame:
-    """Valid books of a day by segments: no unpriced order, `levels` levels a side, not locked or crossed, and (with a zone)
-    inside the session's local hours.
-
-    A segment is a run of valid messages in a row. `tick` is the smallest gap of neighbouring levels seen so far that day.
-    """
-    b = books(log, levels)
-    good = (F.col("unpriced") == 0) & (F.size("bids") >= levels) & (F.size("asks") >= levels) & (F.get("bids", F.lit(0))["px"] < F.get("asks", F.lit(0))["px"])
-    if zone is not None:
-        clock = F.date_format(F.from_utc_timestamp(F.timestamp_micros("us"), zone), "HH:mm")
-        good = good & (clock >= opens) & (clock < closes)
-    kept = b.where(good)
-    day = Window.partitionBy(*DAY).orderBy("event_index")
-    starts = F.when(F.col("event_index") == F.lag("event_index").over(day) + 1, 0).otherwise(1)
-    steps = lambda side: F.transform(F.sequence(F.lit(1), F.size(side) - 1), lambda i: F.abs(F.get(side, i)["px"] - F.get(side, i - 1)["px"]))
-    gap = F.array_min(F.concat(steps("bids"), steps("asks"))) if levels > 1 else F.lit(None).cast("long")
-    flagged = kept.withColumns({"_starts": starts, "_gap": gap})
-    w = day.rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.withColumns({"segment": F.sum("_starts").over(w), "tick": F.min("_gap").over(w)}).drop("_starts", "_gap", "unpriced", "epoch", "action")
+    """Valid books of a day by segments, with the smallest gap of neighbouring levels so far (`tick`)."""
+    return replay_orders(log, levels, zone, opens, closes).where("valid").select(*DAY, "event_index", "us", "barriers", "bids", "asks", "segment", "tick")
 
 
 def day_audit(log: DataFrame, levels: int, zone: str, opens: str = "10:00", closes: str = "16:00") -> DataFrame:
-    """Per day: messages of each kind, those outside the session, invalid books, snapshots and segments."""
-    b = books(log, levels)
-    clock = F.date_format(F.from_utc_timestamp(F.timestamp_micros("us"), zone), "HH:mm")
-    good = snapshots(log, levels, zone, opens, closes).groupBy(*DAY).agg(F.count("*").alias("snapshot_rows"), F.max("segment").alias("segments"))
+    """Per day: messages of each kind, those outside the session, invalid books, snapshots and segments; one pass."""
+    rows = replay_orders(log, levels, zone, opens, closes)
     kinds = [F.count_if(F.col("action") == a).alias(f"n_{a.lower()}") for a in "FAYMD"]
-    counts = b.groupBy(*DAY).agg(F.count("*").alias("source_rows"), *kinds, F.count_if((clock < opens) | (clock >= closes)).alias("outside_window"))
-    joined = counts.join(good, list(DAY), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("snapshot_rows", "segments")})
-    return joined.withColumn("invalid_book", F.col("source_rows") - F.col("outside_window") - F.col("snapshot_rows"))
+    counts = rows.groupBy(*DAY).agg(F.count("*").alias("source_rows"), *kinds, F.count_if(~in_session(zone, opens, closes)).alias("outside_window"), F.count_if("valid").alias("snapshot_rows"), F.max("segment").alias("segments"))
+    return counts.withColumn("invalid_book", F.col("source_rows") - F.col("outside_window") - F.col("snapshot_rows"))
 
 
 def queue_orders(log: DataFrame, reset: bool = False) -> DataFrame:
@@ -123,7 +95,7 @@ def queue_orders(log: DataFrame, reset: bool = False) -> DataFrame:
     without a report under `reset`. A report that differs from the former priority joins anew, too.
     """
     v = versions(log)
-    life = Window.partitionBy("symbol", "day", "epoch", "order_id", "life").orderBy("event_index")
+    life = Window.partitionBy("symbol", "day", "epoch", *order_key(log), "life").orderBy("event_index")
     so_far = life.rowsBetween(Window.unboundedPreceding, 0)
     moved = ~F.col("known") | ~F.col("new_side").eqNullSafe(F.col("old_side")) | ~F.col("new_price").eqNullSafe(F.col("old_price"))
     again = moved | ((F.col("action") == "M") & F.lit(reset))
@@ -135,29 +107,19 @@ def queue_orders(log: DataFrame, reset: bool = False) -> DataFrame:
     return entered.withColumn("old_entered", F.lag("new_entered").over(life))
 
 
-def event_rows(log: DataFrame, reset: bool = False) -> DataFrame:
-    """One row per message: best quotes with sizes and order counts, validity, segment and barriers, the order's version before
-    and after, and the quantity that the message executes (a deletion all of it, a change at one price what it removes)."""
-    tops = books(log, 1)
-    first = lambda side: F.get(side, F.lit(0))
-    quotes = tops.select(*DAY, "event_index", "us", "barriers", "unpriced", *[first(f"{s}s")[c].alias(f"{s}_{n}") for s in ("bid", "ask") for c, n in (("px", "px"), ("sz", "size"), ("orders", "orders"))])
-    good = (F.col("unpriced") == 0) & (F.col("bid_px") < F.col("ask_px"))
-    quotes = quotes.withColumn("valid", F.coalesce(good, F.lit(False)))
-    day = Window.partitionBy(*DAY).orderBy("event_index")
-    starts = F.when(F.col("valid") & ~F.coalesce(F.lag("valid").over(day), F.lit(False)), 1).otherwise(0)
-    quotes = quotes.withColumn("_starts", starts).withColumn("segment", F.sum("_starts").over(day.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts", "unpriced")
-    q = queue_orders(log, reset)
-    same = F.col("new_side").eqNullSafe(F.col("old_side")) & F.col("new_price").eqNullSafe(F.col("old_price"))
-    executed = F.when(~F.col("known"), 0).when(F.col("action") == "D", F.col("old_volume")).when(same, F.greatest(F.lit(0), F.col("old_volume") - F.col("new_volume"))).otherwise(0)
-    ends = q.withColumn("_d", F.col("action") == "D").select(*DAY, "event_index", *[F.when(~F.col("_d"), F.col(f"new_{c}")).alias(f"new_{c}") for c in ("side", "price", "volume", "entered")], *[f"old_{c}" for c in ("side", "price", "volume", "entered")], executed.alias("execution"))
-    return quotes.join(ends, [*DAY, "event_index"], "left").withColumn("execution", F.coalesce("execution", F.lit(0)))
+def event_rows(log: DataFrame, levels: int = 10, zone: str | None = None, opens: str = "10:00", closes: str = "16:00") -> DataFrame:
+    """One row per message: best quotes with sizes and order counts, validity, segment, barriers and tick, live orders, the
+    order's version before and after, and the quantity that the message executes (a Y executes nothing)."""
+    rows = replay_orders(log, levels, zone, opens, closes)
+    best = [F.get(f"{s}s", F.lit(0))[c].alias(f"{s}_{n}") for s in ("bid", "ask") for c, n in (("px", "px"), ("sz", "size"), ("orders", "orders"))]
+    return rows.select(*DAY, "event_index", "us", "barriers", *best, "valid", "segment", "tick", "live_orders", *[f"{v}_{c}" for v in ("new", "old") for c in ("side", "price", "volume", "priority", "priority_reset", "entered", "entered_reset")], "execution")
 
 
 def queue_parity(log: DataFrame) -> DataFrame:
     """Levels at the end of each day whose queues do not add up to their depth (none, if both replays are right)."""
     v = queue_orders(log)
     last = v.groupBy(*DAY).agg(F.max("epoch").alias("epoch"))
-    newest = Window.partitionBy(*DAY, "epoch", "order_id").orderBy(F.desc("event_index"))
+    newest = Window.partitionBy(*DAY, "epoch", *order_key(log)).orderBy(F.desc("event_index"))
     alive = v.join(last, [*DAY, "epoch"]).withColumn("_n", F.row_number().over(newest)).where("_n = 1 AND action <> 'D' AND new_price > 0")
     queued = alive.groupBy(*DAY, F.col("new_side").alias("side"), F.col("new_price").alias("price")).agg(F.sum("new_volume").alias("queued"))
     depth = level_states(v).join(last, [*DAY, "epoch"]).where("until IS NULL AND quantity <> 0").select(*DAY, "side", "price", "quantity")
@@ -171,24 +133,7 @@ def feed_books(levels: DataFrame, key: str = "product_id", strict: bool = True)
     A snapshot starts the book anew; a message counts as a whole, so of several changes of a level the last one holds. An
     update before the first snapshot is an error, or with strict=False is left out.
     """
-    messages = levels.groupBy(key, "receive_index").agg(F.max(F.col("type") == "snapshot").alias("resets"), F.countDistinct("type").alias("kinds"))
-    order = Window.partitionBy(key).orderBy("receive_index")
-    placed = messages.withColumns({"epoch": F.count_if("resets").over(order.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(order)})
-    placed = placed.withColumn("epoch", F.when(F.col("kinds") > 1, F.raise_error(F.lit("a message of mixed types")).cast("long")).otherwise(F.col("epoch")))
-    if strict:
-        placed = placed.withColumn("epoch", F.when(F.col("epoch") == 0, F.raise_error(F.lit("update before snapshot")).cast("long")).otherwise(F.col("epoch")))
-    placed = placed.where("epoch > 0").drop("resets", "kinds")
-    changes = levels.groupBy(key, "receive_index", "side", "price").agg(F.max_by("size", "change_index").alias("size")).join(placed, [key, "receive_index"])
-    checked = changes.withColumn("size", F.when(F.col("size") < 0, F.raise_error(F.lit("negative size")).cast("double")).otherwise(F.col("size")))
-    until = F.lead("n").over(Window.partitionBy(key, "epoch", "side", "price").orderBy("n"))
-    ends = placed.groupBy(key, "epoch").agg((F.max("n") + 1).alias("end"))
-    live = checked.withColumn("until", until).where("size > 0").join(ends, [key, "epoch"]).withColumn("at", F.explode(F.sequence("n", F.coalesce("until", "end") - 1)))
-    is_bid, is_ask = F.col("side") == "bid", F.col("side") == "ask"
-    bid, ask = F.when(is_bid, F.col("price")), F.when(is_ask, F.col("price"))
-    tops = live.groupBy(key, F.col("at").alias("n")).agg(F.max(bid).alias("best_bid"), F.max_by("size", bid).alias("bid_size"), F.min(ask).alias("best_ask"), F.min_by("size", ask).alias("ask_size"), F.count(bid).alias("bid_levels"), F.count(ask).alias("ask_levels"))
-    joined = placed.join(tops, [key, "n"], "left").drop("n")
-    crossed = F.when(F.col("best_bid") >= F.col("best_ask"), F.raise_error(F.lit("crossed book")).cast("double")).otherwise(F.col("best_bid"))
-    return joined.withColumns({"best_bid": crossed, "bid_levels": F.coalesce("bid_levels", F.lit(0)), "ask_levels": F.coalesce("ask_levels", F.lit(0))})
+    return replay_feed(levels, key, strict)
 
 
 def record_problems(records: DataFrame, codes: Sequence[str], most_scale: int = 12) -> DataFrame:

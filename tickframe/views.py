@@ -91,24 +91,24 @@ scored AS (
     FROM quotes) q
 )"""
 
-#: A full order log: F empties the book (the first message of a day is one), A adds, Y adds or replaces, M changes, D deletes.
+#: A full order log, its orders named by date (days back) and id: F empties the book (the first message of a day is one), A adds, Y adds or replaces, M changes, D deletes.
 #: -1 keeps the former value, and a price of 0 leaves an order without a price.
 LOG = """
 steps AS (
-  SELECT concat('S', CAST(user_id % 5 AS VARCHAR(4))) AS symbol, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS day, event_id, {micros} AS us, event_id % 12 AS order_id, event_type,
+  SELECT concat('S', CAST(user_id % 5 AS VARCHAR(4))) AS symbol, CAST(CAST(ts AS DATE) AS VARCHAR(10)) AS day, event_id, {micros} AS us, event_id % 12 AS order_id, (event_id * 7) % 5 % 2 AS order_date, event_type,
          row_number() OVER (PARTITION BY user_id % 5, CAST(ts AS DATE) ORDER BY {micros}, event_id) - 1 AS event_index
   FROM events
 ), cleared AS (
-  SELECT *, CASE WHEN event_index = 0 OR event_id % 97 = 0 THEN 'F' WHEN event_type = 'error' THEN 'D' WHEN event_id % 11 = 0 THEN 'Y' ELSE 'M' END AS kind,
+  SELECT *, CASE WHEN event_index = 0 OR event_id % 97 = 0 THEN 'F' WHEN event_type = 'error' THEN 'D' WHEN event_id % 41 = 0 THEN 'Y' ELSE 'M' END AS kind,
          sum(CASE WHEN event_index = 0 OR event_id % 97 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, day ORDER BY event_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS epoch
   FROM steps
 ), followed AS (
-  SELECT *, lag(kind) OVER (PARTITION BY symbol, day, epoch, order_id, CASE WHEN kind = 'F' THEN 1 ELSE 0 END ORDER BY event_index) AS before FROM cleared
+  SELECT *, lag(kind) OVER (PARTITION BY symbol, day, epoch, order_date, order_id, CASE WHEN kind = 'F' THEN 1 ELSE 0 END ORDER BY event_index) AS before FROM cleared
 ), named AS (
-  SELECT symbol, day, event_index, event_id, us, order_id, CASE WHEN kind IN ('M', 'D') AND (before IS NULL OR before = 'D') THEN 'A' ELSE kind END AS action FROM followed
+  SELECT symbol, day, event_index, event_id, us, order_date, order_id, CASE WHEN kind IN ('M', 'D') AND (before IS NULL OR before = 'D') THEN 'A' ELSE kind END AS action FROM followed
 ), log AS (
-  SELECT symbol, day, event_index, us, order_id, action, CASE WHEN order_id % 2 = 0 THEN 1 ELSE 2 END AS side,
-         CASE WHEN action = 'F' THEN -1 WHEN action IN ('A', 'Y') OR event_id % 3 = 0 THEN CASE WHEN event_id % 53 = 0 THEN 0 WHEN order_id % 2 = 0 THEN 100 - (event_id * 7) % 9 ELSE 101 + (event_id * 5) % 9 END ELSE -1 END AS price,
+  SELECT symbol, day, event_index, us, order_date, order_id, action, CASE WHEN order_id % 2 = 0 THEN 1 ELSE 2 END AS side,
+         CASE WHEN action = 'F' THEN -1 WHEN action IN ('A', 'Y') OR event_id % 3 = 0 THEN CASE WHEN event_id % 211 = 0 THEN 0 WHEN order_id % 2 = 0 THEN 100 - (event_id * 7) % 4 ELSE 101 + (event_id * 5) % 4 END ELSE -1 END AS price,
          CASE WHEN action = 'F' THEN -1 WHEN action IN ('A', 'Y') OR event_id % 2 = 0 THEN 1 + (event_id * 13) % 7 ELSE -1 END AS volume,
          CASE WHEN event_id % 5 = 0 THEN event_index ELSE -1 END AS priority
   FROM named
