@@ -121,6 +121,17 @@ def _event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderlog.event_rows(view(spark, sf_dir, "log"), 2)
 
 
+#: Versions, executions and live orders as the stream of order versions gives them; a message that breaks the rules changes nothing.
+_VERSION_STREAM_SQL = _QUEUE.format(reset="false") + f"""
+, cl AS (SELECT *, CASE WHEN action IN ('M', 'D') AND NOT known THEN 'unknown order' WHEN action = 'A' AND known THEN 'duplicate add' END AS problem FROM qq)
+SELECT e.symbol, e.day, e.event_index, CASE WHEN p0 IS NOT NULL THEN q.side END AS old_side, p0 AS old_price, v0 AS old_volume, pr0 AS old_priority, entered0 AS old_entered,
+  CASE WHEN q.action <> 'D' THEN q.side END AS new_side, pn AS new_price, vn AS new_volume, CASE WHEN q.action <> 'D' THEN pr END AS new_priority, CASE WHEN q.action <> 'D' THEN entered END AS new_entered,
+  coalesce(CASE WHEN NOT known THEN 0 WHEN q.action = 'D' THEN v0 WHEN q.action = 'M' AND pn IS NOT DISTINCT FROM p0 THEN greatest(0, v0 - vn) ELSE 0 END, 0)::BIGINT AS execution,
+  coalesce(sum(CASE WHEN q.action = 'D' AND known THEN -1 WHEN q.action <> 'D' AND NOT known THEN 1 ELSE 0 END) OVER (PARTITION BY e.symbol, e.day, e.epoch ORDER BY e.event_index {_UP_TO}), 0)::BIGINT AS live_orders, problem
+FROM ep e LEFT JOIN (SELECT symbol, day, event_index, action, side, p0, v0, pr0, entered0, pn, vn, pr, entered, known, problem FROM cl) q USING (symbol, day, event_index)
+"""
+
+
 @register("SELECT symbol, day, 0::BIGINT AS problems, count(*)::BIGINT AS messages FROM log GROUP BY symbol, day", "log")
 def queue_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels whose ordered queue and aggregate depth disagree, counted by stock-day beside its messages."""

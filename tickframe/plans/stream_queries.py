@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.plans.log_queries import _FEED
-from tickframe.plans.queries import HOUR, register, rounded
+from tickframe.plans.log_queries import _FEED, _VERSION_STREAM_SQL
+from tickframe.plans.queries import HOUR, MINUTE, register, rounded
 from tickframe.streaming import metrics as streams
 from tickframe.streaming import stateful
+from tickframe.views import view
 
 
-def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream, with what all of the queries below need of them."""
-    return streams.event_stream(spark, sf_dir).selectExpr("*", "unix_micros(CAST(ts AS TIMESTAMP)) AS us", "concat('S', user_id % 5) AS symbol", "CAST(CAST(ts AS DATE) AS STRING) AS day")
+def _marked(spark: SparkSession, sf_dir: str, stream: bool = True) -> DataFrame:
+    """The events, as a stream or not, with what all of the queries below need of them."""
+    events = streams.event_stream(spark, sf_dir) if stream else spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.selectExpr("*", "unix_micros(CAST(ts AS TIMESTAMP)) AS us", "concat('S', user_id % 5) AS symbol", "CAST(CAST(ts AS DATE) AS STRING) AS day")
 
 
 @register(_FEED.replace("epoch::BIGINT AS epoch, ", "").replace(",\n       count(price) FILTER (side = 'bid')::BIGINT AS bid_levels, count(price) FILTER (side = 'ask')::BIGINT AS ask_levels FROM live GROUP BY ALL", " FROM live GROUP BY product_id, receive_index"))
@@ -36,33 +38,82 @@ def stream_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_to_table(rows.where("problem IS NOT NULL").select("product_id", "receive_index", "problem"))
 
 
-@register("""
-WITH m AS (SELECT *, epoch_us(ts) AS us, concat('S', CAST(user_id % 5 AS VARCHAR)) AS symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN event_id % 97 = 0 THEN 'F' WHEN event_type = 'error' THEN 'D' ELSE 'Y' END AS action, event_id % 12 AS order_id FROM events),
-e AS (SELECT *, sum((action = 'F')::INT) OVER (PARTITION BY symbol, day ORDER BY us, event_id) AS epoch FROM m),
-l AS (SELECT *, coalesce(lag(action) OVER (PARTITION BY symbol, day, epoch, order_id, action = 'F' ORDER BY us, event_id) = 'Y', false) AS alive FROM e)
-SELECT symbol, day, event_id, (sum(CASE WHEN action = 'Y' AND NOT alive THEN 1 WHEN action = 'D' AND alive THEN -1 ELSE 0 END) OVER (PARTITION BY symbol, day, epoch ORDER BY us, event_id))::BIGINT AS live_orders, CASE WHEN action = 'D' AND NOT alive THEN 'unknown order' END AS problem FROM l
-""")
+#: Files of a stream: rows stand in the order of a time that is off by up to ten minutes, so that micro-batches overlap.
+PARTS, JITTER = 4, 600
+
+
+def _files(spark: SparkSession, rows: DataFrame, flush: DataFrame | None = None) -> DataFrame:
+    """A stream of micro-batches, one a file, cut by ranges of a time that is off; then a row far ahead, which drives the watermark
+    past everything."""
+    cut = rows.withColumn("_key", F.col("us") + F.col("event_id") * 7919 % JITTER * 1_000_000)
+    edges = cut.agg(F.expr(f"percentile(_key, array({', '.join(str(i / PARTS) for i in range(1, PARTS))}))").alias("e")).first()["e"]
+    part = sum((F.when(F.col("_key") > edge, 1).otherwise(0) for edge in edges), F.lit(0))
+    parts = cut.withColumn("part", part).drop("_key")
+    last = parts if flush is None else parts.unionByName(flush.withColumn("part", F.lit(PARTS)))
+    return streams.stream_in_files(last, "part", PARTS + (flush is not None))
+
+
+def _far(rows: DataFrame, **values: object) -> DataFrame:
+    """One row a year ahead of the last one, of a stock of its own."""
+    last = rows.agg(F.max("us").alias("us")).withColumn("us", F.col("us") + 365 * 24 * HOUR)
+    known = {"symbol": F.lit("~"), "event_id": F.lit(-1).cast("long")} | {k: F.lit(v) for k, v in values.items()}
+    return last.select(*[(F.col("us") if c == "us" else F.timestamp_micros("us") if c == "at" else known.get(c, F.lit(None)).cast(t)).alias(c) for c, t in rows.dtypes])
+
+
+@register(_VERSION_STREAM_SQL, "log")
 def order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = _marked(spark, sf_dir).selectExpr("symbol", "day", "us", "event_id", "event_id % 12 AS order_id", "CASE WHEN event_id % 97 = 0 THEN 'F' WHEN event_type = 'error' THEN 'D' ELSE 'Y' END AS action", "1 + event_id % 7 AS volume")
-    return streams.run_to_table(stateful.keyed(messages, ["symbol", "day"], stateful.Orders()))
+    """Order versions of the log from state, in several micro-batches of whole messages; a day's state ends by a timer."""
+    log = view(spark, sf_dir, "log").withColumn("part", F.least(F.lit(PARTS - 1), F.expr(f"(dayofmonth(day) * 24 + floor(us / {HOUR}L) % 24) * {PARTS} div 768").cast("int")))
+    rows = streams.stream_in_files(log.withColumn("at", F.timestamp_micros("us")), "part", PARTS).withWatermark("at", "0 seconds")
+    return streams.run_to_table(stateful.keyed(rows, ["symbol", "day"], stateful.OrderVersions(24 * HOUR), event_time=True)).drop("us")
 
 
 @register(f"""
 WITH m AS (SELECT *, epoch_us(ts) AS us, concat('S', CAST(user_id % 5 AS VARCHAR)) AS symbol FROM events)
-SELECT q.symbol, q.event_id AS decision, round(coalesce(sum(t.value) FILTER (t.event_id % 2 = 0), 0), 6) AS buy_size, round(coalesce(sum(t.value) FILTER (t.event_id % 2 = 1), 0), 6) AS sell_size, count(t.event_id)::BIGINT AS n_trades
+SELECT q.symbol, q.event_id, round(coalesce(sum(t.value) FILTER (t.event_id % 2 = 0), 0), 6) AS buy_size, round(coalesce(sum(t.value) FILTER (t.event_id % 2 = 1), 0), 6) AS sell_size, count(t.event_id)::BIGINT AS n_trades
 FROM m q LEFT JOIN m t ON q.symbol = t.symbol AND t.event_type = 'purchase' AND t.us > q.us - {HOUR} AND t.us <= q.us WHERE q.event_type <> 'purchase' GROUP BY q.symbol, q.event_id
 """)
 def trade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades of the last hour at each decision, from state."""
-    rows = _marked(spark, sf_dir).selectExpr("symbol", "us", "event_id", "event_type <> 'purchase' AS is_decision", "IF(event_id % 2 = 0, 'buy', 'sell') AS side", "value AS size")
-    return rounded(streams.run_to_table(stateful.keyed(rows, ["symbol"], stateful.RecentTrades(HOUR))))
+    """Trades of the last hour at each decision, by a join of two streams whose files hold their rows out of order."""
+    rows = _marked(spark, sf_dir, stream=False).select("symbol", "us", "event_id", "event_type", F.col("value").alias("size"), F.timestamp_micros("us").alias("at"), F.expr("IF(event_id % 2 = 0, 'buy', 'sell')").alias("side"))
+    side = lambda purchase: rows.where(f"(event_type = 'purchase') = {purchase}").drop("event_type")
+    decisions, trades = (_files(spark, x, _far(x, side="buy", size=0.0)) for x in (side("false"), side("true")))
+    joined = streams.recent_trades(decisions.select("symbol", "at", "event_id"), trades.select("symbol", "at", "side", "size"), "1 hour", f"{2 * JITTER} seconds")
+    return rounded(streams.run_to_table(joined).where("event_id >= 0").drop("at"))
+
+
+@register(f"""
+WITH m AS (SELECT *, epoch_us(ts) AS us, concat('S', CAST(user_id % 5 AS VARCHAR)) AS symbol FROM events), p AS (SELECT *, NTILE({PARTS}) OVER (ORDER BY event_id) - 1 AS part FROM m),
+x AS (SELECT part, symbol, max(us) AS newest FROM p GROUP BY part, symbol), s AS (SELECT p.*, (SELECT max(newest) FROM x WHERE x.symbol = p.symbol AND x.part < p.part) AS settled FROM p), k AS (SELECT *, coalesce(us < settled, false) AS late FROM s)
+SELECT q.symbol, q.event_id, q.event_type <> 'purchase' AS is_decision, CASE WHEN NOT q.late AND q.event_type <> 'purchase' THEN round(coalesce(sum(t.value) FILTER (t.event_id % 2 = 0), 0), 6) END AS buy_size, CASE WHEN NOT q.late AND q.event_type <> 'purchase' THEN round(coalesce(sum(t.value) FILTER (t.event_id % 2 = 1), 0), 6) END AS sell_size,
+  CASE WHEN NOT q.late AND q.event_type <> 'purchase' THEN count(t.event_id)::BIGINT END AS n_trades, CASE WHEN q.late THEN 'late' END AS problem
+FROM k q LEFT JOIN k t ON NOT q.late AND NOT t.late AND q.symbol = t.symbol AND t.event_type = 'purchase' AND t.us > q.us - {HOUR} AND t.us <= q.us AND t.part <= q.part WHERE q.event_type <> 'purchase' OR q.late GROUP BY q.symbol, q.event_id, q.event_type, q.late
+""")
+def late_trade_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows from keyed state over files that overlap: rows behind an earlier micro-batch are given out as late."""
+    rows = _marked(spark, sf_dir, stream=False).selectExpr("symbol", "us", "event_id", "event_type <> 'purchase' AS is_decision", "IF(event_id % 2 = 0, 'buy', 'sell') AS side", "value AS size", f"CAST(NTILE({PARTS}) OVER (ORDER BY event_id) - 1 AS INT) AS part")
+    stream = streams.stream_in_files(rows, "part", PARTS)
+    return rounded(streams.run_to_table(stateful.keyed(stream, ["symbol"], stateful.RecentTrades(HOUR))))
 
 
 @register("""
 WITH m AS (SELECT event_id, concat('S', CAST(user_id % 5 AS VARCHAR)) AS symbol, epoch_us(ts) AS us, 100 + (event_id * 31 % 17) / 10.0 AS mid FROM events), n AS (SELECT *, lead(mid, 5) OVER (PARTITION BY symbol ORDER BY us, event_id) AS later FROM m)
-SELECT symbol, event_id, round((later / mid - 1) * 1e4, 6) AS markout_bps FROM n WHERE later IS NOT NULL
+SELECT symbol, event_id, round((later / mid - 1) * 1e4, 6) AS markout_bps, NULL::VARCHAR AS problem FROM n WHERE later IS NOT NULL
 """)
 def markout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moves over the next five quotes, given out when the fifth comes."""
     rows = _marked(spark, sf_dir).selectExpr("symbol", "us", "event_id", "100 + (event_id * 31 % 17) / 10D AS mid")
     return rounded(streams.run_to_table(stateful.keyed(rows, ["symbol"], stateful.Markouts(5))))
+
+
+@register(f"""
+WITH m AS (SELECT event_id, concat('S', CAST(user_id % 5 AS VARCHAR)) AS symbol, epoch_us(ts) AS us, 100 + (event_id * 31 % 17) / 10.0 AS mid FROM events),
+n AS (SELECT a.symbol, a.event_id, a.us, a.mid, b.us AS fu, b.mid AS fm FROM m a ASOF LEFT JOIN (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol, us ORDER BY event_id) = 1) b ON a.symbol = b.symbol AND b.us >= a.us + {MINUTE}),
+k AS (SELECT *, fu <= us + {MINUTE} + {6 * HOUR} AS near FROM n)
+SELECT symbol, event_id, us, CASE WHEN near THEN fu END AS future_us, CASE WHEN near THEN round((fm / mid - 1) * 1e4, 6) END AS markout_bps, CASE WHEN near THEN sign(fm / mid - 1)::INT END AS direction FROM k
+""")
+def clock_markout_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moves to the first quote a minute later or more, within six hours, from timers over files out of order."""
+    rows = _marked(spark, sf_dir, stream=False).selectExpr("symbol", "us", "event_id", "100 + (event_id * 31 % 17) / 10D AS mid", "timestamp_micros(us) AS at")
+    stream = _files(spark, rows, _far(rows, mid=1.0)).withWatermark("at", f"{2 * JITTER} seconds")
+    return rounded(streams.run_to_table(stateful.keyed(stream, ["symbol"], stateful.ClockMarkouts(MINUTE, 6 * HOUR, HOUR // 1000), event_time=True)).where("symbol <> '~'"))

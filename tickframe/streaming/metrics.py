@@ -28,6 +28,29 @@ def minute_counts(events: DataFrame, window: str = "1 hour", late: str = "10 min
     return counts.select(F.unix_micros("w.start").alias("start_us"), "messages", "errors")
 
 
+def stream_in_files(rows: DataFrame, part: str, parts: int) -> DataFrame:
+    """`rows` as a stream of `parts` micro-batches: one file each, in the order of the column `part` (0 to parts - 1)."""
+    spark = rows.sparkSession
+    folder = work_folder(spark, "files")
+    for i in range(parts):
+        rows.where(F.col(part) == i).drop(part).coalesce(1).write.parquet(f"{folder}/{i}")
+    return spark.readStream.schema(rows.drop(part).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def recent_trades(decisions: DataFrame, trades: DataFrame, window: str, late: str) -> DataFrame:
+    """Buy and sell size of the trades in the `window` up to each decision (symbol, at, event_id), as two streams joined by time.
+
+    Both sides have watermarks; rows of a side are dropped once no row of the other can meet them, and a decision is given out
+    when no trade of its window can come any more. Trades come as symbol, at, side, size.
+    """
+    asked = decisions.withWatermark("at", late)
+    made = trades.select(F.col("symbol").alias("_symbol"), F.col("at").alias("_at"), "side", "size").withWatermark("_at", late)
+    inside = (F.col("symbol") == F.col("_symbol")) & (F.col("_at") > F.col("at") - F.expr(f"INTERVAL {window}")) & (F.col("_at") <= F.col("at"))
+    met = asked.join(made, inside, "left_outer")
+    size = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("size"))), F.lit(0.0)).alias(f"{side}_size")
+    return met.groupBy("symbol", "at", "event_id").agg(size("buy"), size("sell"), F.count("_at").alias("n_trades"))
+
+
 def run_to_table(stream: DataFrame) -> DataFrame:
     """Everything that the stream has now, written as Parquet with its own checkpoint to the shared folder, and read back."""
     spark = stream.sparkSession

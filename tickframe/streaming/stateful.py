@@ -1,12 +1,14 @@
 """Keyed state over streams: books, orders, recent trades and pending markouts, one row out for each that comes in.
 
 A key's rows of a micro-batch are put in order first. State is read once and written once a key and batch, whatever the number of
-rows. A row that breaks the rules is given out with its problem instead of stopping the stream, and a book that met one is
-not valid again before its next snapshot.
+rows. A row that breaks the rules is given out with its problem instead of stopping the stream: a row behind the last one of an
+earlier micro-batch is `late` and changes nothing, and a book that met a fault is not valid again before its next snapshot.
+State ends by timers of event time (`ClockMarkouts`, `OrderVersions`) or by a time to live.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterable, Iterator
 from typing import Any
@@ -22,6 +24,14 @@ def _in_order(rows: Iterable[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
 
 
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows as columns that keep whole numbers whole beside NULLs."""
+    kinds = {"long": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean", "string": "object"}
+    columns = [x.split() for x in schema.split(", ")]
+    frame = pd.DataFrame(rows, columns=[n for n, _ in columns], dtype=object)
+    return frame.astype({n: kinds[k] for n, k in columns})
+
+
 class Books(StatefulProcessor):
     """Level rows of feed messages to the best quotes after each message, or its problem."""
 
@@ -75,104 +85,238 @@ class Books(StatefulProcessor):
         pass
 
 
-class Orders(StatefulProcessor):
-    """Order messages of a stock-day (F clears, Y adds or replaces, D deletes) to the number of live orders after each."""
+_VERSION = ("side", "price", "volume", "priority", "entered")
+
+
+class OrderVersions(StatefulProcessor):
+    """Messages of a stock-day (F clears, A adds, Y adds or replaces, M changes, D deletes; -1 keeps a value) to the order's
+    version before and after each, its execution, and the number of live orders. Messages of unknown orders and repeated adds
+    are named as problems; they count as adds and changes, as in the batch form.
 
-    OUT = "symbol string, day string, event_id long, live_orders long, problem string"
+    Whole versions lie in a map by order. A day's state is dropped by a timer `linger_us` after the day's last message.
+    """
+
+    OUT = "symbol string, day string, event_index long, us long, " + ", ".join(f"{v}_{c} long" for v in ("old", "new") for c in _VERSION) + ", execution long, live_orders long, problem string"
+
+    def __init__(self, linger_us: int):
+        self.linger_us = linger_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.orders = handle.getMapState("orders", "order_id long", "volume long")
+        self.handle = handle
+        self.orders = handle.getMapState("orders", "order_date long, order_id long", ", ".join(f"{c} long" for c in _VERSION))
+        self.last = handle.getValueState("last", "event_index long, us long, timer long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        before = {k[0]: v[0] for k, v in self.orders.iterator()}
-        live, out = dict(before), []
-        frame = _in_order(rows, ["us", "event_id"])
-        for event_id, order_id, action, volume in zip(frame["event_id"], frame["order_id"], frame["action"], frame["volume"], strict=True):
-            problem = None
-            if action == "F":
-                live = {}
-            elif action == "Y":
-                live[order_id] = volume
-            elif live.pop(order_id, None) is None:
-                problem = "unknown order"
-            out.append((*key, event_id, len(live), problem))
-        for order_id in before.keys() - live.keys():
-            self.orders.removeKey((order_id,))
-        for order_id, volume in live.items():
-            if before.get(order_id) != volume:
-                self.orders.updateValue((order_id,), (int(volume),))
-        yield pd.DataFrame(out, columns=["symbol", "day", "event_id", "live_orders", "problem"])
+        known = self.last.exists()
+        before = {tuple(k): tuple(v) for k, v in self.orders.iterator()} if known else {}
+        settled, newest, timer = self.last.get() if known else (-1, 0, 0)
+        live, out, last = dict(before), [], settled
+        frame = _in_order(rows, ["event_index"])
+        names = ["event_index", "us", "order_date", "order_id", "action", "side", "price", "volume", "priority"]
+        for index, us, date, order_id, action, *given, reported in zip(*(frame[n].tolist() for n in names), strict=True):
+            old = new = problem = None
+            executed, order = 0, (date, order_id)
+            if index <= settled:
+                problem = "late"
+            else:
+                last, newest = index, max(newest, us)
+                old = live.get(order)
+                if action == "F":
+                    live, old = {}, None
+                elif action not in ("A", "Y", "M", "D"):
+                    problem, old = "unknown action", None
+                elif action == "D":
+                    executed = live.pop(order)[2] if old is not None else 0
+                else:
+                    values = [former if x == -1 else x for x, former in zip((2 if given[0] == 5 else given[0], *given[1:]), old or (None,) * 3, strict=False)]
+                    moved = old is None or tuple(values[:2]) != old[:2]
+                    rank = reported if reported != -1 else us if moved else old[3]
+                    joins = moved or (reported != -1 and reported != old[3])
+                    new = live[order] = (*values, rank, index if joins else old[4])
+                    executed = max(0, old[2] - new[2]) if action == "M" and not moved else 0
+                if problem is None and action != "F":
+                    problem = "unknown order" if action in ("M", "D") and old is None else "duplicate add" if action == "A" and old is not None else None
+            empty = (None,) * len(_VERSION)
+            out.append((*key, index, us, *(old or empty), *(new or empty), executed, None if problem == "late" else len(live), problem))
+        for order in before.keys() - live.keys():
+            self.orders.removeKey(order)
+        for order, version in live.items():
+            if before.get(order) != version:
+                self.orders.updateValue(order, version)
+        due = (newest + self.linger_us) // 1000 + 1
+        if due != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.last.update((last, newest, due))
+        yield _frame(out, self.OUT)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.orders.clear()
+        self.last.clear()
+        yield _frame([], self.OUT)
 
     def close(self) -> None:
         pass
 
 
 class RecentTrades(StatefulProcessor):
-    """Decisions and trades of a stock to the buy and sell size in the `window_us` up to each decision."""
+    """Decisions and trades of a stock to the buy and sell size in the `window_us` up to each decision.
 
-    OUT = "symbol string, decision long, buy_size double, sell_size double, n_trades long"
+    A trade of an earlier micro-batch's time is late; a late decision is, too. With a time to live, a stock that has gone
+    silent for so long leaves nothing behind.
+    """
 
-    def __init__(self, window_us: int):
-        self.window_us = window_us
+    OUT = "symbol string, event_id long, is_decision boolean, buy_size double, sell_size double, n_trades long, problem string"
+
+    def __init__(self, window_us: int, live_ms: int | None = None):
+        self.window_us, self.live_ms = window_us, live_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", "us long, side string, size double")
+        self.recent = handle.getListState("recent", "us long, side string, size double", self.live_ms)
+        self.last = handle.getValueState("last", "us long", self.live_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         recent = deque(sorted(self.recent.get())) if self.recent.exists() else deque()
+        settled = self.last.get()[0] if self.last.exists() else None
         total = {"buy": 0.0, "sell": 0.0}
         for _, side, size in recent:
             total[side] += size
-        out = []
+        out, last = [], settled
         frame = _in_order(rows, ["us", "is_decision", "event_id"])
         for us, decision, event_id, side, size in zip(frame["us"], frame["is_decision"], frame["event_id"], frame["side"], frame["size"], strict=True):
+            if settled is not None and us < settled:
+                out.append((key[0], event_id, bool(decision), None, None, None, "late"))
+                continue
+            last = us if last is None else max(last, us)
             while recent and recent[0][0] <= us - self.window_us:
                 _, old, gone = recent.popleft()
                 total[old] -= gone
             if decision:
-                out.append((key[0], event_id, total["buy"], total["sell"], len(recent)))
+                out.append((key[0], event_id, True, total["buy"], total["sell"], len(recent), None))
             else:
                 recent.append((us, side, size))
                 total[side] += size
         self.recent.clear()
         if recent:
             self.recent.put([(int(us), side, float(size)) for us, side, size in recent])
-        yield pd.DataFrame(out, columns=["symbol", "decision", "buy_size", "sell_size", "n_trades"])
+        if last is not None:
+            self.last.update((int(last),))
+        yield _frame(out, self.OUT)
+
+    def close(self) -> None:
+        pass
+
+
+class ClockMarkouts(StatefulProcessor):
+    """Quotes of a stock to the first quote at or after `horizon_us` from each, in order of time though they come in any.
+
+    A timer goes off once the watermark has passed a stretch of time; what lies before the watermark is final then, and is dealt
+    with at one go, however many timers go off with it. A quote whose future
+    has not come `patience_us` after its horizon is given out without one. Quotes that no open question can need are dropped,
+    so a stock's state spans horizon, patience and the watermark's delay.
+    """
+
+    OUT = "symbol string, event_id long, us long, future_us long, markout_bps double, direction int"
+
+    def __init__(self, horizon_us: int, patience_us: int, stretch_ms: int = 600_000):
+        self.horizon_us, self.patience_us, self.stretch_ms = horizon_us, patience_us, stretch_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.quotes = handle.getMapState("quotes", "us long, event_id long", "mid double, answered boolean")
+        self.done = handle.getValueState("done", "us long")
+
+    def _timer(self, us: int) -> int:
+        return (us // 1000 // self.stretch_ms + 1) * self.stretch_ms
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        due = set()
+        for frame in rows:
+            for us, event_id, mid in zip(frame["us"].tolist(), frame["event_id"].tolist(), frame["mid"].tolist(), strict=True):
+                self.quotes.updateValue((us, event_id), (mid, False))
+                due |= {self._timer(us), self._timer(us + self.horizon_us + self.patience_us)}
+        for at in due.difference(self.handle.listTimers()):
+            self.handle.registerTimer(at)
+        yield _frame([], self.OUT)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        final = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.done.exists() and self.done.get()[0] >= final:
+            return
+        self.done.update((final,))
+        quotes = sorted((tuple(k), tuple(v)) for k, v in self.quotes.iterator())
+        times = [k[0] for k, _ in quotes]
+        settled = bisect_left(times, final)
+        out, open_from = [], None
+        for (us, event_id), (mid, answered) in quotes[:settled]:
+            if answered:
+                continue
+            target = us + self.horizon_us
+            at = bisect_left(times, target)
+            if at < settled and times[at] <= target + self.patience_us:
+                move = quotes[at][1][0] / mid - 1
+                out.append((key[0], event_id, us, times[at], move * 1e4, (move > 0) - (move < 0)))
+            elif final > target + self.patience_us:
+                out.append((key[0], event_id, us, None, None, None))
+            else:
+                open_from = us if open_from is None else open_from
+                continue
+            self.quotes.updateValue((us, event_id), (mid, True))
+        # a final quote is still wanted as the future of a quote that is open or yet to come
+        wanted = (final if open_from is None else open_from) + self.horizon_us
+        for (us, event_id), (_, answered) in quotes[:settled]:
+            if us < wanted and (answered or any(o[1] == event_id for o in out)):
+                self.quotes.removeKey((us, event_id))
+        yield _frame(out, self.OUT)
 
     def close(self) -> None:
         pass
 
 
 class Markouts(StatefulProcessor):
-    """Quotes of a stock to each quote's move over the next `horizon` quotes, given out when the last of them comes."""
+    """Quotes of a stock to each quote's move over the next `horizon` quotes, given out when the last of them comes; late quotes
+    are given out as such."""
 
-    OUT = "symbol string, event_id long, markout_bps double"
+    OUT = "symbol string, event_id long, markout_bps double, problem string"
 
     def __init__(self, horizon: int):
         self.horizon = horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.pending = handle.getListState("pending", "place int, event_id long, mid double")
+        self.last = handle.getValueState("last", "us long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         waiting = deque((e, m) for _, e, m in sorted(self.pending.get())) if self.pending.exists() else deque()
-        out = []
+        settled = self.last.get()[0] if self.last.exists() else None
+        out, last = [], settled
         frame = _in_order(rows, ["us", "event_id"])
-        for event_id, mid in zip(frame["event_id"], frame["mid"], strict=True):
+        for us, event_id, mid in zip(frame["us"], frame["event_id"], frame["mid"], strict=True):
+            if settled is not None and us < settled:
+                out.append((key[0], event_id, None, "late"))
+                continue
+            last = us
             waiting.append((event_id, mid))
             if len(waiting) > self.horizon:
                 earlier, base = waiting.popleft()
-                out.append((key[0], earlier, (mid / base - 1) * 1e4))
+                out.append((key[0], earlier, (mid / base - 1) * 1e4, None))
+        self.last.update((int(last),))
         self.pending.clear()
         if waiting:
             self.pending.put([(i, int(e), float(m)) for i, (e, m) in enumerate(waiting)])
-        yield pd.DataFrame(out, columns=["symbol", "event_id", "markout_bps"])
+        yield _frame(out, self.OUT)
 
     def close(self) -> None:
         pass
 
 
-def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor) -> DataFrame:
-    """The processor's rows for each key of a stream; state lies in RocksDB, so it may be larger than memory."""
+def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, event_time: bool = False) -> DataFrame:
+    """The processor's rows for each key of a stream; state lies in RocksDB, so it may be larger than memory.
+
+    With `event_time`, the stream has a watermark that drives the processor's timers; without, a processor with a time to live
+    needs processing time.
+    """
     stream.sparkSession.conf.set(*STORE)
-    return stream.groupBy(*keys).transformWithStateInPandas(processor, processor.OUT, "Append", "None")
+    mode = "EventTime" if event_time else "ProcessingTime" if getattr(processor, "live_ms", None) else "None"
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, processor.OUT, "Append", mode)
