@@ -5,8 +5,10 @@ A block is one cell of the declared grid (a stock and a day, say). "Strict" mean
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,15 +92,53 @@ def selected_costs(rows: DataFrame, keys: Sequence[str], prediction: str, thresh
 
 
 def gap_precision(rows: DataFrame, keys: Sequence[str], gap: str) -> DataFrame:
-    """Gaps of a clock per key: zero gaps, the smallest positive one, and the greatest common divisor of all.
+    """Gaps of a clock per key: their number, zero gaps, the smallest positive one, and the greatest common divisor of all.
 
-    Only distinct gaps go into the divisor, in 64 parts a key, folded by Euclid's steps in the JVM.
+    Each task folds its rows to one line a key, and the lines of a key are folded once more where they meet: a key costs four
+    numbers at any time, however many distinct gaps it has.
     """
-    euclid = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], F.greatest(s["b"], F.lit(1))).alias("b"))))["a"]
-    fold = lambda c: F.aggregate(F.collect_set(c), F.lit(0).cast("long"), euclid)
-    distinct = rows.where(F.col(gap).isNotNull()).groupBy(*keys, F.col(gap).cast("long").alias("_g")).agg(F.count("*").alias("_n"))
-    parts = distinct.groupBy(*keys, F.pmod(F.xxhash64("_g"), F.lit(64)).alias("_part")).agg(F.sum(F.when(F.col("_g") == 0, F.col("_n"))).alias("_z"), F.sum("_n").alias("_n"), F.min(F.when(F.col("_g") > 0, F.col("_g"))).alias("_least"), fold("_g").alias("_d"))
-    return parts.groupBy(*keys).agg(F.sum("_n").alias("gaps"), F.coalesce(F.sum("_z"), F.lit(0)).alias("zeros"), F.min("_least").alias("least_positive"), fold("_d").alias("divisor"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", gaps long, zeros long, least_positive long, divisor long"
+    names = [*keys, "gaps", "zeros", "least_positive", "divisor"]
+    g = F.col(gap).cast("long")
+    own = rows.where(F.col(gap).isNotNull()).select(*keys, F.lit(1).cast("long").alias("gaps"), (g == 0).cast("long").alias("zeros"), F.when(g > 0, g).alias("least_positive"), F.abs(g).alias("divisor"))
+    fold = _gap_fold(list(keys), names)
+    return own.mapInArrow(fold, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(fold, schema)
+
+
+def _gap_fold(keys: list[str], names: list[str], most_keys: int = 100_000) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, list] = {}
+        types: list[pa.DataType] = []
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*[(*key, *values) for key, values in found.items()], strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            types = [batch.column(n).type for n in names]
+            frame = pa.Table.from_batches([batch]).to_pandas().groupby(keys, dropna=False, sort=False)
+            for group, part in frame:
+                key = tuple(None if k != k else k for k in group)
+                one = found.setdefault(key, [0, 0, None, 0])
+                least = part["least_positive"].dropna()
+                one[0] += int(part["gaps"].sum())
+                one[1] += int(part["zeros"].sum())
+                if len(least):
+                    one[2] = int(least.min()) if one[2] is None else min(one[2], int(least.min()))
+                one[3] = int(np.gcd.reduce(np.append(part["divisor"].to_numpy(np.int64), one[3])))
+            # rows of a key come together where keys are sorted: the last key may go on, all others are whole
+            if len(found) > most_keys:
+                *_, last = found
+                kept = found.pop(last)
+                yield out()
+                found = {last: kept}
+        if found:
+            yield out()
+
+    return fold
 
 
 def partition_summary(rows: DataFrame, declared: DataFrame, keys: Sequence[str], good: Column, error: Column) -> DataFrame:

@@ -21,21 +21,24 @@ def walk_forward(rows: DataFrame, order: Sequence[str], train: int, test: int, s
     """`rows` with fold and part: anchored folds by position in `order` (time `us` first, unique).
 
     Fold i trains on the first train + i * test rows and tests on the next `test` rows that start more than `embargo_us`
-    after the last training row. Folds stop at the first one whose test set falls short. Positions come from a range sort,
-    and what is gathered of the rows is one line a fold.
+    after the last training row. Folds stop at the first one whose test set falls short. Positions come from one range sort;
+    what is gathered of the rows are two lines of `splits` numbers, and a row finds its folds by its position alone.
     """
     if min(train, test, splits) <= 0:
         raise ValueError("train, test and splits must be positive")
     placed = numbered(rows, order)
-    folds = rows.sparkSession.range(splits).select(F.col("id").cast("int").alias("fold"), (F.lit(train) + F.col("id") * test).alias("stop"))
-    ends = placed.join(F.broadcast(folds), F.col("place") == F.col("stop") - 1).select("fold", "stop", F.col("us").alias("last_us"))
-    # Rows are in order of time, so the rows after an embargo are one stretch of places.
-    later = F.col("us") > F.col("last_us") + F.lit(embargo_us) if embargo_us > 0 else F.lit(True)
-    starts = placed.join(F.broadcast(ends), (F.col("place") >= F.col("stop")) & later).groupBy("fold", "stop").agg(F.min("place").alias("first"), F.count("*").alias("left"))
+    stops = [train + i * test for i in range(splits)]
+    ends = placed.where(F.col("place").isin([s - 1 for s in stops])).agg(F.map_from_entries(F.collect_list(F.struct("place", "us"))).alias("us")).first()["us"]
+    stops = [s for s in stops if s - 1 in ends]
+    later = lambda s: (F.col("place") >= s) & (F.col("us") > ends[s - 1] + embargo_us if embargo_us > 0 else F.lit(True))
+    starts = placed.agg(F.count("*").alias("n"), *[F.min(F.when(later(s), F.col("place"))).alias(f"first_{i}") for i, s in enumerate(stops)]).first()
     # Later folds start later and have no more rows left, so the folds before the first short one are those that are not.
-    kept = starts.where(F.col("left") >= test).select("fold", "stop", "first")
-    part = F.when(F.col("place") < F.col("stop"), "train").when((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + test), "test")
-    return placed.join(F.broadcast(kept), F.col("place") < F.col("first") + test).withColumn("part", part).where("part IS NOT NULL")
+    kept = [(i, s, first) for i, s in enumerate(stops) if (first := starts[f"first_{i}"]) is not None and starts["n"] - first >= test]
+    if not kept:
+        return placed.withColumns({"fold": F.lit(None).cast("int"), "stop": F.lit(None).cast("long"), "first": F.lit(None).cast("long"), "part": F.lit(None).cast("string")}).where("false")
+    known = F.array(*[F.struct(F.lit(i).cast("int").alias("fold"), F.lit(s).cast("long").alias("stop"), F.lit(first).cast("long").alias("first")) for i, s, first in kept])
+    holds = F.filter(known, lambda f: (F.col("place") < f["stop"]) | ((F.col("place") >= f["first"]) & (F.col("place") < f["first"] + test)))
+    return placed.withColumn("_f", F.explode(holds)).withColumns({"fold": F.col("_f.fold"), "stop": F.col("_f.stop"), "first": F.col("_f.first")}).drop("_f").withColumn("part", F.when(F.col("place") < F.col("stop"), "train").otherwise("test"))
 
 
 def period_folds(days: DataFrame, targets: Sequence[str], least_days: int) -> DataFrame:

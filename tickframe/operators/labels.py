@@ -44,22 +44,23 @@ def clock_markouts(quotes: DataFrame, horizon_us: int, stretch_us: int = 86_400_
     """Adds future_us, future_mid, markout_bps and direction: the first quote at or after us + horizon of the symbol.
 
     A forward as-of join as one window: probes at us + horizon sort before quotes of the same time. Windows are stretches of
-    time, so a symbol's rows are spread over all tasks; a probe without a later quote in its stretch takes the first quote of
-    the next stretch that has one, from a table of one row a stretch.
+    time, so a symbol's rows are spread over all tasks; at the end of each stretch stands the first quote behind it, from a
+    table of one row a stretch. Rows move once.
     """
-    row = F.struct(*quotes.columns)
+    row, start = F.struct(*quotes.columns), lambda at: F.floor(at / F.lit(stretch_us))
     quote = F.struct("us", mid().alias("mid"))
     data = quotes.select("symbol", F.col("us").alias("at"), F.lit(1).alias("kind"), "event_id", quote.alias("quote"), F.lit(None).cast(quotes.schema).alias("row"))
     probes = quotes.select("symbol", (F.col("us") + horizon_us).alias("at"), F.lit(0).alias("kind"), "event_id", F.lit(None).cast("struct<us:bigint,mid:double>").alias("quote"), row.alias("row"))
-    both = data.union(probes).withColumn("stretch", F.floor(F.col("at") / stretch_us))
+    firsts = quotes.select("symbol", "us", "event_id", quote.alias("quote")).groupBy("symbol", start(F.col("us")).alias("stretch")).agg(F.min_by("quote", F.struct("us", "event_id")).alias("first"))
+    reach = F.sequence(F.lit(0), F.lit(-(-horizon_us // stretch_us)))
+    asked = firsts.select("symbol", F.explode(F.transform(reach, lambda k: F.col("stretch") + k)).alias("stretch")).distinct()
+    later = Window.partitionBy("symbol").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    following = asked.join(firsts, ["symbol", "stretch"], "left").withColumn("quote", F.last("first", ignorenulls=True).over(later)).where("quote IS NOT NULL")
+    behind = following.select("symbol", ((F.col("stretch") + 1) * stretch_us - 1).alias("at"), F.lit(2).alias("kind"), F.lit(0).cast(quotes.schema["event_id"].dataType).alias("event_id"), "quote", F.lit(None).cast(quotes.schema).alias("row"))
+    both = data.union(probes).union(behind).withColumn("stretch", start(F.col("at")))
     # Backwards in time, so that the frame only grows; one that shrinks would be summed anew for every row.
     ahead = Window.partitionBy("symbol", "stretch").orderBy(F.desc("at"), F.desc("kind"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("next", F.last("quote", ignorenulls=True).over(ahead)).where("kind = 0").select("symbol", "stretch", "row", "next")
-    firsts = data.groupBy("symbol", F.floor(F.col("at") / stretch_us).alias("stretch")).agg(F.min_by("quote", F.struct("at", "event_id")).alias("first"))
-    asked = probes.select("symbol", F.floor(F.col("at") / stretch_us).alias("stretch")).distinct().join(firsts, ["symbol", "stretch"], "full_outer")
-    later = Window.partitionBy("symbol").orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
-    following = asked.select("symbol", "stretch", F.last("first", ignorenulls=True).over(later).alias("following"))
-    joined = found.join(following, ["symbol", "stretch"]).select("row.*", F.coalesce("next", "following").alias("next"))
+    joined = both.withColumn("next", F.last("quote", ignorenulls=True).over(ahead)).where("kind = 0").select("row.*", "next")
     move = F.col("next.mid") / mid() - 1
     return joined.withColumns({"future_us": F.col("next.us"), "future_mid": F.col("next.mid"), "markout_bps": move * 1e4, "direction": F.signum(move).cast("int")}).drop("next")
 

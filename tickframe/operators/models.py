@@ -21,19 +21,16 @@ def fit_ridge(rows: DataFrame, fold: str | Sequence[str], features: Sequence[str
     keys = [fold] if isinstance(fold, str) else list(fold)
     columns, p = [*features, label], len(features)
     clean = rows.dropna(subset=columns)
-    # Sums are taken about a first mean of all rows: far from 0, plain cross-products would lose their digits.
-    near = clean.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    at = lambda i: F.col(columns[i]) - F.lit(near[f"m{i}"])
-    sums = [F.sum(at(i)).alias(f"s{i}") for i in range(p + 1)] + [F.sum(at(i) * at(j)).alias(f"x{i}_{j}") for i in range(p + 1) for j in range(i + 1)]
+    # Covariances are merged about their own means: far from 0, plain cross-products would lose their digits.
+    sums = [F.avg(x).alias(f"s{i}") for i, x in enumerate(columns)] + [F.covar_pop(columns[i], columns[j]).alias(f"x{i}_{j}") for i in range(p + 1) for j in range(i + 1)]
     fitted = []
     for row in clean.groupBy(*keys).agg(F.count("*").alias("n"), *sums).collect():
         n = row["n"]
-        mean = np.array([row[f"s{i}"] for i in range(p + 1)]) / n
-        cross = np.array([[row[f"x{max(i, j)}_{min(i, j)}"] for j in range(p + 1)] for i in range(p + 1)]) - n * np.outer(mean, mean)
+        mean = np.array([row[f"s{i}"] for i in range(p + 1)])
+        cross = np.array([[row[f"x{max(i, j)}_{min(i, j)}"] for j in range(p + 1)] for i in range(p + 1)]) * n
         scale = np.sqrt(np.maximum(np.diag(cross)[:p], 0) / n)
         scale[scale == 0] = 1.0
         weights = np.linalg.solve(cross[:p, :p] / np.outer(scale, scale) + penalty * np.eye(p), cross[:p, p] / scale) / scale
-        mean = mean + np.array([near[f"m{i}"] for i in range(p + 1)])
         fitted.append((*[row[k] for k in keys], n, float(mean[p] - weights @ mean[:p]), weights.tolist()))
     kinds = dict(rows.dtypes)
     return rows.sparkSession.createDataFrame(fitted, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, intercept double, weights array<double>")

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickframe.sources.tables import work_folder
+
 
 def hashed(*parts: Column | str) -> Column:
     """A number of 60 bits from the md5 of the parts."""
@@ -25,27 +27,32 @@ def numbered(rows: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) ->
     """
     if keys:
         return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
-    own = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
-    # Ranges that differ between two runs of the sort would shift numbers, so both uses read one result.
-    own = own.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else own.persist()
+    spark, path = rows.sparkSession, work_folder(rows.sparkSession, "numbered")
+    # written once: ranges that differ between two runs of the sort would shift numbers; the low bits of the id count inside a range
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    own = spark.read.schema(ranged.schema).parquet(path).withColumn("_range", F.shiftright("_id", 33))
     counts = own.groupBy(F.col("_range").alias("_of")).agg(F.count("*").alias("_n"))
     before = counts.select("_of", F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return own.join(F.broadcast(before), F.col("_range") == F.col("_of")).withColumn("place", F.col("_before") + F.col("_in")).drop("_range", "_in", "_of", "_before")
+    return own.join(F.broadcast(before), F.col("_range") == F.col("_of")).withColumn("place", F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_range", "_id", "_of", "_before")
 
 
 def interval(means: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return means.groupBy(*keys).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"), F.count("*").alias("draws"))
 
 
-def block_bootstrap(deltas: DataFrame, order: Sequence[str], draws: int, seed: int = 7) -> DataFrame:
-    """2.5 and 97.5 percentiles of the mean over draws of as many blocks, with replacement."""
-    placed = numbered(deltas, order).select("place", "delta")
-    n = F.broadcast(placed.agg(F.count("*").alias("n")))
-    picks = deltas.sparkSession.range(draws).join(n).select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).where("n > 0")
-    times = picks.groupBy("id", F.pmod(hashed(F.lit(str(seed)), F.col("id"), F.col("i")), F.col("n")).alias("place")).agg(F.count("*").alias("times"))
-    means = times.join(placed, "place").groupBy("id").agg((F.sum(F.col("times") * F.col("delta")) / F.sum("times")).alias("m"))
-    return interval(means)
+def block_bootstrap(deltas: DataFrame, order: Sequence[str], draws: int, seed: int = 7, most_blocks: int = 1_000_000) -> DataFrame:
+    """2.5 and 97.5 percentiles of the mean over draws of as many blocks, with replacement.
+
+    A draw is a row that looks its picks up in the array of all blocks, so draws run in parallel and nothing but their means is
+    shuffled. Blocks are an aggregate (a stock's month, say); the array goes to every task, and more than `most_blocks` are refused.
+    """
+    blocks = deltas.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "delta"))), lambda x: x["delta"]).alias("blocks"), F.count("*").alias("n"))
+    blocks = blocks.withColumn("n", F.when(F.col("n") > most_blocks, F.raise_error(F.lit("too many blocks for one array")).cast("long")).otherwise(F.col("n"))).where("n > 0")
+    pick = lambda i: F.element_at("blocks", (F.pmod(hashed(F.lit(str(seed)), F.col("id"), i), F.col("n")) + 1).cast("int"))
+    total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda sum_, i: sum_ + pick(i))
+    spread = deltas.sparkSession.range(0, draws, 1, deltas.sparkSession.sparkContext.defaultParallelism)
+    return interval(spread.join(F.broadcast(blocks)).select("id", (total / F.col("n")).alias("m")))
 
 
 def moving_block_bootstrap(days: DataFrame, period: str, day: str, block: int, draws: int, seed: int) -> DataFrame:

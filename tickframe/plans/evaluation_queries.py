@@ -269,11 +269,11 @@ def _pick(parts: str, modulus: str) -> str:
 
 @register(_DELTAS + f"""
 , pl AS (SELECT row_number() OVER (ORDER BY symbol, day) - 1 AS place, delta FROM dl), n AS (SELECT count(*) AS n FROM pl),
-dr AS (SELECT d.id, {_pick("'7', d.id, i.i", "n.n")} AS place FROM range(200) d(id) CROSS JOIN n CROSS JOIN LATERAL (SELECT unnest(range(n.n)) AS i) i), m AS (SELECT id, avg(delta) AS m FROM dr JOIN pl USING (place) GROUP BY id)
+dr AS (SELECT d.id, {_pick("'7', d.id, i.i", "n.n")} AS place FROM range(10000) d(id) CROSS JOIN n CROSS JOIN LATERAL (SELECT unnest(range(n.n)) AS i) i), m AS (SELECT id, avg(delta) AS m FROM dr JOIN pl USING (place) GROUP BY id)
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*)::BIGINT AS draws FROM m
 """, "scored")
 def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(resampling.block_bootstrap(_deltas(spark, sf_dir), ["symbol", "day"], 200))
+    return rounded(resampling.block_bootstrap(_deltas(spark, sf_dir), ["symbol", "day"], 10_000))
 
 
 @register(_DELTAS + f"""
