@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickframe.operators.resampling import numbered
+from tickframe.sources.tables import stored
 
 
 def day_folds(rows: DataFrame, first_test: int = 2) -> DataFrame:
@@ -26,7 +27,7 @@ def walk_forward(rows: DataFrame, order: Sequence[str], train: int, test: int, s
     """
     if min(train, test, splits) <= 0:
         raise ValueError("train, test and splits must be positive")
-    placed = numbered(rows, order)
+    placed = numbered(stored(rows), order)
     stops = [train + i * test for i in range(splits)]
     ends = placed.where(F.col("place").isin([s - 1 for s in stops])).agg(F.map_from_entries(F.collect_list(F.struct("place", "us"))).alias("us")).first()["us"]
     stops = [s for s in stops if s - 1 in ends]

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickframe.operators.ranges import exact_quantiles
+from tickframe.sources.tables import stored
+
 
 def average_rank(keys: Sequence[str], value: str) -> Column:
     """Rank from 1 with ties at their mean: half-way between the first and the last of equal values, in one sort."""
@@ -29,8 +32,13 @@ def score_set(rows: DataFrame, keys: Sequence[str], prediction: str, actual: str
 
 
 def quantile_bins(rows: DataFrame, keys: Sequence[str], value: str, bins: int, name: str = "bin") -> DataFrame:
-    """Adds the quantile bin from 0: right-closed, the lowest value included, ties together, equal edges merged."""
-    edges = rows.groupBy(*keys).agg(F.array_distinct(F.expr(f"percentile({value}, array({','.join(str(i / bins) for i in range(bins + 1))}))")).alias("edges"))
+    """Adds the quantile bin from 0: right-closed, the lowest value included, ties together, equal edges merged.
+
+    Edges are exact and found by ranges, so a key may hold any number of values; they meet the rows as one line a key. The rows
+    are written once, as they are read three times.
+    """
+    rows = stored(rows, "binned")
+    edges = exact_quantiles(rows, keys, value, [i / bins for i in range(bins + 1)]).select(*keys, F.array_distinct("quantiles").alias("edges"))
     joined = rows.join(edges, list(keys))
     return joined.withColumn(name, F.greatest(F.lit(0), F.size(F.filter(F.slice("edges", F.lit(1), F.greatest(F.size("edges") - 1, F.lit(1))), lambda e: e < F.col(value))) - 1)).drop("edges")
 

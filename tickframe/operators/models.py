@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.operators import folds
 from tickframe.operators.metrics import score_set
 
 
@@ -46,30 +45,13 @@ def predict_ridge(rows: DataFrame, model: DataFrame, fold: str | Sequence[str],
     return joined.withColumn("prediction", value).drop("intercept", "weights")
 
 
-def _walked(rows: DataFrame, order: Sequence[str], train: int, test: int, splits: int, embargo_us: int) -> DataFrame:
-    return folds.purge(folds.walk_forward(rows, order, train, test, splits, embargo_us))
-
-
-def _judged(predicted: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+def judged(predicted: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """The score set of each cell, with its mean squared error."""
     error = F.col("prediction") - F.col(label)
     scores = score_set(predicted.withColumn("prediction", F.round("prediction", 9)), keys, "prediction", label)
     return scores.join(predicted.groupBy(*keys).agg(F.avg(error * error).alias("mse")), list(keys))
 
 
-def walk_forward_ridge(rows: DataFrame, order: Sequence[str], identity: str, features: Sequence[str], label: str, train: int, test: int, splits: int, embargo_us: int = 0) -> DataFrame:
-    """Scores by fold of a fit on purged training rows, and of a control whose training labels are dealt anew (`run`).
-
-    Folds and runs are columns of one job: one pass gives the moments of all fits, and their coefficients are broadcast.
-    """
-    placed = _walked(rows.select(*order, "future_us", *features, label), order, train, test, splits, embargo_us)
-    train_rows = placed.where("part = 'train'")
-    dealt = folds.permute_labels(train_rows, ["fold"], [identity], label).withColumn(label, F.col("shuffled")).drop("shuffled")
-    both = train_rows.withColumn("run", F.lit("fitted")).unionByName(dealt.withColumn("run", F.lit("shuffled")))
-    model = fit_ridge(both, ["fold", "run"], features, label)
-    tests = placed.where("part = 'test'").join(F.broadcast(model.select("fold", "run")), "fold")
-    return _judged(predict_ridge(tests, model, ["fold", "run"], features), ["fold", "run"], label)
-
-
 def flattened(rows: DataFrame, window: str, features: Sequence[str], length: int) -> tuple[DataFrame, list[str]]:
     """The states of a window as columns, oldest first, and their names."""
     names = [f"{f}_{k}" for k in range(length) for f in features]
@@ -103,38 +85,29 @@ def _fields(rows: DataFrame) -> list[str]:
     return rows.schema["window"].dataType.elementType.fieldNames()
 
 
-def _trees(trees: int, depth: int, seed: int):
-    from pyspark.ml.regression import GBTRegressor
-
-    return GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=20, maxBins=256, seed=seed)
+#: Boosted trees by name: number, depth, step, least rows of a leaf, share of rows a tree sees.
+TREES = {"small": (200, 3, 0.03, 25, 1.0), "standard": (50, 5, 0.1, 20, 0.8), "deep": (100, 6, 0.05, 50, 0.8)}
 
 
-def _assembled(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def fit_trees(rows: DataFrame, features: Sequence[str], label: str, variant: str = "standard", seed: int = 1, count: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Fits a variant (with `count` trees in place of its own); the result adds `prediction` to rows, and has `gains` by feature."""
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    trees, depth, step, leaf, share = TREES[variant]
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
+    assembled = assembler.transform(rows.dropna(subset=[*features, label]).withColumn("_y", F.col(label)))
+    model = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=count or trees, maxDepth=depth, stepSize=step, subsamplingRate=share, minInstancesPerNode=leaf, maxBins=256, seed=seed).fit(assembled)
+
+    def predict(more: DataFrame) -> DataFrame:
+        return model.transform(assembler.transform(more.dropna(subset=list(features)))).drop("_x")
 
-    return VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows.dropna(subset=[*features, label]).withColumn("_y", F.col(label)))
+    predict.gains = {f: float(g) for f, g in zip(features, model.featureImportances.toArray(), strict=True)}
+    return predict
 
 
-def boosted_trees(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], trees: int = 50, depth: int = 5, seed: int = 1) -> DataFrame:
+def boosted_trees(train: DataFrame, test: DataFrame, features: Sequence[str], label: str, keys: Sequence[str], variant: str = "standard", seed: int = 1, count: int | None = None) -> DataFrame:
     """Scores of boosted trees per cell, with each feature's share of the gain (they add up to 1, or are all 0)."""
-    model = _trees(trees, depth, seed).fit(_assembled(train, features, label))
-    gains = model.featureImportances.toArray()
-    scored = _judged(model.transform(_assembled(test, features, label)), keys, label)
-    return scored.withColumns({f"gain_{f}": F.lit(float(g)) for f, g in zip(features, gains, strict=True)})
-
-
-def walk_forward_trees(rows: DataFrame, order: Sequence[str], features: Sequence[str], label: str, train: int, test: int, splits: int, embargo_us: int = 0, trees: int = 50, depth: int = 5, seed: int = 1) -> DataFrame:
-    """As `walk_forward_ridge`, with one fit of boosted trees a fold, each a Spark job over its training rows."""
-    placed = _walked(rows.select(*order, "future_us", *features, label), order, train, test, splits, embargo_us).persist()
-    out = None
-    for fold in range(splits):
-        part = placed.where(F.col("fold") == fold)
-        learned = _assembled(part.where("part = 'train'"), features, label)
-        if learned.isEmpty():
-            break
-        model = _trees(trees, depth, seed).fit(learned)
-        scored = _judged(model.transform(_assembled(part.where("part = 'test'"), features, label)), ["fold"], label)
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        raise ValueError("there is no fold with enough rows")
-    return out
+    model = fit_trees(train, features, label, variant, seed, count)
+    scored = judged(model(test.dropna(subset=[*features, label])), keys, label)
+    return scored.withColumns({f"gain_{f}": F.lit(g) for f, g in model.gains.items()})

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickframe.functions import columns
-from tickframe.operators import checks, cohorts, features, folds, joins, labels, models
+from tickframe.operators import baseline, checks, cohorts, features, folds, joins, labels, models
 from tickframe.plans.queries import HOUR, MID, lead, register, rounded
 from tickframe.sources import tables
 from tickframe.views import view
@@ -410,8 +413,52 @@ SELECT fold::INT AS fold, run, count(*)::BIGINT AS n, round(CASE WHEN min(q) < m
 @register(_RUN, "scored")
 def walk_forward_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole baseline as one job: purged folds, ridge fits, predictions, and a control with labels dealt anew in training."""
+    return _baseline(spark, sf_dir).scores.where("fold IS NOT NULL").select("fold", "run", "n", F.round("ic", 3).alias("ic"), F.round("mse", 3).alias("mse"))
+
+
+def _baseline(spark: SparkSession, sf_dir: str, fit: baseline.Fit = baseline.ridge, features_: Sequence[str] = ("p_top", "p_depth")) -> baseline.Baseline:
     rows, train, test, splits = _walk_sizes(spark, sf_dir)
-    return models.walk_forward_ridge(rows, ["us", "event_id"], "event_id", _TWO, "actual", train, test, splits, 60_000_000).select("fold", "run", "n", F.round("ic", 3).alias("ic"), F.round("mse", 3).alias("mse"))
+    return baseline.run_baseline(rows, ["us", "event_id"], "event_id", features_, "actual", train, test, splits, 60_000_000, fit)
+
+
+@register(_WALK + """
+, q AS (SELECT fold, CASE WHEN place < stop THEN 'train' ELSE 'test' END AS part, future_us, us FROM s JOIN pl ON place < stop OR place >= first AND place < first + test),
+b AS (SELECT fold, count(*) FILTER (part = 'train') AS train_before, max(future_us) FILTER (part = 'train') AS last_label_before, count(*) FILTER (part = 'test') AS test, min(us) FILTER (part = 'test') AS test_first_us, max(us) FILTER (part = 'test') AS test_last_us FROM q GROUP BY fold),
+k AS (SELECT fold, count(*) AS train_after, max(us) AS last_train_us, max(future_us) AS last_label_after FROM p WHERE part = 'train' GROUP BY fold)
+SELECT b.fold::INT AS fold, train_before::BIGINT AS train_before, last_label_before, test::BIGINT AS test, test_first_us, test_last_us, train_after::BIGINT AS train_after, last_train_us, last_label_after FROM b JOIN k USING (fold)
+""", "scored")
+def walk_forward_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold log: what the purge takes away, and that no training label reaches into the test."""
+    return _baseline(spark, sf_dir).folds
+
+
+_PREDICTED = _RUN.split("\nrk AS")[0].rstrip().rstrip(",").replace("SELECT fold, run, round(w0", "SELECT fold, run, event_id, us, round(w0")
+
+
+@register(_PREDICTED + " SELECT fold::INT AS fold, run, event_id, us, round(q, 4) + 0 AS prediction, round(actual, 6) + 0 AS actual FROM pr", "scored")
+def walk_forward_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prediction rows of all folds, fitted and control."""
+    rows = _baseline(spark, sf_dir).predictions
+    return rows.select("fold", "run", "event_id", "us", (F.round("prediction", 4) + 0.0).alias("prediction"), (F.round("actual", 6) + 0.0).alias("actual"))
+
+
+@register(_PREDICTED + """
+, rk AS (SELECT *, rank() OVER (PARTITION BY run ORDER BY q) + (count(*) OVER (PARTITION BY run, q) - 1) / 2.0 AS rq, rank() OVER (PARTITION BY run ORDER BY actual) + (count(*) OVER (PARTITION BY run, actual) - 1) / 2.0 AS ra FROM pr)
+SELECT run, count(*)::BIGINT AS n, round(corr(rq, ra), 3) AS ic, round(avg((q - actual) * (q - actual)), 3) AS mse, round(avg(abs(actual)), 6) AS mean_abs_actual FROM rk GROUP BY run
+""", "scored")
+def walk_forward_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both runs over all folds at once, ranked by ranges."""
+    pooled = _baseline(spark, sf_dir).scores.where("fold IS NULL")
+    return pooled.select("run", "n", F.round("ic", 3).alias("ic"), F.round("mse", 3).alias("mse"), F.round("mean_abs_actual", 6).alias("mean_abs_actual"))
+
+
+@register(_PREDICTED + """
+, ft AS (SELECT q, actual FROM pr WHERE run = 'fitted'), ed AS (SELECT list_sort(list_distinct(quantile_cont(q, [0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM ft)
+SELECT greatest(0, len(list_filter(e[1:len(e)-1], lambda x: x < q)) - 1)::INT AS bin, count(*)::BIGINT AS n, round(avg(q), 4) AS mean_prediction, round(avg(actual), 4) AS mean_actual FROM ft, ed GROUP BY bin
+""", "scored")
+def walk_forward_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean outcome by fifths of the pooled predictions."""
+    return _baseline(spark, sf_dir).buckets.select("bin", "n", F.round("mean_prediction", 4).alias("mean_prediction"), F.round("mean_actual", 4).alias("mean_actual"))
 
 
 _WINDOWED = """
@@ -450,13 +497,13 @@ def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(None)
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient-boosted trees: fitted on the first two periods, scored on the last one, with gain shares by feature."""
+    """Gradient-boosted trees of every variant: fitted on the first two periods, scored on the last one, with gain shares."""
     rows = view(spark, sf_dir, "scored").where("actual IS NOT NULL")
-    return models.boosted_trees(rows.where("period <> 'P2'"), rows.where("period = 'P2'"), [*_TWO, "spread_bps"], "actual", ["symbol"], trees=10, depth=3)
+    each = [models.boosted_trees(rows.where("period <> 'P2'"), rows.where("period = 'P2'"), [*_TWO, "spread_bps"], "actual", ["symbol"], variant, count=10).withColumn("variant", F.lit(variant)) for variant in models.TREES]
+    return reduce(DataFrame.unionByName, each)
 
 
 @register(None)
 def walk_forward_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The walk-forward baseline with trees, one fit a fold."""
-    rows, train, test, _ = _walk_sizes(spark, sf_dir)
-    return models.walk_forward_trees(rows, ["us", "event_id"], [*_TWO, "spread_bps"], "actual", train, test, 2, 60_000_000, trees=5, depth=3)
+    """The walk-forward baseline with trees over all folds, beside the control."""
+    return _baseline(spark, sf_dir, baseline.trees("small", count=5), [*_TWO, "spread_bps"]).scores

@@ -25,6 +25,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame, name: str = "stored") -> DataFrame:
+    """The rows written once to the shared folder and read back: what follows scans columns in place of computing them again."""
+    path = work_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_partitions(df: DataFrame, path: str, keys: Sequence[str] = ("symbol", "day")) -> None:
     """One folder a partition, zstd. Only the partitions in `df` are replaced, each as a whole; others stay.
 
