@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickframe.operators.resampling import hashed, numbered
+
 from tickframe.operators.features import in_segment
 
 
@@ -46,6 +48,17 @@ def content(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("content_hash"))
 
 
+def ordered_digest(rows: DataFrame, order: Sequence[Column | str], content: Sequence[str]) -> DataFrame:
+    """(rows, digest) of a row set in an order: each row's hash takes its place in, so equal rows in other orders differ.
+
+    Places come from a sort by ranges, and the hashes are added up as exact numbers, in any order.
+    """
+    keyed = rows.select(*[F.col(o).alias(f"_o{i}") if isinstance(o, str) else o.alias(f"_o{i}") for i, o in enumerate(order)], *content)
+    placed = numbered(keyed, [f"_o{i}" for i in range(len(order))])
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in content]
+    return placed.agg(F.count("*").alias("rows"), F.sum(hashed("place", *fields).cast("decimal(20, 0)")).cast("string").alias("digest"))
+
+
 def funnel(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str) -> DataFrame:
     """rows, rows without finite features, rows that only lack the label, eligible rows."""
     good = F.lit(True)

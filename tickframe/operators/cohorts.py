@@ -32,13 +32,15 @@ def activity_state(train: DataFrame, rows: DataFrame, duration: str) -> DataFram
 
 
 def manifest(rows: DataFrame, keys: Sequence[str], content: Sequence[str]) -> DataFrame:
-    """Row count and an order-free digest of the content of each partition."""
+    """Row count, an order-free digest of the content and the content's types, of each partition."""
     digest = F.conv(F.substring(F.md5(F.concat_ws("|", *content)), 1, 15), 16, 10).cast("long")
-    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.bit_xor(digest).alias("digest"))
+    kinds = F.lit(rows.select(*content).schema.simpleString())
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.bit_xor(digest).alias("digest")).withColumn("types", kinds)
 
 
 def manifest_violations(declared: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Partitions that are missing, unexpected or changed."""
-    both = declared.select(*keys, F.struct("rows", "digest").alias("declared")).join(actual.select(*keys, F.struct("rows", "digest").alias("actual")), list(keys), "full_outer")
-    problem = F.when(F.col("actual").isNull(), "missing").when(F.col("declared").isNull(), "unexpected").when(F.col("declared") != F.col("actual"), "changed")
+    """Partitions that are missing, unexpected, of other types or changed."""
+    said = ("rows", "digest", "types")
+    both = declared.select(*keys, F.struct(*said).alias("declared")).join(actual.select(*keys, F.struct(*said).alias("actual")), list(keys), "full_outer")
+    problem = F.when(F.col("actual").isNull(), "missing").when(F.col("declared").isNull(), "unexpected").when(F.col("declared.types") != F.col("actual.types"), "types").when(F.col("declared") != F.col("actual"), "changed")
     return both.select(*keys, problem.alias("problem")).where("problem IS NOT NULL")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tickframe.operators.metrics import score_set
 
@@ -67,18 +68,43 @@ def ensembles(rows: DataFrame, keys: Sequence[str], identity: Sequence[str], see
 
 
 def score_windows(rows: DataFrame, identity: str, model: Callable[[np.ndarray], np.ndarray], length: int, width: int) -> DataFrame:
-    """(identity, prediction): a stored model on batches of windows, each an array of `length` states of `width` numbers.
+    """(identity, prediction): a model on batches of windows, each an array of `length` states of `width` numbers.
 
     The model takes an array (rows, length, width) and gives one number a row; batches come as Arrow.
     """
+    run = predict_batch_udf(lambda: lambda flat: np.asarray(model(flat.reshape(-1, length, width)), float), return_type=DoubleType(), batch_size=4096, input_tensor_shapes=[[length * width]])
+    state: Column = F.flatten(F.transform("window", lambda s: F.array(*[s[f].cast("double") for f in _fields(rows)])))
+    return rows.select(identity, run(state).alias("prediction"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            states = batch.column("flat").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, length, width)
-            yield pa.RecordBatch.from_arrays([batch.column(identity), pa.array(np.asarray(model(states), float))], [identity, "prediction"])
 
-    state: Column = F.flatten(F.transform("window", lambda s: F.array(*[s[f] for f in _fields(rows)])))
-    return rows.select(identity, state.alias("flat")).mapInArrow(run, f"{identity} {dict(rows.dtypes)[identity]}, prediction double")
+#: The parts of a stored recurrent cell, each a matrix or vector by row.
+CELL = ("input", "hidden", "bias", "out", "offset")
+
+
+def store_cell(spark: SparkSession, weights: dict[str, np.ndarray], path: str) -> None:
+    """A recurrent cell as a table (part, row, values) of a few kilobytes."""
+    if set(weights) != set(CELL):
+        raise ValueError(f"a cell has {', '.join(CELL)}")
+    rows = [(part, i, [float(x) for x in row]) for part in CELL for i, row in enumerate(np.atleast_2d(weights[part]))]
+    spark.createDataFrame(rows, "part string, row int, values array<double>").coalesce(1).write.parquet(path)
+
+
+def load_cell(spark: SparkSession, path: str) -> Callable[[np.ndarray], np.ndarray]:
+    """The stored cell as a model of windows: h = tanh(input x + hidden h + bias) over the states, then out h + offset."""
+    found: dict[str, dict[int, list[float]]] = {}
+    for part, row, values in spark.read.parquet(path).collect():
+        found.setdefault(part, {})[row] = values
+    if set(found) != set(CELL):
+        raise ValueError("the stored model is no cell")
+    w = {part: np.array([rows[i] for i in range(len(rows))]) for part, rows in found.items()}
+
+    def model(states: np.ndarray) -> np.ndarray:
+        h = np.zeros((len(states), len(w["hidden"])))
+        for k in range(states.shape[1]):
+            h = np.tanh(states[:, k] @ w["input"].T + h @ w["hidden"].T + w["bias"][0])
+        return h @ w["out"][0] + w["offset"][0, 0]
+
+    return model
 
 
 def _fields(rows: DataFrame) -> list[str]:

@@ -148,7 +148,7 @@ _CONTENT = ["event_index", "us", "event_id"]
 
 
 @register("""
-SELECT symbol, day, count(*)::BIGINT AS rows, bit_xor(('0x' || substr(md5(concat_ws('|', event_index, us, event_id)), 1, 15))::BIGINT) AS digest FROM quotes GROUP BY symbol, day
+SELECT symbol, day, count(*)::BIGINT AS rows, bit_xor(('0x' || substr(md5(concat_ws('|', event_index, us, event_id)), 1, 15))::BIGINT) AS digest, 'struct<event_index:int,us:bigint,event_id:bigint>' AS types FROM quotes GROUP BY symbol, day
 """, "quotes")
 def partition_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts.manifest(view(spark, sf_dir, "quotes"), ["symbol", "day"], _CONTENT)

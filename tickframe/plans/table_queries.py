@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,9 +71,24 @@ def prediction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT count(DISTINCT symbol || day)::BIGINT AS partitions, count(*)::BIGINT AS rows, min(day) AS first_day, max(day) AS last_day FROM quotes", "quotes")
 def preparation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of a manifest: what a preparation run reports."""
-    made = view(spark, sf_dir, "quotes").groupBy("symbol", "day").agg(F.count("*").alias("rows"))
-    return made.agg(F.count("*").alias("partitions"), F.sum("rows").alias("rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    """What a preparation run reports of its rows, taken while they are written."""
+    quotes = view(spark, sf_dir, "quotes").select("symbol", "day", *_ROW)
+    found = tables.write_with_totals(quotes, tables.work_folder(spark, "totals"), {"rows": F.count("*"), "first_day": F.min("day"), "last_day": F.max("day")})
+    return spark.createDataFrame([tuple(found[n] for n in ("partitions", "rows", "first_day", "last_day"))], "partitions long, rows long, first_day string, last_day string")
+
+
+_DIGEST = "sum(('0x' || substr(md5(concat_ws(':', place, event_id, us, bid_px_1::VARCHAR)), 1, 15))::HUGEINT)::VARCHAR"
+
+
+@register(f"""
+, f AS (SELECT *, row_number() OVER (ORDER BY us, event_id) - 1 AS place FROM quotes), b AS (SELECT *, row_number() OVER (ORDER BY us DESC, event_id DESC) - 1 AS place FROM quotes)
+SELECT 'forward' AS name, count(*)::BIGINT AS rows, {_DIGEST} AS digest FROM f UNION ALL SELECT 'backward', count(*)::BIGINT, {_DIGEST} FROM b
+""", "quotes")
+def ordered_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows in two orders have two digests."""
+    quotes, content = view(spark, sf_dir, "quotes"), ["event_id", "us", "bid_px_1"]
+    forward = checks.ordered_digest(quotes, ["us", "event_id"], content).withColumn("name", F.lit("forward"))
+    return forward.unionByName(checks.ordered_digest(quotes, [-F.col("us"), -F.col("event_id")], content).withColumn("name", F.lit("backward")))
 
 
 # ---- coercion, units and per-row checks
@@ -495,6 +511,28 @@ def scored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.score_windows(rows.select("event_id", "window"), "event_id", lambda x: x[:, :, 0] @ [0.25, 0.75], 2, 1))
 
 
+_CELL = {"input": [[0.8], [-0.5]], "hidden": [[0.3, -0.2], [0.1, 0.4]], "bias": [0.05, -0.1], "out": [1.5, -0.7], "offset": [0.02]}
+
+
+def _cell_sql() -> str:
+    """The cell written out over three states."""
+    steps, before = [], ("0", "0")
+    for k, x in enumerate(("x0", "x1", "x2")):
+        h = [f"tanh({_CELL['input'][i][0]} * {x} + {_CELL['hidden'][i][0]} * {before[0]} + {_CELL['hidden'][i][1]} * {before[1]} + {_CELL['bias'][i]})" for i in (0, 1)]
+        steps.append(f", h{k} AS (SELECT *, {h[0]} AS a{k}, {h[1]} AS b{k} FROM {'w3' if k == 0 else f'h{k - 1}'})")
+        before = (f"a{k}", f"b{k}")
+    return "".join(steps) + f" SELECT event_id, round({_CELL['out'][0]} * a2 + {_CELL['out'][1]} * b2 + {_CELL['offset'][0]}, 6) AS prediction FROM h2 WHERE x0 IS NOT NULL"
+
+
+@register(", w3 AS (SELECT event_id, lag(p_top, 2) OVER s AS x0, lag(p_top) OVER s AS x1, p_top AS x2 FROM scored WINDOW s AS (PARTITION BY symbol, day, segment ORDER BY event_index))" + _cell_sql(), "scored")
+def recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recurrent cell that was stored as a table, loaded once and applied to windows of three states."""
+    path = tables.work_folder(spark, "cell")
+    models.store_cell(spark, {k: np.array(v) for k, v in _CELL.items()}, path)
+    rows = features.causal_windows(view(spark, sf_dir, "scored"), ["p_top"], 3)
+    return rounded(models.score_windows(rows.select("event_id", "window"), "event_id", models.load_cell(spark, path), 3, 1))
+
+
 @register(None)
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted trees of every variant: fitted on the first two periods, scored on the last one, with gain shares."""
