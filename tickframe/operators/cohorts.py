@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,17 @@ def manifest_violations(declared: DataFrame, actual: DataFrame, keys: Sequence[s
     both = declared.select(*keys, F.struct(*said).alias("declared")).join(actual.select(*keys, F.struct(*said).alias("actual")), list(keys), "full_outer")
     problem = F.when(F.col("actual").isNull(), "missing").when(F.col("declared").isNull(), "unexpected").when(F.col("declared.types") != F.col("actual.types"), "types").when(F.col("declared") != F.col("actual"), "changed")
     return both.select(*keys, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def window_funnel(runs: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, length: int, stride: int) -> DataFrame:
+    """Counts of states by what bars them from being scored, in this order: a run shorter than `length`, a feature in the window
+    that is NULL, NaN or infinite, and, of the rows at the stride, a missing label. `runs` has run_id and run_length."""
+    bad = F.lit(False)
+    for f in features:
+        bad = bad | F.col(f).isNull() | F.isnan(f) | (F.abs(f) == float("inf"))
+    window = Window.partitionBy("symbol", "day", "segment", "run_id").orderBy("event_index").rowsBetween(-(length - 1), 0)
+    marked = runs.withColumn("_bad", F.max(F.coalesce(bad, F.lit(True))).over(window))
+    full = F.col("run_length") >= length
+    good, due = full & ~F.col("_bad"), F.col("event_index") % stride == 0
+    has = F.col(label).isNotNull()
+    return marked.groupBy(*keys).agg(F.count("*").alias("states"), F.count_if(~full).alias("short_or_broken"), F.count_if(full & F.col("_bad")).alias("nonfinite_window"), F.count_if(good).alias("valid_windows"), F.count_if(good & due & ~has).alias("unscorable_label"), F.count_if(good & due & has).alias("scored"))

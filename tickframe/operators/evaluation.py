@@ -174,6 +174,24 @@ def pooled_mean(cells: DataFrame, keys: Sequence[str], value: str, weight: str)
     return cells.groupBy(*keys).agg(F.avg(value).alias("equal_mean"), F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(own)).alias("pooled_mean"), F.sum(weight).alias("rows"))
 
 
+def edge_and_costs(cells: DataFrame, keys: Sequence[str], weight: str = "selected", tolerance: float = 1e-6) -> DataFrame:
+    """Components of the selected rows' outcome by cell set: gross, both half-spreads and net, each as the mean of blocks with equal
+    weight and weighted by selected rows, with the break-even cost (what is left of gross before costs eat it).
+
+    Net must be gross less both half-spreads in either mean; a larger difference than `tolerance` is an error. Blocks without a
+    selected row count as blocks and have no part in the means.
+    """
+    parts = ("gross_bps", "entry_half_bps", "exit_half_bps", "net_bps")
+    own = F.when(F.col("net_bps").isNotNull(), F.col(weight))
+    means = [F.avg(x).alias(f"equal_{x}") for x in parts] + [F.try_divide(F.sum(F.col(x) * F.col(weight)), F.sum(own)).alias(f"pooled_{x}") for x in parts]
+    out = cells.groupBy(*keys).agg(F.count("*").alias("blocks"), F.count("net_bps").alias("defined"), F.sum(own).alias("rows"), *means)
+    for kind in ("equal", "pooled"):
+        gap = F.abs(F.col(f"{kind}_net_bps") - (F.col(f"{kind}_gross_bps") - F.col(f"{kind}_entry_half_bps") - F.col(f"{kind}_exit_half_bps")))
+        checked = F.when(gap > tolerance, F.raise_error(F.lit("components do not add up")).cast("double")).otherwise(F.col(f"{kind}_net_bps"))
+        out = out.withColumn(f"{kind}_net_bps", checked)
+    return out.withColumn("pooled_cost_bps", F.col("pooled_entry_half_bps") + F.col("pooled_exit_half_bps"))
+
+
 def delay_matrix(cells: DataFrame, grid: DataFrame, keys: Sequence[str], block: Sequence[str], value: str, weight: str) -> DataFrame:
     """Per arm and delay: strict equal-cell mean, pooled mean, expected and defined cells, and the undefined ones by name."""
     joined = grid.join(cells, [*keys, *block], "left")

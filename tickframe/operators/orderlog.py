@@ -75,6 +75,14 @@ def books(log: DataFrame, levels: int = 10) -> DataFrame:
     return replay_orders(log, levels).select(*DAY, "event_index", "us", "action", "epoch", "barriers", "bids", "asks", "unpriced")
 
 
+def book_states(log: DataFrame, levels: int = 1 << 20) -> DataFrame:
+    """A SHA-256 of the book after each message (all levels up to `levels` a side with quantity and orders, and the number of
+    unpriced orders), with the levels that it covers."""
+    side = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["px"], x["sz"], x["orders"])), ",")
+    rows = books(log, levels)
+    return rows.withColumns({"bid_levels": F.size("bids"), "ask_levels": F.size("asks"), "state": F.sha2(F.concat_ws("|", side("bids"), side("asks"), "unpriced"), 256)})
+
+
 def snapshots(log: DataFrame, levels: int = 10, zone: str | None = None, opens: str = "10:00", closes: str = "16:00") -> DataFrame:
     """Valid books of a day by segments, with the smallest gap of neighbouring levels so far (`tick`)."""
     return replay_orders(log, levels, zone, opens, closes).where("valid").select(*DAY, "event_index", "us", "barriers", "bids", "asks", "segment", "tick")

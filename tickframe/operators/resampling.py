@@ -96,6 +96,16 @@ def strict_paired(cells: DataFrame, grid: DataFrame, block: Sequence[str], arm:
     return joined.agg(F.count("*").alias("expected"), F.count("delta").alias("defined"), F.when(whole, F.avg("delta")).alias("mean_delta"), F.when(whole, F.expr("percentile(delta, 0.5)")).alias("median_delta"))
 
 
+def strict_without(cells: DataFrame, grid: DataFrame, block: Sequence[str], member: str, arm: str, left: str, right: str, value: str) -> DataFrame:
+    """The strict mean delta without each member of the grid (a stock or a period), by sums: NULL unless all other blocks have
+    both arms. Members are few; their sums meet in one small table."""
+    wide = cells.where(F.col(arm).isin(left, right)).groupBy(*block).pivot(arm, [left, right]).agg(F.first(value)).withColumn("delta", F.col(left) - F.col(right)).select(*block, "delta")
+    each = grid.join(wide, list(block), "left").groupBy(member).agg(F.count("*").alias("_n"), F.count("delta").alias("_d"), F.coalesce(F.sum("delta"), F.lit(0.0)).alias("_s"))
+    total = F.broadcast(each.agg(F.sum("_n").alias("n"), F.sum("_d").alias("d"), F.sum("_s").alias("s")))
+    rest = each.join(total).select(member, (F.col("n") - F.col("_n")).alias("expected"), (F.col("d") - F.col("_d")).alias("defined"), (F.col("s") - F.col("_s")).alias("s"))
+    return rest.select(member, "expected", "defined", F.when((F.col("expected") == F.col("defined")) & (F.col("expected") > 0), F.col("s") / F.col("expected")).alias("mean_without"))
+
+
 def tail_contrast(buckets: DataFrame, keys: Sequence[str], value: str, bins: int) -> DataFrame:
     """Mean of the two outer bins less that of the two central ones; NULL unless all bins exist."""
     at = lambda *b: F.avg(F.when(F.col("bin").isin(*b), F.col(value)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.operators import evaluation, joins, labels, metrics, resampling
+from tickframe.operators import baseline, evaluation, joins, labels, metrics, resampling
 from tickframe.operators.features import in_segment
 from tickframe.plans.queries import MID, lead, register, rounded
 from tickframe.views import view
@@ -48,8 +50,8 @@ def grouped_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_CLEAN.replace("SELECT *", "SELECT *, 'all' AS pool") + _ranked("pool") + f"SELECT pool, {_SCORES} FROM r GROUP BY pool", "scored")
 def pooled_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One score over all stocks' predictions together."""
-    return rounded(metrics.score_set(view(spark, sf_dir, "scored").withColumn("pool", F.lit("all")), ["pool"], "p_top", "actual"))
+    """One score over all stocks' predictions together, ranked by ranges."""
+    return rounded(baseline.pooled_scores(view(spark, sf_dir, "scored").withColumn("pool", F.lit("all")), ["pool"], "p_top", "actual").drop("mse"))
 
 
 def _binned(keys: str, bins: int, rows: str = "c", value: str = "p_top") -> str:
@@ -231,6 +233,21 @@ def pooled_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.pooled_mean(_cells(spark, sf_dir), ["arm", "delay"], "v", "n"))
 
 
+def _edge_sql(keys: str) -> str:
+    parts = ("gross_bps", "entry_half_bps", "exit_half_bps", "net_bps")
+    means = ", ".join([f"round(avg({x}), 6) AS equal_{x}, round(sum({x} * selected) / nullif(sum(selected) FILTER (net_bps IS NOT NULL), 0), 6) AS pooled_{x}" for x in parts])
+    return f"""SELECT {keys}, count(*)::BIGINT AS blocks, count(net_bps)::BIGINT AS defined, (sum(selected) FILTER (net_bps IS NOT NULL))::BIGINT AS rows, {means},
+  round((sum(entry_half_bps * selected) + sum(exit_half_bps * selected)) / nullif(sum(selected) FILTER (net_bps IS NOT NULL), 0), 6) AS pooled_cost_bps FROM z GROUP BY {keys}"""
+
+
+@register("".join(f", y{d} AS ({_costs_sql(d, 5 + d)}), w{d} AS (SELECT *, abs(p) > 0.3 AND g IS NOT NULL AS k FROM y{d}), z{d} AS (SELECT symbol, day, {d} AS latency, {_SELECTED} FROM w{d} GROUP BY symbol, day)" for d in (0, 1, 5)) + ", z AS (SELECT * FROM z0 UNION ALL SELECT * FROM z1 UNION ALL SELECT * FROM z5) " + _edge_sql("latency"), "quotes")
+def edge_vs_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge and costs by delay, from blocks of a stock and a day."""
+    predicted = _predicted(spark, sf_dir)
+    cells = [evaluation.selected_costs(labels.cost_components(predicted, 5, d), ["symbol", "day"], "p", 0.3).withColumn("latency", F.lit(d)) for d in (0, 1, 5)]
+    return rounded(evaluation.edge_and_costs(reduce(DataFrame.unionByName, cells), ["latency"]))
+
+
 @register(_CELLS + ", x AS (SELECT symbol, day, arm, sum(n) AS n FROM cells GROUP BY ALL) SELECT symbol, day, min(n)::BIGINT AS least, max(n)::BIGINT AS most, count(*)::BIGINT AS arms FROM x GROUP BY symbol, day HAVING min(n) <> max(n)", "scored")
 def unequal_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock-days whose arms do not select the same number of rows."""
@@ -267,6 +284,27 @@ def _pick(parts: str, modulus: str) -> str:
     return f"('0x' || substr(md5(concat_ws(':', {parts})), 1, 15))::BIGINT % ({modulus})"
 
 
+@register(_DELTAS + "SELECT s.period, round(avg(d.delta), 6) AS mean_without FROM (SELECT DISTINCT period FROM dl) s JOIN dl d ON s.period <> d.period GROUP BY s.period", "scored")
+def leave_one_period_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean difference of two arms without each period."""
+    return rounded(metrics.leave_one_out(_deltas(spark, sf_dir), "period"))
+
+
+@register(_CELLS + """
+, pc AS (SELECT symbol, period, arm, avg(v) AS v FROM cells WHERE NOT (symbol = 'S2' AND period = 'P0' AND arm = 'top') GROUP BY ALL), gr AS (SELECT s.symbol, p.period FROM (SELECT DISTINCT symbol FROM cells) s CROSS JOIN (SELECT DISTINCT period FROM cells) p),
+dl AS (SELECT gr.symbol, gr.period, a.v - b.v AS delta FROM gr LEFT JOIN (SELECT * FROM pc WHERE arm = 'top') a USING (symbol, period) LEFT JOIN (SELECT * FROM pc WHERE arm = 'depth') b USING (symbol, period))
+SELECT 'symbol' AS axis, m.symbol AS member, count(*)::BIGINT AS expected, count(delta)::BIGINT AS defined, CASE WHEN count(*) = count(delta) THEN round(avg(delta), 6) END AS mean_without FROM (SELECT DISTINCT symbol FROM gr) m JOIN dl ON dl.symbol <> m.symbol GROUP BY m.symbol
+UNION ALL SELECT 'period', m.period, count(*)::BIGINT, count(delta)::BIGINT, CASE WHEN count(*) = count(delta) THEN round(avg(delta), 6) END FROM (SELECT DISTINCT period FROM gr) m JOIN dl ON dl.period <> m.period GROUP BY m.period
+""", "scored")
+def strict_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strict difference without each stock and without each period; one block lacks an arm, so few members stay defined."""
+    cells = _cells(spark, sf_dir).where("NOT (symbol = 'S2' AND period = 'P0' AND arm = 'top')").groupBy("symbol", "period", "arm").agg(F.avg("v").alias("v"))
+    rows = _cells(spark, sf_dir)
+    grid = rows.select("symbol").distinct().join(F.broadcast(rows.select("period").distinct()))
+    each = [resampling.strict_without(cells, grid, ["symbol", "period"], m, "arm", "top", "depth", "v").withColumnRenamed(m, "member").withColumn("axis", F.lit(m)) for m in ("symbol", "period")]
+    return rounded(reduce(DataFrame.unionByName, each))
+
+
 @register(_DELTAS + f"""
 , pl AS (SELECT row_number() OVER (ORDER BY symbol, day) - 1 AS place, delta FROM dl), n AS (SELECT count(*) AS n FROM pl),
 dr AS (SELECT d.id, {_pick("'7', d.id, i.i", "n.n")} AS place FROM range(10000) d(id) CROSS JOIN n CROSS JOIN LATERAL (SELECT unnest(range(n.n)) AS i) i), m AS (SELECT id, avg(delta) AS m FROM dr JOIN pl USING (place) GROUP BY id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.operators import cohorts, features, queues
+from tickframe.operators import cohorts, features, labels, queues
 from tickframe.plans.queries import _VERSIONS, HOUR, MID, lead, register, rounded
 from tickframe.sources import feed
 from tickframe.sources.tables import work_folder
@@ -166,12 +166,14 @@ def manifest_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts.manifest_violations(make(quotes), make(actual), ["symbol", "day"])
 
 
-@register("""
-, r AS (SELECT symbol, day, row_number() OVER (PARTITION BY symbol, day, segment ORDER BY event_index) AS k, event_index FROM quotes)
-SELECT symbol, day, count(*)::BIGINT AS states, count(*) FILTER (k >= 8)::BIGINT AS valid_windows, count(*) FILTER (k >= 8 AND event_index % 20 = 0)::BIGINT AS scored, count(*) FILTER (k < 8)::BIGINT AS short_or_broken FROM r GROUP BY symbol, day
+@register(f"""
+, r AS (SELECT *, row_number() OVER s AS k, max((event_id % 50 = 0)::INT) OVER (PARTITION BY symbol, day, segment ORDER BY event_index ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS bad, {lead(MID, 5)} IS NULL AS open_label FROM quotes WINDOW s AS (PARTITION BY symbol, day, segment ORDER BY event_index))
+SELECT symbol, day, count(*)::BIGINT AS states, count(*) FILTER (k < 8)::BIGINT AS short_or_broken, count(*) FILTER (k >= 8 AND bad = 1)::BIGINT AS nonfinite_window, count(*) FILTER (k >= 8 AND bad = 0)::BIGINT AS valid_windows,
+  count(*) FILTER (k >= 8 AND bad = 0 AND event_index % 20 = 0 AND open_label)::BIGINT AS unscorable_label, count(*) FILTER (k >= 8 AND bad = 0 AND event_index % 20 = 0 AND NOT open_label)::BIGINT AS scored FROM r GROUP BY symbol, day
 """, "quotes")
 def window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with eight valid messages behind them, and those at the scoring stride of 20."""
-    runs = features.valid_runs(view(spark, sf_dir, "quotes"), "true")
-    full = F.col("run_length") >= 8
-    return runs.groupBy("symbol", "day").agg(F.count("*").alias("states"), F.count_if(full).alias("valid_windows"), F.count_if(full & (F.col("event_index") % 20 == 0)).alias("scored"), F.count_if(~full).alias("short_or_broken"))
+    """What becomes of every state: too few valid messages behind it, a window with a value that is no number (one in fifty
+    messages has one), a stride of 20 without a label, or scored."""
+    quotes = view(spark, sf_dir, "quotes").withColumn("x", F.when(F.col("event_id") % 50 == 0, float("nan")).otherwise(F.col("bid_sz_1")))
+    rows = labels.offset_markouts(quotes, [5])
+    return cohorts.window_funnel(features.valid_runs(rows, "true"), ["symbol", "day"], ["x"], "markout_5", 8, 20)

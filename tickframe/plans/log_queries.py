@@ -53,6 +53,15 @@ def book_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", "day", "event_index", "segment", "tick", "barriers", _packed("bids").alias("bids"), _packed("asks").alias("asks"))
 
 
+@register(_LEVELS + """
+, bz AS (SELECT symbol, day, event_index, unpriced, coalesce(bp, []) AS bp, coalesce(bq, []) AS bq, coalesce(bn, []) AS bn, coalesce(ap, []) AS ap, coalesce(aq, []) AS aq, coalesce(an, []) AS an FROM bk)
+SELECT symbol, day, event_index, len(bp)::INT AS bid_levels, len(ap)::INT AS ask_levels, sha256(concat_ws('|', array_to_string(list_transform(range(1, len(bp) + 1), lambda i: concat_ws(':', bp[i], bq[i], bn[i])), ','), array_to_string(list_transform(range(1, len(ap) + 1), lambda i: concat_ws(':', ap[i], aq[i], an[i])), ','), unpriced::BIGINT)) AS state FROM bz
+""", "log")
+def book_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of the whole book after each message: every level with its quantity and orders, and the unpriced orders."""
+    return orderlog.book_states(view(spark, sf_dir, "log")).select("symbol", "day", "event_index", "bid_levels", "ask_levels", "state")
+
+
 @register(_SNAPSHOTS.replace("bp[1] < ap[1]", "bp[1] < ap[1] AND (us // 1000000 + 3600) % 86400 BETWEEN 36000 AND 57599") + f"""
 , sg AS (SELECT symbol, day, count(*) AS snapshot_rows, sum(s) AS segments FROM fg GROUP BY ALL)
 SELECT symbol, day, count(*)::BIGINT AS source_rows, {", ".join(f"count(*) FILTER (action = '{a}')::BIGINT AS n_{a.lower()}" for a in "FAYMD")}, count(*) FILTER (NOT (us // 1000000 + 3600) % 86400 BETWEEN 36000 AND 57599)::BIGINT AS outside_window,
