@@ -27,6 +27,8 @@ from tickframe.llm.common import cut_lineage, remainder, slices, small_batches,
 class KneserNey:
     order: int = 5
     discount: float = 0.75
+    #: Labelled texts of each class that are counted, at most (drawn by a hash of doc_id): it bounds the tables that every task gets.
+    learned: int = 200_000
     #: Labelled rows on which the score is calibrated, at most; they take no part in the counts.
     calibration: int = 20_000
     #: Up to so many labels (about 16 bytes each) go to the texts; more of them, and both sides are shuffled.
@@ -152,7 +154,7 @@ def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def score_tables(ratios: DataFrame, settings: KneserNey) -> dict[int, Table]:
     """Per n-gram length the ratios of n-grams and, for the order above, the backoff ratios of contexts.
 
-    The tables hold every n-gram, so what the driver and the tasks get grows with the n-grams counted.
+    The tables hold every n-gram of the counted texts, whose number `learned` bounds.
     """
     parts: dict[int, tuple[list, list]] = {k: ([], []) for o in range(2, settings.order + 1) for k in (o, -o)}
     for row in ratios.select("order", "gram", "ratio").coalesce(64).mapInArrow(_pack, "order int, grams binary, ratios binary").collect():
@@ -243,9 +245,8 @@ def calibrate(x: np.ndarray, size: np.ndarray, y: np.ndarray) -> Curve:
 def score_toxicity(docs: DataFrame, labels: DataFrame, settings: KneserNey = KneserNey()) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted, log_ratio.
 
-    Learns from labelled rows whose crc32(doc_id) mod 5 is not 0: remainders 1 to 3 give the counts, remainder 4 (at most
-    `calibration` rows) the logistic curve from log ratio and
-    length to score. Null labels are left out; of several labels of one
+    Learns from labelled rows whose crc32(doc_id) mod 5 is not 0: remainders 1 to 3 give the counts (at most `learned` rows of
+    each class), remainder 4 (at most `calibration` rows) the logistic curve from log ratio and length to score. Null labels are left out; of several labels of one
     doc_id the largest counts. Null, empty and one-character texts have a log ratio of 0. With no labels, or labels of
     one class only, scores tell nothing and stay on one side of 0.5. A null doc_id is neither learned from nor held out.
     """
@@ -257,7 +258,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: KneserNey = Kne
     known = cut_lineage(known)
     if known.count() <= settings.broadcast_labels:
         known = F.broadcast(known)
-    learned = own.where(fold.between(1, 3)).join(known, "doc_id").select("toxic", "text")
+    counted = known.where(fold.between(1, 3))
+    drawn = F.pmod(F.xxhash64(F.lit("learn"), "doc_id"), F.lit(1 << 20))
+    share = F.lit(0)
+    for kind, n in counted.groupBy("toxic").count().collect():
+        share = F.when(F.col("toxic") == kind, int(min(1.0, settings.learned / n) * (1 << 20))).otherwise(share)
+    learned = own.where(fold.between(1, 3)).join(counted.where(drawn < share), "doc_id").select("toxic", "text")
     tables = score_tables(log_ratios(cut_lineage(ngram_table(learned, settings)), settings), settings)
     shared = spark.sparkContext.broadcast(tables)
     share = min(1.0, settings.calibration / max(known.where(fold == 4).count(), 1))
