@@ -160,6 +160,41 @@ def test_disclosing_terms_by_brute_force(spark):
     assert (out.spans.sort_index() == joined.spans.sort_index()).all()
 
 
+def test_contexts_merge_over_chains(spark):
+    """With a reach of 3 a half is one word: contexts are linked by the words next to an entity, and by those after them."""
+    rng = random.Random(12)
+    sides = []
+    for d in range(4):
+        # A chain of 40 contexts that share every other nearest word to the left, or to the right; then loose words.
+        sides += [(d, ["acme", f"p{d}x{i}", f"l{d}x{i // 2}"], [f"r{d}x{(i + 1) // 2}", f"q{d}x{i}", "acme"]) for i in range(40)]
+        sides += [(d, ["firm", *(f"w{rng.randrange(60)}" for _ in range(2))], [*(f"w{rng.randrange(60)}" for _ in range(2)), f"firm{d}"]) for _ in range(25)]
+    rows = [(i, f"{' '.join(left)} one@d{d}.example {' '.join(right)}", None, None) for i, (d, left, right) in enumerate(sides)]
+    rng.shuffle(rows)
+    groups = defaultdict(dict)
+    for d, left, right in sides:
+        own = groups[d]
+        own[tuple(left), tuple(right)] = {("a", left[2]), ("b", left[1]), ("c", right[0]), ("d", right[1])}
+    both, n_entity = Counter(), Counter()
+    for d, own in groups.items():
+        label = {c: k for k, c in enumerate(own)}
+        while True:
+            pairs = [(x, y) for x in own for y in own if own[x] & own[y] and label[x] < label[y]]
+            if not pairs:
+                break
+            for x, y in pairs:
+                label[y] = min(label[x], label[y])
+        n_entity[d] = len(set(label.values()))
+        for t in {w for left, right in own for w in (*left, *right)}:
+            both[d, t] = len({label[c] for c in own if t in (*c[0], *c[1])})
+    assert min(n_entity.values()) > 4 and all(both[d, "acme"] == 1 for d in range(4))
+    total, terms = sum(n_entity.values()), Counter()
+    for (_, t), n in both.items():
+        terms[t] += n
+    want = {(e, t) for (d, t), n in both.items() if n >= 3 and math.log(total * n / (n_entity[d] * terms[t])) >= 0.5 * math.log(total / n_entity[d]) for e in (f"email:one@d{d}.example", f"email-group:d{d}.example")}
+    found = {(r["entity"], r["term"]) for r in pii.disclosing_terms(frame(spark, rows), pii.Disclosure(threshold=0.5, least_contexts=3, reach=3)).collect()}
+    assert found == want and {t for _, t in want} >= {f"firm{d}" for d in range(4)}
+
+
 # ---- languages
 
 

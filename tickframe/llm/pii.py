@@ -7,8 +7,8 @@ value of a base span and what identifies its group: an e-mail address's domain,
 first six digits, a phone number's first five. Exact values seldom recur often enough to be judged; groups do.
 
 A context of an entity is the pair of its nearest terms on either side, so copies of one passage count once. Contexts of
-an entity that share half a side (`reach` / 2 terms in a row, at the same distance) are merged, as a passage that was copied
-with small changes says no more about its terms than one copy. A term needs `least_contexts` merged contexts, however
+an entity that share half a side (`reach` / 2 terms in a row, at the same distance) are merged, also over chains of others,
+as a passage that was copied with small changes says no more about its terms than one copy. A term needs `least_contexts` merged contexts, however
 often each occurs, so copies never take a term away. Contexts are counted over all documents.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import cut_lineage, slices, small_batches, texts
+from tickframe.llm.neardup import components
 
 # The four kinds in their order, with their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -179,13 +180,15 @@ def _contexts(rules: Disclosure):
 
 
 def _merged(seen: DataFrame) -> DataFrame:
-    """(of, in_context, merged): per entity each context's representative among those that share half a side, in three steps."""
-    own = cut_lineage(seen.where("term = ''").select("entity", "context", F.explode_outer("halves").alias("half"), F.col("context").alias("merged")))
-    for _ in range(3):
-        by_half = own.where("half IS NOT NULL").groupBy(F.col("entity").alias("e"), F.col("half").alias("h")).agg(F.min("merged").alias("least"))
-        best = own.join(by_half, (F.col("entity") == F.col("e")) & (F.col("half") == F.col("h")), "left").groupBy("entity", "context").agg(F.min(F.coalesce("least", "merged")).alias("merged"))
-        own = cut_lineage(own.drop("merged").join(best, ["entity", "context"]))
-    return own.groupBy(F.col("entity").alias("of"), F.col("context").alias("in_context")).agg(F.min("merged").alias("merged"))
+    """(of, in_context, merged): the contexts of an entity that share half a side with another one, each with the least
+    context that it reaches over shared halves, however many of them lie between.
+    """
+    node = F.struct("entity", "context")
+    own = cut_lineage(seen.where("term = ''").select(node.alias("a"), "entity", F.explode("halves").alias("half")))
+    # All contexts of a half are linked to its least one; that makes stars, and no pairs within a half.
+    heads = own.groupBy(F.col("entity").alias("of"), F.col("half").alias("of_half")).agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    reached = components(own.join(heads, (F.col("entity") == F.col("of")) & (F.col("half") == F.col("of_half"))).select("a", "b"))
+    return reached.select(F.col("node.entity").alias("of"), F.col("node.context").alias("in_context"), F.col("component.context").alias("merged"))
 
 
 def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
@@ -197,7 +200,7 @@ def disclosing_terms(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataF
     count once; null and empty texts and empty tables have no terms.
     """
     seen = cut_lineage(docs.select("text").mapInArrow(_contexts(rules), "entity string, term string, context long, halves array<long>").groupBy("entity", "term", "context").agg(F.first("halves").alias("halves")))
-    alike = seen.join(_merged(seen), (F.col("entity") == F.col("of")) & (F.col("context") == F.col("in_context")))
+    alike = seen.join(_merged(seen), (F.col("entity") == F.col("of")) & (F.col("context") == F.col("in_context")), "left").withColumn("merged", F.coalesce("merged", "context"))
     level = F.split_part("entity", F.lit(":"), F.lit(1)).endswith("-group").alias("level")
     pairs = cut_lineage(alike.groupBy("entity", "term").agg(F.count_distinct("merged").alias("both")).withColumn("level", level))
     entity = pairs.where("term = ''").select(F.col("entity").alias("of_entity"), F.col("both").alias("n_entity"))
