@@ -57,27 +57,35 @@ def same(df, sql, rows):
 
 def test_line_dedup(docs, rows):
     same(linededup.dedup_lines(docs), linededup.SQL, rows)
-    # Without broadcast the hashes meet in a join, with the same result.
-    same(linededup.dedup_lines(docs, -1), linededup.SQL, rows)
+    # However the rows are dealt: repeats within a slice, across tasks, or both.
+    for parts in (1, 7):
+        same(linededup.dedup_lines(docs.repartition(parts, "doc_id")), linededup.SQL, rows)
     kept = linededup.drop_repeated_lines(docs)
     assert kept.schema == docs.schema and kept.count() == len(rows)
 
 
 def test_line_filter_holds_every_repeated_hash():
-    import pandas as pd
-
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
     parts = [np.concatenate([hashes[:5000], hashes[5000 + 3000 * k : 8000 + 3000 * k]]) for k in range(3)]
-    rows = []
-    for segment in range(4):
-        own = [p[linededup._segment(p, 4) == segment] for p in parts]
-        group = pd.DataFrame({"segment": segment, "once": [h.tobytes() for h in own], "again": [h[:1].tobytes() for h in own], "n": [len(h) for h in own]})
-        rows += linededup.filter_segment(group).to_dict("records")
-    filters = linededup.Filters(4, rows)
-    assert filters.holds(hashes[:5000]).all()
+    kinds = [np.where(np.isin(p, hashes[5000:5010]), linededup.AGAIN, linededup.ONCE) for p in parts]
+    twice = linededup.twice_seen(list(zip(parts, kinds, strict=True)))
+    assert twice.holds(hashes[:5010]).all()
     # Hashes that stand once pass by chance only.
-    assert filters.holds(hashes[5000:14_000]).mean() < 0.02 and filters.holds(hashes[14_000:]).mean() < 0.02
+    assert twice.holds(hashes[5010:14_000]).mean() < 0.02 and twice.holds(hashes[14_000:]).mean() < 0.02
+    # A hash that stands twice within one part is found there, and no part at all gives an empty filter.
+    assert linededup.twice_seen([(np.repeat(hashes[:9], 2), np.zeros(18, np.int8))]).holds(hashes[:9]).all()
+    assert not linededup.twice_seen([]).holds(hashes[:9]).any()
+
+
+def test_lines_of_rows_with_odd_ids(spark):
+    """Rows without an id are one document, which comes last; rows that share an id lose the same lines, in any slices."""
+    line, other, own = "a line of many rows", "another line there", "a line of no other row"
+    rows = [(None, f"{line}\n{own} 1", None, None), (None, f"{line}\n{other}", None, None), (5, f"{line}\nx", None, None), (5, f"{line.upper()}\n{own} 2", None, None), (9, f" {line}\t\n{other}", None, None), (-(2**63), "short", None, None), (2**63 - 1, f"{line}", None, None)]
+    for parts in (1, 3, 8):
+        kept = sorted(((r["doc_id"] or 0, r["text"]) for r in linededup.drop_repeated_lines(frame(spark, rows).repartition(parts)).collect()), key=str)
+        want = [(0, f"{own} 1"), (0, ""), (5, f"{line}\nx"), (5, f"{line.upper()}\n{own} 2"), (9, other), (-(2**63), "short"), (2**63 - 1, "")]
+        assert kept == sorted(want, key=str)
 
 
 def test_mixing(docs, rows):

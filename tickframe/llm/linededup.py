@@ -3,14 +3,14 @@
 A line's key is the line without blanks at both ends and with A-Z in lower case. Keys of at least ten code points that
 occur in two or more documents keep their lines only in the smallest doc_id that holds them.
 
-1. Each task hashes its documents' distinct keys and passes on 8-byte hashes, each once a slice of the table, with a mark
-   for hashes that two of its documents share. Hashes are dealt by value over as many segments as the table has partitions.
-2. Each segment feeds two Bloom filters: every hash whose bits are all in the segment's once-seen filter, or that a task
-   marked, sets its bits in the segment's twice-seen one. Both are sized by the hashes that they take, so that they tell as
-   much in a large table as in a small one, and neither leaves out a repeated hash.
-3. Only lines that the twice-seen filters suspect are shuffled, as the SHA-256 of their whole key. Grouping confirms keys of
-   at least two documents and finds the first one. The filters go to the lines by broadcast up to `broadcast_bytes`
-   together; beyond that the lines' hashes meet the repeated ones in a join, with the same result.
+1. Each task reads its documents' distinct keys and passes on the first 16 bytes of each one's SHA-256 with the document's
+   id. Keys that two documents of a slice of the table share are suspected at once: their documents go on as such, and only
+   one mark a slice goes to the filters, so that a line of very many documents brings no more than a row a slice.
+2. Rows are dealt by their digests over as many tasks as the table has partitions. Each task feeds two Bloom filters: what
+   the once-seen filter holds already, or a slice marked, sets its bits in the twice-seen one. Both are sized by the
+   digests that they take, so that they tell as much in a large table as in a small one.
+3. The same task asks its twice-seen filter about its rows, so filters never leave their tasks, at any size. Only suspected
+   rows are shuffled again: grouping by the digest confirms keys of at least two documents and finds the first one.
 4. The confirmed drops return to their documents.
 
 A key that very many documents share is grouped before it is shuffled, and where its lines meet the confirmed key, both
@@ -23,19 +23,19 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickframe.llm.common import cut_lineage, slices, small_batches, texts
 
 MIN_KEY = 10
-#: Twice-seen filters of up to so many bytes together (two bytes a repeated hash) are sent to all tasks.
-BROADCAST_BYTES = 64 << 20
-#: A segment's filter gets so many bits for each hash, and each hash sets so many of them.
+#: A filter gets so many bits for each hash, and each hash sets so many of them.
 BITS_PER_HASH, BITS_SET = 16, 4
+#: What a line's row is: the only one of its slice, a mark for a key that a slice repeats, or a suspected repeat.
+ONCE, AGAIN, SURE = 0, 1, 2
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -46,6 +46,10 @@ def line_key(line: bytes) -> bytes | None:
     return key
 
 
+def key_digest(key: bytes) -> bytes:
+    return hashlib.sha256(key).digest()[:16]
+
+
 def _keys(text: bytes) -> set[bytes]:
     return {k for k in map(line_key, text.split(b"\n")) if k is not None}
 
@@ -70,92 +74,69 @@ class Bloom:
         return (self.words[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
 
 
-def _segment(hashes: np.ndarray, segments: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(segments)).astype(np.int32)
-
-
-class Filters:
-    """The twice-seen filters of all segments, one after another."""
-
-    def __init__(self, segments: int, rows: list):
-        self.start, self.mask = np.zeros(segments, np.uint64), np.zeros(segments, np.uint64)
-        self.used, words, at = np.zeros(segments, bool), [np.zeros(1, np.uint8)], 1
-        for row in rows:
-            k, own = row["segment"], np.frombuffer(row["words"], np.uint8)
-            self.start[k], self.mask[k], self.used[k] = 8 * at, 8 * len(own) - 1, True
-            words.append(own)
-            at += len(own)
-        self.words = np.concatenate(words)
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        of = _segment(hashes, len(self.start))
-        at = self.start[of][:, None] + (_positions(hashes, 1 << 63) & self.mask[of][:, None])
-        return self.used[of] & (self.words[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=1)
-
-
-def _hash_keys(segments: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            by_doc: dict[int | None, set[bytes]] = {}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                if text:
-                    found = _keys(text)
-                    by_doc[doc_id] = by_doc[doc_id] | found if doc_id in by_doc else found
-            flat = [k for keys in by_doc.values() for k in keys]
-            hashes, counts = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat)), return_counts=True)
-            part = _segment(hashes, segments)
-            order = np.argsort(part, kind="stable")
-            hashes, counts, part = hashes[order], counts[order], part[order]
-            present, starts = np.unique(part, return_index=True)
-            ends = np.append(starts[1:], len(part))[: len(starts)]
-            rows = [(int(p), hashes[a:b].tobytes(), hashes[a:b][counts[a:b] > 1].tobytes(), int(b - a)) for p, a, b in zip(present, starts, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int64())], ["segment", "once", "again", "n"])
-
-    return run
-
-
-def filter_segment(group: pd.DataFrame) -> pd.DataFrame:
-    """The twice-seen filter of a segment and the hashes in it."""
-    once, suspects = Bloom(_filter_bits(group["n"].sum())), []
-    for seen, again in zip(group["once"], group["again"], strict=True):
-        hashes, local = np.frombuffer(seen, np.uint64), np.frombuffer(again, np.uint64)
-        suspects += [hashes[once.holds(hashes)], local]
-        once.add(hashes)
-    found = np.unique(np.concatenate(suspects))
-    twice = Bloom(_filter_bits(len(found)))
-    twice.add(found)
-    return pd.DataFrame({"segment": [group["segment"].iloc[0]], "words": [twice.words.tobytes()], "hashes": [found.tobytes()]})
-
-
 def _filter_bits(hashes: int) -> int:
     return 1 << max(6, int(max(hashes, 1) * BITS_PER_HASH - 1).bit_length())
 
 
-def _suspected(shared, segments: int):
-    """The distinct keys of each document that the filters suspect (without filters all of them, with their hashes)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = shared.value if shared is not None else None
-        for batch in slices(batches):
-            ids, owners, keys = [], [], []
-            for doc_id, owner, text in zip(batch.column("doc_id").to_pylist(), batch.column("owner").to_pylist(), texts(batch), strict=True):
-                if text:
-                    found = list(_keys(text))
-                    ids += [doc_id] * len(found)
-                    owners += [owner] * len(found)
-                    keys += found
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-            hit = np.flatnonzero(filters.holds(hashes)) if filters is not None else np.arange(len(keys))
-            digests = [hashlib.sha256(keys[i]).digest() for i in hit]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hit], pa.int64()), pa.array([owners[i] for i in hit], pa.string()), pa.array(digests, pa.binary()), pa.array(hashes[hit].view(np.int64))], ["doc_id", "owner", "key", "hash"])
-
-    return run
-
-
-def _hash_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(route, kind, key, doc_id, owner): the distinct keys of each owner, and marks; rows of one route meet in a task."""
+    for batch in slices(batches):
+        by_owner: dict[str, tuple[int | None, set[bytes]]] = {}
+        for doc_id, owner, text in zip(batch.column("doc_id").to_pylist(), batch.column("owner").to_pylist(), texts(batch), strict=True):
+            if text:
+                by_owner.setdefault(owner, (doc_id, set()))[1].update(_keys(text))
+        flat = [k for _, keys in by_owner.values() for k in keys]
+        digest_of = {k: key_digest(k) for k in set(flat)}
+        digests = np.frombuffer(b"".join(map(digest_of.__getitem__, flat)), np.uint64).reshape(-1, 2)
+        sizes = [len(keys) for _, keys in by_owner.values()]
+        ids = pa.array([i for i, _ in by_owner.values()], pa.int64())
+        # An owner is spelled out only where it does not follow from the id.
+        owners = pa.array([o if i is None else None for o, (i, _) in by_owner.items()], pa.string())
+        _, first, inverse, counts = np.unique(digests[:, 0], return_index=True, return_inverse=True, return_counts=True)
+        sure, marks = counts[inverse] > 1, first[counts > 1]
+        who = np.repeat(np.arange(len(sizes)), sizes)
+        route = digests[:, 0] + np.where(sure, np.arange(len(flat), dtype=np.uint64) * _SPREAD, np.uint64(0))
+        at = np.concatenate([np.arange(len(flat)), marks])
+        is_mark = pa.array(np.arange(len(at)) >= len(flat))
+        null = lambda column: pa.compute.if_else(is_mark, pa.scalar(None, column.type), column.take(pa.array(who[at])))  # noqa: E731, B023
+        kinds = np.append(np.where(sure, SURE, ONCE), np.full(len(marks), AGAIN)).astype(np.int8)
+        routes = np.append(route, digests[marks, 0]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(routes), pa.array(kinds), _binary(digests[at]), null(ids), null(owners)], ["route", "kind", "key", "doc_id", "owner"])
+
+
+def _binary(digests: np.ndarray) -> pa.Array:
+    ends = np.arange(0, 16 * len(digests) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(digests))])
+
+
+def twice_seen(parts: list[tuple[np.ndarray, np.ndarray]]) -> Bloom:
+    """The filter of all hashes that stand twice in the (hashes, kinds) of `parts`, or are marked there."""
+    once, found = Bloom(_filter_bits(sum(len(h) for h, _ in parts))), []
+    for hashes, kinds in parts:
+        own, counts = np.unique(hashes, return_counts=True)
+        found += [own[(counts > 1) | once.holds(own)], hashes[kinds == AGAIN]]
+        once.add(own)
+    twice = Bloom(_filter_bits(sum(map(len, found))))
+    for hashes in found:
+        twice.add(hashes)
+    return twice
+
+
+def _suspected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, owner, key) of the rows that the filters of these routes suspect, and of those that a slice did."""
+    kept, parts = [], []
     for batch in batches:
-        for hashes in batch.column("hashes").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(hashes, np.int64))], ["of_hash"])
+        kinds = batch.column("kind").to_numpy()
+        rows = batch.select(["doc_id", "owner", "key"])
+        if (kinds == SURE).any():
+            yield rows.filter(pa.array(kinds == SURE))
+        rest = kinds != SURE
+        hashes = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint64)[::2]
+        parts.append((hashes[rest], kinds[rest]))
+        kept.append(rows.filter(pa.array(rest)))
+    twice = twice_seen(parts)
+    for rows, (hashes, kinds) in zip(kept, parts, strict=True):
+        yield rows.filter(pa.array((kinds == ONCE) & twice.holds(hashes)))
 
 
 def _owner() -> Column:
@@ -163,28 +144,23 @@ def _owner() -> Column:
     return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.md5(F.col("text").cast("binary"))), F.lit("text:"))
 
 
-def suspected_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, owner, key): the digests of all lines' keys that may stand in two documents, each once a document."""
+def suspected_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, owner, key): the digests of all lines' keys that may stand in two documents, each once a document and slice."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _owner().alias("owner"), "text")
-    segments = max(1, docs.rdd.getNumPartitions())
-    hashes = own.select("doc_id", "text").mapInArrow(_hash_keys(segments), "segment int, once binary, again binary, n long")
-    found = cut_lineage(hashes.groupBy("segment").applyInPandas(filter_segment, "segment int, words binary, hashes binary"))
-    schema = "doc_id long, owner string, key binary, hash long"
-    if (found.agg(F.sum(F.length("words"))).first()[0] or 0) <= broadcast_bytes:
-        shared = docs.sparkSession.sparkContext.broadcast(Filters(segments, found.select("segment", "words").collect()))
-        return own.mapInArrow(_suspected(shared, segments), schema).drop("hash")
-    repeated = found.select("hashes").mapInArrow(_hash_rows, "of_hash long")
-    return own.mapInArrow(_suspected(None, segments), schema).join(repeated, F.col("hash") == F.col("of_hash"), "left_semi").drop("hash")
-
-
-def repeated_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    rows = own.mapInArrow(_line_rows, "route long, kind tinyint, key binary, doc_id long, owner string")
+    dealt = rows.repartition(max(1, docs.rdd.getNumPartitions()), "route").drop("route")
+    found = dealt.mapInArrow(_suspected, "doc_id long, owner string, key binary")
+    return found.withColumn("owner", F.coalesce("owner", F.col("doc_id").cast("string")))
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """(drop_owner, drop_keys): for each owner the digests of the keys whose lines it loses.
 
     A document is a doc_id: rows that share one, null included, count as the same document, and null comes last. What a
     row loses is kept by its doc_id, and without one by its text, so that rows without doc_id gather in no one place.
     """
     small_batches(docs.sparkSession)
-    suspected = cut_lineage(suspected_lines(docs, broadcast_bytes))
+    suspected = cut_lineage(suspected_lines(docs))
     # Nulls are kept apart from the smallest and largest id, as either of them is a valid id.
     first = suspected.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("no_id"))
     confirmed = cut_lineage(first.where((F.col("first") < F.col("last")) | F.col("no_id") & F.col("first").isNotNull()).select(F.col("key").alias("of_key"), "first"))
@@ -203,7 +179,7 @@ def _apply(names: list[str]):
                 left = lines
                 if keys:
                     keys = set(keys)
-                    left = [x for x in lines if (key := line_key(x)) is None or hashlib.sha256(key).digest() not in keys]
+                    left = [x for x in lines if (key := line_key(x)) is None or key_digest(key) not in keys]
                 joined = b"\n".join(left)
                 kept.append(None if text is None else joined)
                 total.append(len(lines))
@@ -215,25 +191,25 @@ def _apply(names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, n_lines, n_dropped, kept_sha256.
 
     A null or empty text is one empty line that stays. Rows with equal doc_id lose the same lines. An empty table gives
-    an empty result; other columns are not read.
+    an empty result; other columns are not read. `docs` is read twice and must give the same rows each time.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _owner().alias("owner"), "text")
-    joined = own.join(repeated_lines(docs, broadcast_bytes), F.col("owner") == F.col("drop_owner"), "left").select("doc_id", "text", "drop_keys")
+    joined = own.join(repeated_lines(docs), F.col("owner") == F.col("drop_owner"), "left").select("doc_id", "text", "drop_keys")
     return joined.mapInArrow(_apply(["doc_id", "n_lines", "n_dropped", "kept_sha256"]), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def drop_repeated_lines(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """`docs` with the same rows and columns, texts without their repeated lines.
 
     A null text stays null, an empty one empty, and a text that loses all lines becomes empty. Rows with equal doc_id lose
     the same lines. An empty table stays empty; other columns may have any names.
     """
     packed = docs.select(F.struct(*docs.columns).alias("row"), _owner().alias("owner"), "text")
-    joined = packed.join(repeated_lines(docs, broadcast_bytes), F.col("owner") == F.col("drop_owner"), "left").select("row", "text", "drop_keys")
+    joined = packed.join(repeated_lines(docs), F.col("owner") == F.col("drop_owner"), "left").select("row", "text", "drop_keys")
     row_type = docs.schema.simpleString()
     rewritten = joined.select(F.col("row").withField("text", F.lit(None).cast("string")).alias("row"), "text", "drop_keys").mapInArrow(_apply(["row", "kept_text"]), f"row {row_type}, kept_text string")
     return rewritten.select(*[F.col("kept_text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
