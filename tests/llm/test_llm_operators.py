@@ -226,6 +226,16 @@ def test_search_is_exact(docs, rows):
         assert out[out.query_id == q].sort_values("rank").doc_id.tolist() == [i for _, i in sorted(scored)[: s.k]]
 
 
+def test_search_of_long_texts_in_shards_of_few_postings(spark):
+    """Texts of 20,000 words beside short ones: shards that end by their postings give the same rows as whole ones."""
+    rng = random.Random(21)
+    pool = [f"w{i}" for i in range(30_000)]
+    rows = [(i, " ".join(rng.choices(pool, k=20_000 if i % 25 == 3 else rng.randrange(3, 60))), None, None) for i in range(200)]
+    docs = frame(spark, rows).coalesce(1)
+    same_rows = [sorted(map(tuple, search.search_every_fiftieth(docs, settings).collect())) for settings in (search.Bm25(), search.Bm25(shard_postings=9000), search.Bm25(shard_postings=1))]
+    assert same_rows[0] == same_rows[1] == same_rows[2] and len(same_rows[0]) >= 30
+
+
 def test_search_by_common_terms_only():
     rows = [(np.array([0, 1]), np.array([1.0 + i % 5, 0.5])) for i in range(60)]
     shard = search.Shard(rows, 3, search.Bm25(k=3, docs_per_block=4))

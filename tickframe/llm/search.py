@@ -34,7 +34,10 @@ class Bm25:
     k: int = 10
     k1: float = 1.2
     b: float = 0.75
+    #: A shard ends at so many documents, or with the document that brings it to so many postings, so that long texts
+    #: make small shards: a posting takes some 80 bytes while its shard is built, and 8 / dense_share in dense rows.
     shard: int = 8192
+    shard_postings: int = 3_000_000
     docs_per_block: int = 64
     block_terms: int = 4_000_000
     #: Terms in so large a share of a shard's documents have their impacts in rows of a dense matrix.
@@ -159,7 +162,7 @@ def _search(shared, bars, settings: Bm25):
             docs = np.concatenate(out_doc) if out_doc else np.empty(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_query) if out_query else docs, pa.int64()), pa.array([ids[d] for d in docs], pa.int64()), pa.array(np.concatenate(out_score) if out_score else docs * 1.0)], ["query_id", "doc_id", "score"])
 
-        ids, rows = [], []
+        ids, rows, postings = [], [], 0
         for batch in slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 terms, counts, size = _terms(text)
@@ -170,9 +173,10 @@ def _search(shared, bars, settings: Bm25):
                 norm = settings.k1 * (1 - settings.b + settings.b * size / average)
                 ids.append(doc_id)
                 rows.append((at, np.rint(idf[at] * tf * (settings.k1 + 1) / (tf + norm) / UNIT) * UNIT))
-                if len(ids) == settings.shard:
+                postings += len(at)
+                if len(ids) == settings.shard or postings >= settings.shard_postings:
                     yield answer(ids, rows)
-                    ids, rows = [], []
+                    ids, rows, postings = [], [], 0
         if ids:
             yield answer(ids, rows)
 
@@ -184,7 +188,8 @@ def search(docs: DataFrame, queries: DataFrame, settings: Bm25 = Bm25()) -> Data
 
     A query is its distinct terms: words in lower case (A-Z) without punctuation at both ends; a document matches if it
     holds one of them. Ties go to the smaller doc_id, a null doc_id last. Null and empty texts match nothing, and queries
-    without a match have no rows. Of queries that share a query_id each adds its matches; null ids are left out.
+    without a match have no rows. Of queries that share a query_id each adds its matches; null ids are left out. Texts of
+    any length are read whole, and repeated rows are documents of their own. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
