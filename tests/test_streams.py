@@ -48,3 +48,40 @@ def test_clock_markouts_wait_for_rows_out_of_order(spark, tmp_path):
     found = {r.event_id: (r.future_us, None if r.markout_bps is None else round(r.markout_bps, 6), r.direction) for r in out if r.symbol == "A"}
     assert found == {1: (61 * minute, 100.0, 1), 3: (63 * minute, round((103 / 101 - 1) * 1e4, 6), 1), 2: (None, None, None), 4: (None, None, None)}
     assert len(out) == 4 and kept[-1] < max(kept)
+
+
+def test_trades_of_a_crowded_hour_are_summed_without_pairs(spark, tmp_path):
+    import random
+
+    from tickframe.streaming.metrics import recent_trades, stream_in_files
+
+    dice, hour = random.Random(3), 3_600_000_000
+    times = [dice.randrange(3 * hour) // 1000 * 1000 for _ in range(3000)] + [0, hour, 2 * hour, 3 * hour]
+    trades = [("A", t, dice.choice(["buy", "sell"]), float(dice.randrange(100))) for t in times] + [("A", hour, "buy", None)]
+    decisions = [("A", dice.choice(times) + dice.choice([0, hour]), i) for i in range(1000)]
+    streams = []
+    for rows, schema, far in ((decisions, "symbol string, us long, event_id long", ("~", 99 * hour, -1)), (trades, "symbol string, us long, side string, size double", ("~", 99 * hour, "buy", 0.0))):
+        frame = spark.createDataFrame([*rows, far], schema).withColumns({"part": F.expr(f"IF(us > {9 * hour}, 2, pmod(hash(us), 2))"), "at": F.timestamp_micros("us")})
+        streams.append(stream_in_files(frame, "part", 3))
+    summed = recent_trades(*streams, hour, "4 hours")
+    assert "Join" not in summed._jdf.queryExecution().analyzed().toString()
+    out, _ = _run(summed.select(F.unix_micros("at").alias("us"), "event_id", "buy_size", "sell_size", "n_trades"), tmp_path)
+    found = {r.event_id: tuple(r) for r in out}
+    assert len(out) == len(found) == 1000
+    for _, us, i in decisions:
+        near = [t for t in trades if us - hour < t[1] <= us]
+        assert found[i] == (us, i, *[sum(t[3] or 0.0 for t in near if t[2] == side) for side in ("buy", "sell")], len(near))
+
+
+def test_rows_of_a_stream_are_computed_once(spark):
+    from tickframe.streaming.metrics import stream_in_files
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(i: int) -> int:
+        seen.add(1)
+        return i
+
+    rows = spark.range(100).select(F.udf(mark, "long")("id").alias("v"), (F.col("id") % 4).cast("int").alias("part"))
+    stream_in_files(rows, "part", 4)
+    assert seen.value == 100
