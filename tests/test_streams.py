@@ -73,6 +73,23 @@ def test_trades_of_a_crowded_hour_are_summed_without_pairs(spark, tmp_path):
         assert found[i] == (us, i, *[sum(t[3] or 0.0 for t in near if t[2] == side) for side in ("buy", "sell")], len(near))
 
 
+def test_clock_markouts_keep_quotes_by_block(spark, tmp_path):
+    from tickframe.streaming.metrics import stream_in_files
+    from tickframe.streaming.stateful import ClockMarkouts, keyed
+
+    minute, n = 60_000_000, 30_000
+    quotes = spark.range(n).selectExpr("'A' AS symbol", "(1 + id * 7919 % 30000) * 100000 AS us", "id AS event_id", "100 + id % 7 / 10D AS mid", "CAST(id * 7919 % 30000 DIV 15000 AS INT) AS part")
+    frame = quotes.union(spark.createDataFrame([("~", 10**12, -1, 1.0, 2)], quotes.schema)).withColumn("at", F.timestamp_micros("us"))
+    out, kept = _run(keyed(stream_in_files(frame, "part", 3).withWatermark("at", "1 second"), ["symbol"], ClockMarkouts(minute, minute), event_time=True), tmp_path)
+    assert max(kept) < 30
+    by_us = {r.us: r for r in out}
+    assert len(out) == len(by_us) == n
+    mids = {r.us: r.mid for r in quotes.collect()}
+    for us, r in by_us.items():
+        assert r.future_us == (us + minute if us + minute in mids else None)
+        assert r.markout_bps == ((mids[us + minute] / mids[us] - 1) * 1e4 if r.future_us else None)
+
+
 def test_rows_of_a_stream_are_computed_once(spark):
     from tickframe.streaming.metrics import stream_in_files
 
