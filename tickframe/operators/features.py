@@ -35,23 +35,31 @@ def order_flow_imbalance(quotes: DataFrame) -> DataFrame:
 def recent_trades(decisions: DataFrame, trades: DataFrame, window_us: int) -> DataFrame:
     """Buy and sell size and number of trades in (us - window_us, us] of each decision's symbol.
 
-    One union and one RANGE window instead of an inequality join, so the work is linear in rows. Time is cut into stretches
-    of the window's length, and a trade stands in its own and the next one: no window holds more than two stretches, so a
-    symbol's rows are spread over all tasks.
+    Time is cut into stretches of the window's length, so a window is the end of one stretch and the beginning of the next. A
+    decision asks both, once each, for a running sum: forward from the beginning of its own stretch, backward from the end of the
+    one before. No frame slides and no pair is made: the work is linear in rows, however many trades a stretch has.
     """
-    stretch = F.floor(F.col("us") / window_us)
-    left = decisions.select("symbol", stretch.alias("stretch"), "us", F.col("event_id").alias("decision"), F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("size"))
-    right = trades.select("symbol", F.explode(F.array(stretch, stretch + 1)).alias("stretch"), "us", F.lit(None).cast("long").alias("decision"), "side", "size")
-    frame = Window.partitionBy("symbol", "stretch").orderBy("us").rangeBetween(-(window_us - 1), 0)
-    of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("size"))).over(frame), F.lit(0.0))
-    summed = left.union(right).select("decision", of("buy").alias("buy_size"), of("sell").alias("sell_size"), F.count("side").over(frame).alias("n_trades")).where("decision IS NOT NULL")
+    at, none = F.col("us"), {"side": F.lit(None).cast("string"), "size": F.lit(None).cast("double")}
+    stretch = F.floor(at / window_us)
+    asked = decisions.select("symbol", F.col("event_id").alias("decision"), at.alias("at"), F.explode(F.array(F.struct(F.lit(False).alias("back"), stretch.alias("stretch"), at.alias("us")), F.struct(F.lit(True).alias("back"), (stretch - 1).alias("stretch"), (at - window_us + 1).alias("us")))).alias("_a"))
+    left = asked.select("symbol", "_a.stretch", "_a.us", "decision", "at", "_a.back", *[c.alias(n) for n, c in none.items()])
+    right = trades.where(at.isNotNull()).select("symbol", stretch.alias("stretch"), "us", F.lit(None).cast("long").alias("decision"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("boolean").alias("back"), "side", "size")
+    part = Window.partitionBy("symbol", "stretch")
+    running = [part.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc("us"), F.desc("us"))]
+    of = lambda x: F.when(F.col("back"), x.over(running[1])).otherwise(x.over(running[0]))
+    size = lambda side: F.coalesce(of(F.sum(F.when(F.col("side") == side, F.col("size")))), F.lit(0.0)).alias(f"{side}_size")
+    halves = left.union(right).select("symbol", "decision", "at", "back", size("buy"), size("sell"), of(F.count("side")).alias("n_trades")).where("decision IS NOT NULL")
+    # the two halves of a decision meet; a decision that was given several times has as many of each
+    whole = lambda c: (F.max(F.when(F.col("back"), F.col(c))) + F.max(F.when(~F.col("back"), F.col(c)))).alias(c)
+    met = halves.groupBy("symbol", "decision", "at").agg(whole("buy_size"), whole("sell_size"), whole("n_trades"), F.count_if("back").cast("int").alias("_times"))
+    summed = met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("decision", "buy_size", "sell_size", "n_trades")
     return summed.withColumn("trade_imbalance", F.coalesce(F.try_divide(F.col("buy_size") - F.col("sell_size"), F.col("buy_size") + F.col("sell_size")), F.lit(0.0)))
 
 
 def rolling_activity(trades: DataFrame, window_us: int) -> DataFrame:
     """Signed size ratio and number of trades in [us - window_us, us], each with the rows of equal time before it only.
 
-    Stretches of time as in `recent_trades`.
+    Time is cut into stretches of the window's length, and a trade stands in its own and the next one.
     """
     stretch = F.floor(F.col("us") / window_us)
     copies = trades.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_stretch", stretch + F.col("_copy"))
