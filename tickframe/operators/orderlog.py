@@ -7,8 +7,9 @@ with a price of 0 or below is unpriced. With an order_date, an order is one of i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,14 +49,53 @@ def versions(log: DataFrame) -> DataFrame:
 
 
 def order_problems(log: DataFrame) -> DataFrame:
-    """Violations of the log's rules: symbol, day, event_index, problem."""
-    v = versions(log)
-    named = lambda rows, problem: rows.select(*DAY, "event_index", problem.alias("problem")).where("problem IS NOT NULL")
-    rule = F.when(~F.col("action").isin("A", "Y", "M", "D"), "unknown action").when((F.col("action") == "A") & F.col("known"), "duplicate add").when(F.col("action").isin("M", "D") & ~F.col("known"), "unknown order")
-    rule = rule.when((F.col("action") != "D") & (~F.coalesce(F.col("new_side").isin(1, 2), F.lit(False)) | (F.coalesce("new_volume", F.lit(-1)) < 0)), "invalid side or volume")
-    first = log.withColumn("_n", F.row_number().over(Window.partitionBy(*DAY).orderBy("event_index"))).where("_n = 1")
-    back = log.withColumn("_former", F.lag("us").over(Window.partitionBy(*DAY).orderBy("event_index")))
-    return named(v, rule).union(named(first, F.when(F.col("action") != "F", "day does not begin with F"))).union(named(back, F.when(F.col("us") < F.col("_former"), "time goes back"))).union(named(level_states(v), F.when(F.col("quantity") < 0, "negative depth")))
+    """Violations of the log's rules: symbol, day, event_index, problem. One sort, and a pass that holds a day's live orders and
+    level quantities."""
+    longs = [F.col(c).cast("long").alias(c) for c in ("event_index", "us", "side", "price", "volume")]
+    rows = log.select(*DAY, "action", F.concat_ws(":", *order_key(log)).alias("order"), *longs)
+    return rows.repartition(*DAY).sortWithinPartitions(*DAY, "event_index").mapInArrow(_problems, "symbol string, day string, event_index long, problem string")
+
+
+def _problems(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, names = None, ("symbol", "day", "event_index", "us", "action", "order", "side", "price", "volume")
+    for batch in batches:
+        found = []
+        for symbol, day, index, us, action, order, *given in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+            problems = []
+            if (symbol, day) != at:
+                at, former, orders, depth = (symbol, day), None, {}, {}
+                if action not in ("F", None):
+                    problems.append("day does not begin with F")
+            if us is not None and former is not None and us < former:
+                problems.append("time goes back")
+            former = us
+            if action == "F":
+                orders, depth = {}, {}
+            elif action is not None:
+                old = orders.pop(order, None)
+                given[0] = 2 if given[0] == 5 else given[0]
+                new = None if action == "D" else tuple(x if x not in (-1, None) else y for x, y in zip(given, old or (None,) * 3, strict=True))
+                if new is not None:
+                    orders[order] = new
+                problems.append(_broken(action, old is not None, new))
+                touched = {}
+                for version, sign in ((new, 1), (old, -1)):
+                    if version is not None and version[1] is not None and version[1] > 0:
+                        touched[version[:2]] = depth[version[:2]] = depth.get(version[:2], 0) + sign * (version[2] or 0)
+                problems += ["negative depth" for level in touched if depth[level] < 0]
+            found += [(symbol, day, index, p) for p in problems if p is not None]
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["symbol", "day", "event_index", "problem"])
+
+
+def _broken(action: str, known: bool, new: tuple | None) -> str | None:
+    if action not in ("A", "Y", "M", "D"):
+        return "unknown action"
+    if action == "A" and known:
+        return "duplicate add"
+    if action in ("M", "D") and not known:
+        return "unknown order"
+    return "invalid side or volume" if new is not None and (new[0] not in (1, 2) or new[2] is None or new[2] < 0) else None
 
 
 def level_states(v: DataFrame) -> DataFrame:
