@@ -90,6 +90,45 @@ def test_clock_markouts_keep_quotes_by_block(spark, tmp_path):
         assert r.markout_bps == ((mids[us + minute] / mids[us] - 1) * 1e4 if r.future_us else None)
 
 
+def test_micro_batches_are_bounded_and_in_order(spark, tmp_path, monkeypatch):
+    from tickframe.streaming import metrics
+    from tickframe.streaming.stateful import Markouts, keyed
+
+    monkeypatch.setattr(metrics, "BATCH", 100)
+    rows = spark.range(1000).selectExpr("'A' AS symbol", "id * 389 % 1000 * 10 AS us", "id AS event_id", "1.0D + id AS mid")
+    query = keyed(metrics.in_batches(rows, "us"), ["symbol"], Markouts(5)).writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    sizes = [p["numInputRows"] for p in query.recentProgress]
+    assert sum(sizes) == 1000 and max(sizes) <= 120
+    out = spark.read.parquet(f"{tmp_path}/rows").collect()
+    mids = [r.mid for r in sorted(rows.collect(), key=lambda r: r.us)]
+    assert all(r.problem is None for r in out)
+    assert sorted(round(r.markout_bps, 6) for r in out) == sorted(round((b / a - 1) * 1e4, 6) for a, b in zip(mids, mids[5:]))
+
+
+def test_a_book_of_many_levels_keeps_its_best_prices_over_batches(spark, tmp_path, monkeypatch):
+    import random
+
+    from tickframe.streaming import metrics
+    from tickframe.streaming.stateful import Books, keyed
+
+    monkeypatch.setattr(metrics, "BATCH", 400)
+    dice, book, want = random.Random(5), {}, {}
+    rows = [("P", 0, 1, "snapshot", "bid", 1.0, 1.0), ("P", 0, 2, "snapshot", "ask", 1001.0, 2.0)]
+    book = {("bid", 1.0): 1.0, ("ask", 1001.0): 2.0}
+    for i in range(1, 1000):
+        side = dice.choice(["bid", "ask"])
+        price, size = dice.randrange(1, 1000) / 2 + (501 if side == "ask" else 0), float(dice.randrange(3))
+        rows.append(("P", i, 1, "l2update", side, price, size))
+        book[side, price] = size
+        best = [f((p for (s, p), x in book.items() if s == own and x), default=None) for own, f in (("bid", max), ("ask", min))]
+        want[i] = (best[0], book.get(("bid", best[0])), best[1], book.get(("ask", best[1])))
+    frame = spark.createDataFrame(rows, "product_id string, receive_index long, change_index int, type string, side string, price double, size double")
+    out, _ = _run(keyed(metrics.in_batches(frame, "receive_index"), ["product_id"], Books()), tmp_path)
+    found = {r.receive_index: tuple(r)[2:6] for r in out if r.receive_index}
+    assert all(r.problem is None for r in out) and found == want
+
+
 def test_rows_of_a_stream_are_computed_once(spark):
     from tickframe.streaming.metrics import stream_in_files
 
@@ -102,3 +141,13 @@ def test_rows_of_a_stream_are_computed_once(spark):
     rows = spark.range(100).select(F.udf(mark, "long")("id").alias("v"), (F.col("id") % 4).cast("int").alias("part"))
     stream_in_files(rows, "part", 4)
     assert seen.value == 100
+
+
+def test_tiles_by_ranges_are_those_of_ntile(spark):
+    from pyspark.sql import Window
+    from tickframe.operators.resampling import tiled
+
+    for n in (3, 4, 1003):
+        rows = spark.range(n).select((F.col("id") * 389 % 1009).alias("event_id"))
+        want = rows.withColumn("part", F.ntile(4).over(Window.orderBy("event_id")) - 1)
+        assert sorted(tiled(rows, ["event_id"], 4, "part").collect()) == sorted(want.collect())

@@ -177,7 +177,9 @@ def replay_orders(log: DataFrame, levels: int = 10, zone: str | None = None, ope
 FEED = "receive_index long, epoch long, best_bid double, bid_size double, best_ask double, ask_size double, bid_levels long, ask_levels long"
 
 
-class _FeedBook:
+class FeedBook:
+    """Sizes by price of both sides of a feed, with the prices in order of rank (bids are kept by their negative)."""
+
     def __init__(self) -> None:
         self.epoch, self.sizes, self.ranks = 0, {"bid": {}, "ask": {}}, {"bid": [], "ask": []}
 
@@ -193,6 +195,10 @@ class _FeedBook:
         elif sizes.pop(price, None) is not None:
             del ranks[bisect_left(ranks, key)]
 
+    def best(self) -> tuple[float | None, float | None]:
+        bids, asks = self.ranks["bid"], self.ranks["ask"]
+        return -bids[0] if bids else None, asks[0] if asks else None
+
     def row(self, index: int) -> tuple:
         bid, ask = (abs(self.ranks[s][0]) if self.ranks[s] else None for s in ("bid", "ask"))
         if bid is not None and ask is not None and bid >= ask:
@@ -204,7 +210,7 @@ def replay_feed(levels: DataFrame, key: str, strict: bool) -> DataFrame:
     """The book after each whole feed message, products in parallel, by a stream that holds a product's live levels only."""
 
     def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        product, index, kind, book = None, None, None, _FeedBook()
+        product, index, kind, book = None, None, None, FeedBook()
         keys, rows = [], []
 
         def end() -> None:
@@ -222,7 +228,7 @@ def replay_feed(levels: DataFrame, key: str, strict: bool) -> DataFrame:
                 if own != product or at != index:
                     end()
                     if own != product:
-                        product, book = own, _FeedBook()
+                        product, book = own, FeedBook()
                     index, kind = at, type_
                     if type_ == "snapshot":
                         book.begin()
