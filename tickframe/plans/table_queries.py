@@ -536,7 +536,7 @@ def recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(None)
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted trees of every variant: fitted on the first two periods, scored on the last one, with gain shares."""
-    rows = view(spark, sf_dir, "scored").where("actual IS NOT NULL")
+    rows = tables.stored(view(spark, sf_dir, "scored").where("actual IS NOT NULL").select("symbol", "period", *_TWO, "spread_bps", "actual"), "scored")
     each = [models.boosted_trees(rows.where("period <> 'P2'"), rows.where("period = 'P2'"), [*_TWO, "spread_bps"], "actual", ["symbol"], variant, count=10).withColumn("variant", F.lit(variant)) for variant in models.TREES]
     return reduce(DataFrame.unionByName, each)
 
