@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from tickframe.llm import contexttree
@@ -128,3 +130,32 @@ def test_no_rows_and_no_training_rows(spark):
     assert row.score == pytest.approx(5 * 8 * math.log10(0.5), abs=1e-5)
     with pytest.raises(ValueError, match="depth"):
         contexttree.ContextTrees(depth=5)
+
+
+def test_tasks_hold_a_chunks_answers_and_a_piece_of_its_texts(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))).encode() for _ in range(5000)]
+    docs = [b" ".join(rng.choices(words, k=3000)) for _ in range(400)]
+    asking = pa.RecordBatch.from_pydict({"chunk": [0] * 400, "text": [d.decode() for d in docs], "train": [1] * 400})
+    c = contexttree.ContextTrees()
+
+    def peak(f):
+        tracemalloc.start()
+        rows = f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, most
+
+    # 8 MB of text in one chunk.
+    asked, most = peak(lambda: list(contexttree._requests(c)(iter([asking]))))
+    assert most < 100e6
+    assert len(asked) > 2
+    answers = [pa.RecordBatch.from_arrays([pa.array([0] * len(b)), b.column("gram"), b.column("word"), b.column("n").cast(pa.float64())], ["at", "number", "bytes", "value"]) for b in asked]
+    own = pa.RecordBatch.from_pydict({"at": [1] * 400, "number": list(range(400)), "bytes": docs, "value": [0.0] * 400})
+    scored, most = peak(lambda: list(contexttree._score(c)(iter([*answers, own]))))
+    assert most < 100e6
+    assert sum(len(b) for b in scored) == 400
+    with pytest.raises(ValueError, match="partitions changed"):
+        list(contexttree._score(c)(iter([own])))
+    plan = contexttree.score_texts(spark.createDataFrame([(1, "ab", "", "", 0)], SCHEMA))._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan

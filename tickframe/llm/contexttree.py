@@ -9,7 +9,7 @@ training text gave each depth; the walk ends at the deepest context that the tra
 The logarithm of a byte's probability depends on the byte and `depth` bytes before it alone, so the model is a table of grams.
 No task holds that table. Texts are dealt into chunks; a chunk asks once for each of its distinct grams and words, the counts
 are summed over all chunks, trees are weighted in parts by the two nearest bytes (below them at most 2^24 grams), and the
-answers meet the chunk's texts. Only the trees' tops, contexts of at most one byte (65,792 rows at most), go through the driver.
+answers meet the chunk's texts: a task reads a chunk's answers first and then its texts a megabyte at a time. Only the trees' tops, contexts of at most one byte (65,792 rows at most), go through the driver.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ from tickframe.llm.common import shared_folder, slices, small_batches, texts
 #: No byte of UTF-8; ends a text, and stands before it as context.
 END = 0xFF
 
+#: Texts are framed so much at a time: a byte takes some 40 bytes of work space.
+_AT_ONCE = 1 << 20
+
 
 @dataclass(frozen=True)
 class ContextTrees:
@@ -37,7 +40,7 @@ class ContextTrees:
     depth: int = 4
     folds: int = 5
     held_out: int = 1
-    #: Text of one chunk: tasks hold a chunk with its answers. A longer single text is a chunk of its own length.
+    #: Text of one chunk: tasks hold a chunk's answers. A longer single text is a chunk of its own length.
     chunk_bytes: int = 32 << 20
     #: Distinct words that a task holds before it hands its requests on.
     most_words: int = 1_000_000
@@ -70,7 +73,7 @@ class _Requests:
     def __init__(self) -> None:
         self.words: Counter[bytes] = Counter()
         self.others: set[bytes] = set()
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
 
     def add(self, docs: list[bytes], train: np.ndarray, depth: int) -> None:
         for doc, counts in zip(docs, train, strict=True):
@@ -81,20 +84,32 @@ class _Requests:
         code, bounds = _framed(docs, depth)
         places, distinct = pd.factorize(code)
         self.grams.append((distinct, np.bincount(places, np.repeat(train, np.diff(bounds)), len(distinct)).astype(np.int64)))
+        # New grams are merged when they outnumber the merged ones, so a chunk holds its distinct grams about twice at most.
+        if sum(len(g) for g, _ in self.grams[1:]) > max(len(self.grams[0][0]), _AT_ONCE // 4):
+            self.merge()
+
+    def merge(self) -> None:
+        if len(self.grams) > 1:
+            distinct, where = np.unique(np.concatenate([g for g, _ in self.grams]), return_inverse=True)
+            self.grams = [(distinct, np.bincount(where, np.concatenate([n for _, n in self.grams])).astype(np.int64))]
 
-    def batches(self, chunk: int) -> Iterator[pa.RecordBatch]:
+    def batches(self, chunk: int, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
         names = ["chunk", "gram", "word", "n"]
-        distinct, where = np.unique(np.concatenate([g for g, _ in self.grams]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([n for _, n in self.grams])).astype(np.int64)
+        self.merge()
+        distinct, counts = self.grams[0]
+        for start in range(0, len(distinct), rows):
+            own = distinct[start : start + rows]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own), pa.nulls(len(own), pa.binary()), pa.array(counts[start : start + rows])], names)
         words = sorted(self.words.keys() | self.others)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), chunk)), pa.array(distinct), pa.nulls(len(distinct), pa.binary()), pa.array(counts)], names)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), chunk)), pa.nulls(len(words), pa.int64()), pa.array(words, pa.binary()), pa.array([self.words[w] for w in words], pa.int64())], names)
+        for start in range(0, len(words), rows):
+            own = words[start : start + rows]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.nulls(len(own), pa.int64()), pa.array(own, pa.binary()), pa.array([self.words[w] for w in own], pa.int64())], names)
 
 
 def _requests(c: ContextTrees):
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, _Requests] = defaultdict(_Requests)
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches, _AT_ONCE):
             docs = [t.lower() for t in texts(batch)]
             chunks, train = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("chunk", "train"))
             for chunk in np.unique(chunks):
@@ -228,41 +243,75 @@ def _values(c: ContextTrees, tops: list[_Level]):
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, known_score double, score double, n_bytes long"
 
 
+class _Answers:
+    """The values of a chunk's grams, and the counts of its words in training texts."""
+
+    def __init__(self) -> None:
+        self.pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        self.grams, self.values = np.empty(0, np.int64), np.empty(0)
+        self.counts: dict[bytes, float] = {}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        is_gram = batch.column("bytes").is_null()
+        of_grams, of_words = batch.filter(is_gram), batch.filter(pa.compute.invert(is_gram))
+        # Copies, as an array of Arrow would keep its whole batch.
+        self.pieces.append((of_grams.column("number").to_numpy(zero_copy_only=False).copy(), of_grams.column("value").to_numpy().copy()))
+        self.counts.update(zip(of_words.column("bytes").to_pylist(), of_words.column("value").to_pylist(), strict=True))
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        if self.pieces:
+            grams, values = (np.concatenate(x) for x in zip(*self.pieces, strict=True))
+            self.pieces = []
+            order = np.argsort(grams)
+            self.grams, self.values = grams[order], values[order]
+        places, distinct = pd.factorize(codes)
+        at = np.searchsorted(self.grams, distinct)
+        if len(self.grams) == 0 or at.max() >= len(self.grams) or (self.grams[at] != distinct).any():
+            raise KeyError("gram")
+        return self.values[at][places]
+
+
 def _score(c: ContextTrees):
-    def score(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.combine_chunks()
-        is_gram = answers.column("word").is_null()
-        grams, values = (answers.filter(is_gram).column(n).to_numpy() for n in ("gram", "value"))
-        order = np.argsort(grams)
-        grams, values = grams[order], values[order]
-        asked = answers.filter(pa.compute.invert(is_gram))
-        counts = dict(zip(asked.column("word").to_pylist(), asked.column("value").to_pylist(), strict=True))
-        out = []
-        for batch in slices(docs.to_batches(), 4 << 20):
-            own = [t.lower() for t in texts(batch)]
-            words = [d.split() for d in own]
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            try:
-                n = np.array([counts[w] for d in words for w in d], float)
-                code, bounds = _framed(own, c.depth)
-                places, distinct = pd.factorize(code)
-                at = np.searchsorted(grams, distinct)
-                if len(grams) == 0 or at.max() >= len(grams) or (grams[at] != distinct).any():
-                    raise KeyError("gram")
-            except KeyError as missing:
-                raise ValueError("the documents' partitions changed between two reads; write them to files first") from missing
-            sums = lambda x, ends: np.diff(np.concatenate([[0], np.cumsum(x)])[ends])
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            known = np.array([np.log10(n[a:b] + 0.5).sum() for a, b in zip(ends[:-1], ends[1:], strict=True)])
-            each = values[at][places]
-            total = np.array([each[a:b].sum() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-            columns = [batch.column("doc_id"), batch.column("held_out"), lengths, sums(n > 0, ends), known, total, np.diff(bounds)]
-            out.append(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _names(_SCORED)))
-        return pa.Table.from_batches(out)
+    """Reads rows (at, number, bytes, value) sorted by `at`: 2 * chunk for answers (gram or word, value), 2 * chunk + 1 for texts (doc_id, text, held out)."""
+
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, answers = None, _Answers()
+        for batch in batches:
+            ats = batch.column("at").to_numpy()
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(ats)) + 1, [len(ats)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if int(ats[a]) // 2 != chunk:
+                    chunk, answers = int(ats[a]) // 2, _Answers()
+                if ats[a] % 2 == 0:
+                    answers.add(batch.slice(a, b - a))
+                    continue
+                for docs in slices([batch.slice(a, b - a)], _AT_ONCE):
+                    yield _scored(docs, answers, c.depth)
 
     return score
 
 
+def _scored(docs: pa.RecordBatch, answers: _Answers, depth: int) -> pa.RecordBatch:
+    own = [t.lower() for t in texts(docs, "bytes")]
+    words = [d.split() for d in own]
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    try:
+        n = np.array([answers.counts[w] for d in words for w in d], float)
+        code, bounds = _framed(own, depth)
+        each = answers.of(code)
+    except KeyError as missing:
+        raise ValueError("the documents' partitions changed between two reads; write them to files first") from missing
+    sums = lambda x, ends: np.diff(np.concatenate([[0], np.cumsum(x)])[ends])
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    known = np.array([np.log10(n[a:b] + 0.5).sum() for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    total = np.array([each[a:b].sum() for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    held_out = docs.column("value").to_numpy() > 0
+    columns = [docs.column("number"), held_out, lengths, sums(n > 0, ends), known, total, np.diff(bounds)]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], _names(_SCORED))
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -297,9 +346,11 @@ def score_texts(docs: DataFrame, c: ContextTrees = ContextTrees()) -> DataFrame:
     by_word = asked.where("word IS NOT NULL").select("chunk", "word", "n").repartition("word")
     counted = by_word.groupBy("word").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") > 0).alias("distinct"))
     ends = dealt.agg(F.count_if(~F.col("held_out")).alias("texts"))
-    answers = by_word.select("chunk", F.lit(None).cast("long").alias("gram"), "word", F.sum("n").over(Window.partitionBy("word")).cast("double").alias("value"))
-    answers = answers.unionByName(grams.drop("n").join(values, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("word"), "value"))
-    scored = dealt.select("chunk", "doc_id", "text", "held_out").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(c), _SCORED)
+    of_words = by_word.select((F.col("chunk") * 2).alias("at"), F.lit(None).cast("long").alias("number"), F.col("word").alias("bytes"), F.sum("n").over(Window.partitionBy("word")).cast("double").alias("value"))
+    of_grams = grams.drop("n").join(values, "gram").select((F.col("chunk") * 2).alias("at"), F.col("gram").alias("number"), F.lit(None).cast("binary").alias("bytes"), "value")
+    asking = dealt.select((F.col("chunk") * 2 + 1).alias("at"), F.col("doc_id").cast("long").alias("number"), F.col("text").cast("binary").alias("bytes"), F.col("held_out").cast("double").alias("value"))
+    met = of_words.unionByName(of_grams).unionByName(asking).repartition(F.shiftright("at", 1)).sortWithinPartitions("at")
+    scored = met.mapInArrow(_score(c), _SCORED)
     whole = scored.crossJoin(F.broadcast(counted.crossJoin(ends)))
     train = F.col("tokens") + F.col("texts")
     space = F.log10(train + 0.5 * (F.col("distinct") + F.when(F.col("texts") > 0, 1).otherwise(0) + 1))
