@@ -433,3 +433,24 @@ def test_stages_take_any_columns_and_odd_rows(spark):
     assert {r["doc_id"] for r in mixing.repeat_by_mix(docs).collect()} >= {6, 7}
     assert mixing.repeat_by_mix(docs.where("false")).count() == 0 and quality.keep_quality(docs.where("false")).count() == 0
     assert bpe.code_texts(docs, tokenizer_path()).count() == 5
+
+
+def test_blocks_of_near_duplicates_send_a_large_component_to_the_others_only(spark):
+    rules = neardup.NearDuplicates(block=50)
+    # Key 1: one component of 950 nodes and 10 single nodes. Key 2: 120 single nodes. Key 3: few rows. Key 4: one component alone.
+    rows = [(1, i, 7 if i < 950 else i, i % 5 == 0, 10) for i in range(960)] + [(2, i, i, False, 10) for i in range(120)]
+    rows += [(3, i, i % 2, False, 10) for i in range(6)] + [(4, i, 1, False, 10) for i in range(9)]
+    placed = spark.createDataFrame(rows, "key long, node long, component long, guest boolean, n int")
+    groups = defaultdict(list)
+    for r in neardup._blocks(placed, rules).collect():
+        groups[r.key, r.low, r.high].append(r)
+    met = Counter()
+    for (key, low, high), own in groups.items():
+        a, b = [r for r in own if r.block == low], [r for r in own if r.block == high]
+        assert len(a) + len(b) <= 4 * (1 + (low == high)) * rules.block
+        pairs = {(min(x.node, y.node), max(x.node, y.node)) for x in a for y in b if x.component != y.component}
+        met.update((key, *p) for p in pairs)
+    want = {(k, i, j) for k, i, c, *_ in rows for m, j, d, *_ in rows if k == m and i < j and c != d}
+    assert set(met) == want and set(met.values()) == {1}
+    # All blocks with all blocks would make 960 * 20 rows of key 1.
+    assert sum(len(own) for (key, *_), own in groups.items() if key == 1) < 1500

@@ -96,8 +96,10 @@ def _inverted_lists(classes: DataFrame, rules: NearDuplicates) -> DataFrame:
     sized = common.join(classes.select(F.col("node").alias("of_node"), F.size("sketch").alias("held"), F.floor(F.log("n_shingles") / F.log(F.lit(1.26))).alias("size_class")), F.col("node") == F.col("of_node"))
     least = F.least(F.lit(rules.least_shared), F.ceil(F.col("held") * rules.percent / 100)).cast("int")
     prefix = F.col("held") - least + 1 - (F.col("held") - F.size("common"))
-    chosen = sized.where(prefix > 0).select("node", "weight", "size_class", F.explode(F.slice("common", F.lit(1), prefix)).alias("entry"))
-    return chosen.select("node", "weight", F.explode(F.array(F.xxhash64("entry.value", "size_class"), F.xxhash64("entry.value", F.col("size_class") + 1))).alias("value"))
+    # Written once: the lists are read for their lengths and for their rows.
+    chosen = cut_lineage(sized.where(prefix > 0).select("node", "weight", "size_class", F.slice("common.value", F.lit(1), prefix).alias("values")))
+    chosen = chosen.select("node", "weight", "size_class", F.explode("values").alias("value"))
+    return chosen.select("node", "weight", F.explode(F.array(F.xxhash64("value", "size_class"), F.xxhash64("value", F.col("size_class") + 1))).alias("value"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -114,14 +116,20 @@ def _estimated(pairs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> D
     return both.where(near >= rules.percent / 100 - rules.margin).select("a", "b")
 
 
-def _candidate_sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFrame:
-    """(node, shingles): the full sets of the classes in `nodes`; only their texts are hashed for it."""
-    ids = cut_lineage(nodes.select(F.col("node").alias("doc_id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= rules.broadcast_nodes else ids
-    wanted = ids.select(F.col("doc_id").alias("node")).join(classes.select("node", F.col("signature").alias("of_signature")), "node")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+def _ids(nodes: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """The distinct nodes, for a semi join; up to `broadcast_nodes` of them go where the rows are, so that the other rows are not moved."""
+    ids = cut_lineage(nodes.select("node").distinct())
+    return F.broadcast(ids) if ids.count() <= rules.broadcast_nodes else ids
+
+
+def _candidate_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFrame:
+    """(node, shingles): the full sets of the `classes`, whose nodes are `ids`; only their texts are hashed for it."""
+    wanted = classes.select("node", F.col("signature").alias("of_signature"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     full = own.mapInArrow(_full_sets(rules), "doc_id long, signature binary, shingles array<long>")
-    return cut_lineage(full.join(wanted, (F.col("doc_id") == F.col("node")) & (F.col("signature") == F.col("of_signature"))).select("node", "shingles").dropDuplicates(["node"]))
+    # Equal signatures, in a form that does not join by them: the sets are then moved by node alone, once for both steps.
+    same = (F.col("signature") <= F.col("of_signature")) & (F.col("signature") >= F.col("of_signature"))
+    return cut_lineage(full.join(wanted, (F.col("doc_id") == F.col("node")) & same).select("node", "shingles").dropDuplicates(["node"]))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, rules: NearDuplicates) -> DataFrame:
@@ -134,12 +142,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, rules: NearDuplicates) -> Data
 def _blocks(placed: DataFrame, rules: NearDuplicates, *carried: str) -> DataFrame:
     """`placed` (key, node, component, guest, n) with `block`, `low` and `high`: each row once for every pair of blocks it is in.
 
-    Keys without two components are left out. A guest is of the next smaller class of sizes and meets only hosts.
+    Keys without two components are left out. A guest is of the next smaller class of sizes and meets only hosts. Where it
+    saves rows, a key's largest component has blocks of its own (after those of the others), which do not meet each other:
+    its rows then go to the blocks of other components only, and not as many times as it has blocks itself.
     """
-    groups = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.min("guest").alias("all_guests"), F.greatest(F.ceil(F.count("*") / rules.block), F.ceil(F.count("*") * F.max("n") / rules.block_hashes)).alias("blocks"))
-    groups = cut_lineage(groups.where("first <> last AND NOT all_guests").select(F.col("key").alias("of_key"), "blocks"))
-    rows = placed.join(groups, F.col("key") == F.col("of_key")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("rows"), F.max("n").alias("n"), F.min("guest").alias("all_guests"))
+    groups = parts.groupBy("key").agg(F.count("*").alias("components"), F.min("all_guests").alias("all_guests"), F.sum("rows").alias("rows"), F.max("n").alias("n"), F.max(F.struct("rows", "component")).alias("main"))
+    of = lambda rows: F.greatest(F.ceil(rows / rules.block), F.ceil(rows * F.col("n") / rules.block_hashes)).cast("long")
+    rest = F.col("rows") - F.col("main.rows")
+    sized = groups.where("components > 1 AND NOT all_guests").select("key", "rows", rest.alias("rest"), "main", of(F.col("rows")).alias("together"), of(rest).alias("others"), of(F.col("main.rows")).alias("own"))
+    apart = F.col("rest") * (F.col("others") + F.col("own")) + F.col("main.rows") * F.col("others") < F.col("rows") * F.col("together")
+    groups = cut_lineage(sized.select(F.col("key").alias("of_key"), F.when(apart, F.col("main.component")).alias("main"), F.when(apart, F.col("others")).otherwise(F.col("together")).alias("others"), F.when(apart, F.col("own")).otherwise(0).alias("own")))
+    rows = placed.join(groups, F.col("key") == F.col("of_key")).withColumn("in_main", F.col("component").eqNullSafe(F.col("main")))
+    rows = rows.withColumn("block", F.when(F.col("in_main"), F.col("others") + F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1 + F.when(F.col("in_main"), 0).otherwise(F.col("own")))))
     return rows.select("key", "node", "component", "guest", *carried, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
@@ -278,7 +294,7 @@ def _met(nodes: DataFrame, sets: DataFrame, classes: DataFrame, rules: NearDupli
     placed = cut_lineage(sized.select("node", "component", "n", "sketch", places.alias("place")).select("place.key", "place.value", "node", "component", "place.guest", "n", "sketch"))
     near = _dealt(_blocks(placed.withColumn("n", F.lit(rules.sketch)), rules, "value", "sketch")).mapInArrow(_near(rules), "key long, node long").distinct()
     left = cut_lineage(placed.drop("sketch", "value").join(near, ["key", "node"]))
-    full = _blocks(left, rules).join(sets, "node")
+    full = _blocks(left, rules).join(sets.join(_ids(left, rules), "node", "left_semi"), "node")
     return _dealt(full).mapInArrow(_linked(rules), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -312,11 +328,13 @@ def links(docs: DataFrame, classes: DataFrame, rules: NearDuplicates) -> DataFra
     lists = cut_lineage(lists.join(held, F.col("value") == F.col("of_value"), "left_semi"))
     if lists.isEmpty():
         return classes.select("node", F.col("node").alias("component"))
-    sets = _candidate_sets(lists, docs, classes, rules)
+    every, ids = classes, _ids(lists, rules)
+    classes = every.join(ids, "node", "left_semi")
+    sets = _candidate_sets(ids, docs, classes, rules)
     heads = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("head")).select(F.col("value").alias("of_value"), (-F.col("head.minus")).alias("b"))
     met = lists.join(heads, F.col("value") == F.col("of_value")).select(F.col("node").alias("a"), "b").where("a <> b")
     reached = components(_confirmed(_estimated(_ordered(met), classes, rules), sets, rules))
-    reached = classes.select("node").join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    reached = every.select("node").join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     placed = lists.join(reached, "node")
     open_lists = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(F.col("value").alias("of_value"))
     nodes = cut_lineage(placed.join(open_lists, F.col("value") == F.col("of_value"), "left_semi").select("node", "component").distinct())
