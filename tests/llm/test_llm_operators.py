@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickframe.llm import bpe, chat, langid, linededup, mixing, neardup, pii, quality, search, toxicity
@@ -319,3 +321,36 @@ def test_pipeline_stages(spark):
             assert docs.columns == columns, name
         assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= {r["doc_id"] for r in before.select("doc_id").collect()}
     assert docs.count() > 0
+
+
+def test_stages_take_texts_by_small_parts(spark):
+    """Python processes are used again, so what a stage holds there at once counts beside the next one's memory."""
+    text = " ".join(f"word{i % 997} part{i % 89}" for i in range(4500))
+    one = pa.RecordBatch.from_arrays([pa.array(range(120), pa.int64()), pa.array(map(str, range(120))), pa.array([text] * 120)], ["doc_id", "owner", "text"])
+    assert 6 << 20 < one.nbytes < 8 << 20
+    rules = neardup.NearDuplicates()
+    for step in (neardup._sketches(rules), neardup._full_sets(rules), linededup._line_rows, quality._assess({}, quality.QualityRules())):
+        assert len(list(step([one]))) >= 4
+    some = frame(spark, [(1, text, "en", "a")])
+    for stage in (quality.keep_quality, linededup.drop_repeated_lines, neardup.keep_one_each, lambda d: bpe.code_texts(d, tokenizer_path())):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(some)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+
+
+def test_bpe_ids_are_kept_small(spark):
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        definition = file.read()
+    text = " ".join(f"w{i % 50}x" for i in range(1000))
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "", *[text] * 100])], ["text"])
+    bpe._code_columns(batch, definition, ["ids"])
+    tracemalloc.start()
+    made = bpe._code_columns(batch, definition, ["ids"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    bpe._coders.clear()
+    assert made["ids"].type == pa.list_(pa.int32()) and [len(x) for x in made["ids"]] == made["n_tokens"].to_pylist() and made["ids"][0].as_py() == []
+    assert "decoded" not in made and most < 16 * len(made["ids"].values)
+    out = bpe.code_texts(frame(spark, [(1, "one two", "en", "a"), (2, None, "en", "a")]), tokenizer_path(), with_output=True, with_decoded=False)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert {r["doc_id"]: len(r["ids"]) == r["n_tokens"] for r in out.collect()} == {1: True, 2: True}

@@ -20,12 +20,13 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import slices, small_batches, texts
+from tickframe.llm.common import STAGE_BYTES, slices, small_batches, texts
 
 NO_RANK = 1 << 60
 #: Parts of a word up to which one scan covers it; longer words have blocks of so many.
@@ -241,7 +242,7 @@ def share_vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-def _code_columns(batch: pa.RecordBatch, definition: Any, with_output: bool) -> dict[str, pa.Array]:
+def _code_columns(batch: pa.RecordBatch, definition: Any, names: list[str]) -> dict[str, pa.Array]:
     coder = _coder(definition)
     ids, decoded, n = [], [], []
     id_hash, text_hash = [], []
@@ -250,30 +251,35 @@ def _code_columns(batch: pa.RecordBatch, definition: Any, with_output: bool) ->
         n.append(count)
         id_hash.append(hashlib.sha256(one.encode()).hexdigest())
         text_hash.append(hashlib.sha256(back.encode()).hexdigest())
-        if with_output:
-            ids.append([int(i) for i in one.split()])
+        # As numbers of four bytes: a list of Python's integers takes ten times as much.
+        if "ids" in names:
+            ids.append(np.fromiter(map(int, one.split()), np.int32, count))
+        if "decoded" in names:
             decoded.append(back)
     out = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(id_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
-    return out | ({"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())} if with_output else {})
+    if "ids" in names:
+        out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
+    return out | ({"decoded": pa.array(decoded, pa.string())} if "decoded" in names else {})
 
 
-def code_texts(docs: DataFrame, path: str, with_output: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with_output the ids and decoded text.
+def code_texts(docs: DataFrame, path: str, with_output: bool = False, with_decoded: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and with_output the ids and (unless without) decoded text.
 
     A null text counts as empty and has no tokens. Each row is coded where it lies; equal rows give equal results.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, STAGE_BYTES)
     definition = share_vocabulary(docs.sparkSession, path)
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_output else [])]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", *(["decoded"] if with_decoded else [])] if with_output else [])]
     kinds = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "ids": "array<int>", "decoded": "string"}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            for batch in slices(batches, 4 << 20):
-                made = _code_columns(batch, definition, with_output)
+            for batch in slices(batches, STAGE_BYTES // 2):
+                made = _code_columns(batch, definition, names)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[made[k] for k in names]], ["doc_id", *names])
         finally:
             # Spark uses its Python processes again: what is kept here would stand beside later tasks' memory.
             _coders.clear()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {kinds[k]}" for k in names))

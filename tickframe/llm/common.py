@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Bytes of text that a task of a pipeline stage takes at once: Spark uses its Python processes again, so what one stage
+#: has needed there stands beside the next one's memory.
+STAGE_BYTES = 2 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
     """Texts go to Python in Arrow batches of 8 MB at most (64 MB is usual): a task holds a batch on both sides and copies of it."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:

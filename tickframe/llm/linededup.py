@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import cut_lineage, slices, small_batches, texts
+from tickframe.llm.common import STAGE_BYTES, cut_lineage, slices, small_batches, texts
 
 MIN_KEY = 10
 #: A filter gets so many bits for each hash, and each hash sets so many of them.
@@ -80,7 +80,7 @@ def _filter_bits(hashes: int) -> int:
 
 def _line_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(route, kind, key, doc_id, owner): the distinct keys of each owner, and marks; rows of one route meet in a task."""
-    for batch in slices(batches):
+    for batch in slices(batches, STAGE_BYTES):
         by_owner: dict[str, tuple[int | None, set[bytes]]] = {}
         for doc_id, owner, text in zip(batch.column("doc_id").to_pylist(), batch.column("owner").to_pylist(), texts(batch), strict=True):
             if text:
@@ -159,7 +159,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     A document is a doc_id: rows that share one, null included, count as the same document, and null comes last. What a
     row loses is kept by its doc_id, and without one by its text, so that rows without doc_id gather in no one place.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, STAGE_BYTES)
     suspected = cut_lineage(suspected_lines(docs))
     # Nulls are kept apart from the smallest and largest id, as either of them is a valid id.
     first = suspected.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("no_id"))
@@ -172,7 +172,7 @@ def _apply(names: list[str]):
     """Rewrites text without the lines of `drop_keys`; adds what the digest needs where `names` asks for it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, STAGE_BYTES):
             kept, total, dropped, digest = [], [], [], []
             for text, keys in zip(texts(batch), batch.column("drop_keys").to_pylist(), strict=True):
                 lines = (text or b"").split(b"\n")

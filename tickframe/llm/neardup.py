@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import cut_lineage, slices, small_batches, stream_groups, texts, window_hashes, word_hashes
+from tickframe.llm.common import STAGE_BYTES, cut_lineage, slices, small_batches, stream_groups, texts, window_hashes, word_hashes
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def _sketches(rules: NearDuplicates):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, STAGE_BYTES):
             sets = [shingle_hashes(t, rules.words) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), _lists([s[: rules.sketch] for s in sets])],
@@ -77,7 +77,7 @@ def _sketches(rules: NearDuplicates):
 
 def _full_sets(rules: NearDuplicates):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, STAGE_BYTES):
             sets = [shingle_hashes(t, rules.words) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_signature(s) for s in sets], pa.binary()), _lists(sets)], ["doc_id", "signature", "shingles"])
 
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, rules: NearDuplicates = NearDuplicates()) -
     Rows with a null doc_id are linked with nothing either; their component_id is null and they are kept. Rows that share
     a doc_id are one node.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, STAGE_BYTES)
     sketched = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches(rules), "doc_id long, n_shingles long, signature binary, sketch array<long>"))
     real = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = real.groupBy("signature").agg(F.min("doc_id").alias("node"))

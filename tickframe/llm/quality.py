@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickframe.llm.common import cut_lineage, slices, small_batches, texts, window_hashes, word_hashes
+from tickframe.llm.common import STAGE_BYTES, cut_lineage, slices, small_batches, texts, window_hashes, word_hashes
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ def _profile(rules: QualityRules):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(N_CLASSES + 2))
         found: dict[tuple[str, bytes], int] = Counter()
-        for batch in slices(batches):
+        for batch in slices(batches, STAGE_BYTES):
             groups: dict[str, list[bytes]] = defaultdict(list)
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
                 if text:
@@ -150,7 +150,7 @@ def _profile(rules: QualityRules):
 def _count(candidates: dict[str, set[bytes]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple[str, bytes], int] = Counter()
-        for batch in slices(batches):
+        for batch in slices(batches, STAGE_BYTES):
             words: dict[str, Counter] = defaultdict(Counter)
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
                 if text and (lang or "") in candidates:
@@ -168,7 +168,7 @@ def _word_ratios(references: dict[str, dict], rules: QualityRules):
     places = {lang: {w: i for i, w in enumerate(one["words"])} for lang, one in references.items()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, STAGE_BYTES):
             rows: dict[str, list] = defaultdict(list)
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
                 if text and (lang or "") in places:
@@ -251,7 +251,7 @@ def _assess(references: dict[str, dict], rules: QualityRules):
     columns = [np.array([vocabulary[w] for w in references[x]["words"]], np.int64) for x in langs]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, STAGE_BYTES):
             data = [x or b"" for x in texts(batch)]
             by_byte = _byte_counts(data)
             n_words, lines, repeats = [], [], []
@@ -302,7 +302,7 @@ def assess_quality(docs: DataFrame, rules: QualityRules = QualityRules(), refere
     reference (empty table, or too little text in every language) only the base rules decide. Other columns of `docs`
     are not read.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, STAGE_BYTES)
     references = language_references(docs, rules) if references is None else references
     return docs.select("doc_id", "text").mapInArrow(_assess(references, rules), _SCHEMA)
 
@@ -313,12 +313,12 @@ def keep_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataF
     Null and empty texts go, as they have too few words. Repeated rows are judged alike. An empty table stays empty, and
     other columns may have any names.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, STAGE_BYTES)
     judge = _assess(language_references(docs, rules), rules)
     names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, STAGE_BYTES):
             kept = pa.concat_arrays([v.column("kept") for v in judge([batch.select(["doc_id", "text"])])])
             yield batch.filter(kept).select(names)
 
