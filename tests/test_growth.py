@@ -61,3 +61,22 @@ def test_boosted_trees_compute_their_rows_once(spark, monkeypatch):
     monkeypatch.setattr(table_queries, "view", lambda *_: rows)
     assert len(table_queries.boosted_trees(spark, "").collect()) == 3
     assert seen.value == 600
+
+
+def test_boosted_trees_fit_every_tree_of_a_variant(spark, monkeypatch):
+    from pyspark.ml.regression import GBTRegressor
+    from tickframe.operators import models
+    from tickframe.plans import table_queries
+
+    asked, whole = [], GBTRegressor.fit
+
+    def counted(self, rows):
+        asked.append((self.getMaxIter(), self.getMaxDepth(), rows.count()))
+        return whole(self, rows, {self.maxIter: 1})
+
+    monkeypatch.setattr(GBTRegressor, "fit", counted)
+    rows = spark.range(300).selectExpr("'S' AS symbol", "IF(id % 3 = 0, 'P2', 'P1') AS period", "id % 17 / 17D AS p_top", "id % 5 / 5D AS p_depth", "id % 3 / 1D AS spread_bps", "id % 17 * 1D AS actual")
+    monkeypatch.setattr(table_queries, "view", lambda *_: rows)
+    out = table_queries.boosted_trees(spark, "").collect()
+    assert sorted(r.variant for r in out) == sorted(models.TREES) and [r.n for r in out] == [100] * 3
+    assert sorted(asked) == sorted((trees, depth, 200) for trees, depth, *_ in models.TREES.values())

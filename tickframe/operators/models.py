@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tickframe.operators.metrics import score_set
+from tickframe.sources.tables import work_folder
+
+Out = TypeVar("Out")
 
 
 def fit_ridge(rows: DataFrame, fold: str | Sequence[str], features: Sequence[str], label: str, penalty: float = 1e-6) -> DataFrame:
@@ -115,12 +121,31 @@ def _fields(rows: DataFrame) -> list[str]:
 TREES = {"small": (200, 3, 0.03, 25, 1.0), "standard": (50, 5, 0.1, 20, 0.8), "deep": (100, 6, 0.05, 50, 0.8)}
 
 
+#: Training rows a task of a fit takes: every level of every tree is a job, so small fits should have few tasks.
+TASK_ROWS = 200_000
+
+
+def packed(rows: DataFrame, n: int) -> DataFrame:
+    """The `n` rows in as few tasks as their number needs."""
+    return rows.coalesce(max(1, -(-n // TASK_ROWS)))
+
+
+def side_by_side(spark: SparkSession, fits: Sequence[Callable[[], Out]], n: int) -> list[Out]:
+    """The results of the fits, in their order: as many at a time as have a core for each task of `n` rows, one at least."""
+    at_once = max(1, min(len(fits), spark.sparkContext.defaultParallelism // max(1, -(-n // TASK_ROWS))))
+    with ThreadPool(at_once) as pool:
+        return pool.map(lambda run: run(), [inheritable_thread_target(spark)(f) for f in fits], chunksize=1)
+
+
 def fit_trees(rows: DataFrame, features: Sequence[str], label: str, variant: str = "standard", seed: int = 1, count: int | None = None) -> Callable[[DataFrame], DataFrame]:
     """Fits a variant (with `count` trees in place of its own); the result adds `prediction` to rows, and has `gains` by feature."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     trees, depth, step, leaf, share = TREES[variant]
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # else each tree's predictions would carry the lineage of all before
+        context.setCheckpointDir(work_folder(rows.sparkSession, "fits"))
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x")
     assembled = assembler.transform(rows.dropna(subset=[*features, label]).withColumn("_y", F.col(label)))
     model = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=count or trees, maxDepth=depth, stepSize=step, subsamplingRate=share, minInstancesPerNode=leaf, maxBins=256, seed=seed).fit(assembled)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -537,8 +537,11 @@ def recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted trees of every variant: fitted on the first two periods, scored on the last one, with gain shares."""
     rows = tables.stored(view(spark, sf_dir, "scored").where("actual IS NOT NULL").select("symbol", "period", *_TWO, "spread_bps", "actual"), "scored")
-    each = [models.boosted_trees(rows.where("period <> 'P2'"), rows.where("period = 'P2'"), [*_TWO, "spread_bps"], "actual", ["symbol"], variant, count=10).withColumn("variant", F.lit(variant)) for variant in models.TREES]
-    return reduce(DataFrame.unionByName, each)
+    train, test = rows.where("period <> 'P2'"), rows.where("period = 'P2'")
+    n = train.count()
+    train = models.packed(train, n)
+    each = models.side_by_side(spark, [partial(models.boosted_trees, train, test, [*_TWO, "spread_bps"], "actual", ["symbol"], variant) for variant in models.TREES], n)
+    return reduce(DataFrame.unionByName, [scores.withColumn("variant", F.lit(variant)) for variant, scores in zip(models.TREES, each, strict=True)])
 
 
 @register(None)
