@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -63,20 +64,37 @@ def test_boosted_trees_compute_their_rows_once(spark, monkeypatch):
     assert seen.value == 600
 
 
-def test_boosted_trees_fit_every_tree_of_a_variant(spark, monkeypatch):
+@pytest.fixture
+def asked(monkeypatch):
+    """(trees, depth, rows) that fits of boosted trees were asked for; one tree is fitted."""
     from pyspark.ml.regression import GBTRegressor
-    from tickframe.operators import models
-    from tickframe.plans import table_queries
 
-    asked, whole = [], GBTRegressor.fit
+    seen, whole = [], GBTRegressor.fit
 
     def counted(self, rows):
-        asked.append((self.getMaxIter(), self.getMaxDepth(), rows.count()))
+        seen.append((self.getMaxIter(), self.getMaxDepth(), rows.count()))
         return whole(self, rows, {self.maxIter: 1})
 
     monkeypatch.setattr(GBTRegressor, "fit", counted)
+    return seen
+
+
+def test_boosted_trees_fit_every_tree_of_a_variant(spark, monkeypatch, asked):
+    from tickframe.operators import models
+    from tickframe.plans import table_queries
+
     rows = spark.range(300).selectExpr("'S' AS symbol", "IF(id % 3 = 0, 'P2', 'P1') AS period", "id % 17 / 17D AS p_top", "id % 5 / 5D AS p_depth", "id % 3 / 1D AS spread_bps", "id % 17 * 1D AS actual")
     monkeypatch.setattr(table_queries, "view", lambda *_: rows)
     out = table_queries.boosted_trees(spark, "").collect()
     assert sorted(r.variant for r in out) == sorted(models.TREES) and [r.n for r in out] == [100] * 3
     assert sorted(asked) == sorted((trees, depth, 200) for trees, depth, *_ in models.TREES.values())
+
+
+def test_walk_forward_trees_fit_every_tree_of_every_fold(spark, monkeypatch, asked):
+    from tickframe.plans import table_queries
+
+    rows = spark.range(300).selectExpr("id AS event_id", "id * 3600000000 AS us", "id % 17 / 17D AS p_top", "id % 5 / 5D AS p_depth", "id % 3 / 1D AS spread_bps", "id % 17 * 1D AS actual")
+    monkeypatch.setattr(table_queries, "view", lambda *_: rows)
+    out = table_queries.walk_forward_trees(spark, "").collect()
+    assert {(r.fold, r.run, r.n) for r in out} == {(f, run, 30 if f is not None else 150) for f in (0, 1, 2, 3, 4, None) for run in ("fitted", "shuffled")}
+    assert [(trees, depth) for trees, depth, _ in asked] == [(200, 3)] * 10
