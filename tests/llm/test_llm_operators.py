@@ -238,6 +238,29 @@ def test_search_of_long_texts_in_shards_of_few_postings(spark):
     assert same_rows[0] == same_rows[1] == same_rows[2] and len(same_rows[0]) >= 30
 
 
+def test_search_reads_texts_once_and_groups_change_nothing(spark):
+    """However many blocks of queries and rounds there are, a text is cut into terms once; alike documents in groups give the same rows."""
+    from pyspark.sql.functions import udf
+
+    rng, seen = random.Random(5), spark.sparkContext.accumulator(0)
+    pools = [[f"{c}{i}" for i in range(400)] for c in "abc"]
+    rows = [(i, " ".join(rng.choices(pools[i % 3], weights=[1 / (j + 1) for j in range(400)], k=rng.randrange(5, 80))), None, None) for i in range(600)]
+
+    def mark(text: str) -> str:
+        seen.add(1)
+        return text
+
+    plain = frame(spark, rows).coalesce(2)
+    asked = plain.where("doc_id % 20 = 0").selectExpr("doc_id AS query_id", "text")
+    marked = plain.withColumn("text", udf(mark).asNondeterministic()("text"))
+    small = search.Bm25(block_terms=300, first_docs=40, widen=2, group_from=16, together=8, docs_per_block=4)
+    got = sorted(map(tuple, search.search(marked, asked, small).collect()))
+    assert seen.value == 600
+    assert got == sorted(map(tuple, search.search(plain, asked).collect())) and len(got) == 300
+    terms = [np.unique(rng.choices(range(50), k=90)) + 50 * (i % 2) for i in range(64)]
+    assert [sorted(g.tolist()) for g in search.groups([(t, np.ones(len(t))) for t in terms], 100)] in ([[*range(0, 64, 2)], [*range(1, 64, 2)]], [[*range(1, 64, 2)], [*range(0, 64, 2)]])
+
+
 def test_search_by_common_terms_only():
     rows = [(np.array([0, 1]), np.array([1.0 + i % 5, 0.5])) for i in range(60)]
     shard = search.Shard(rows, 3, search.Bm25(k=3, docs_per_block=4))
