@@ -40,10 +40,10 @@ class Bm25:
     b: float = 0.75
     #: A task searches so many documents at once, or those up to the one that brings them to so many postings, so that
     #: long texts make small shards: a posting takes some 50 bytes while its index is built, and 4 / dense_share in dense rows.
-    shard: int = 16384
-    shard_postings: int = 4_000_000
+    shard: int = 12288
+    shard_postings: int = 3_000_000
     docs_per_block: int = 64
-    block_terms: int = 8_000_000
+    block_terms: int = 6_000_000
     #: Terms in so large a share of an index's documents have their impacts in rows of a dense matrix.
     dense_share: float = 0.1
     #: Queries whose common terms are added up together.
@@ -139,8 +139,10 @@ class Shard:
         key += np.repeat(place, [len(r[0]) for r in rows])
         order = np.argsort(key)
         key = key[order]
-        units = np.rint(np.concatenate([r[1] for r in rows]) / UNIT).astype(np.int64)[order]
+        units = np.concatenate([r[1] for r in rows])[order]
         del order
+        units /= UNIT
+        units = np.rint(units, out=units).astype(np.int64)
         terms, places = (key // width).astype(np.int32), (key % width).astype(np.int32)
         del key
         self.row_of, self.high, self.block_max = np.full((len(parts), n_terms), -1, np.int32), [], []
